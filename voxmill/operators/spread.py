@@ -107,73 +107,51 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 
 def percentiles_of_counts(counts: DataFrame, keys: Sequence[str], probs: dict[str, float],
-                          buckets: int = 4096) -> DataFrame:
+                          buckets: int = 65536) -> DataFrame:
     """Linearly interpolated percentiles, one column per entry of ``probs``.
 
-    ``counts`` holds (keys, v, n). The rank wanted is first located in a histogram of
-    at most ``buckets`` cells per key, then in a second one inside the cell, and
-    only the distinct values of that last cell are put in order. The first histogram
-    is logarithmic, so that a few extreme values do not squeeze all others into
-    one cell.
+    ``counts`` holds (keys, v, n) and is read three times, so it should be settled.
+    A histogram of at most ``buckets`` cells per key tells which cell holds a wanted
+    rank; only the distinct values of these cells are put in order. The cells are
+    logarithmic, so that a few extreme values do not squeeze all others into one.
     """
     keys = list(keys)
 
-    def cell(scale, lo: str, hi: str) -> Column:
-        width = scale(F.col(hi)) - scale(F.col(lo))
-        part = F.when(width > 0, (scale(F.col("v")) - scale(F.col(lo))) / width).otherwise(0.0)
-        return F.least(F.floor(part * buckets), F.lit(buckets - 1)).cast("int")
-
-    def signed_log(c: Column) -> Column:
+    def scale(c: Column) -> Column:
         return F.signum(c) * F.log1p(F.abs(c))
 
-    span = counts.groupBy(*keys).agg(F.min("v").alias("_lo"), F.max("v").alias("_hi"),
-                                     F.sum("n").alias("_total"))
-    wanted = span.withColumn("_p", F.explode(F.array(*[
-        F.struct(F.lit(name).alias("name"), (F.lit(p) * (F.col("_total") - 1)).alias("pos"))
-        for name, p in probs.items()])))
-    ranks = (wanted.withColumn("_rank", F.explode(F.array_distinct(F.array(
-        F.floor("_p.pos"), F.ceil("_p.pos")))))
-        .select(*keys, F.col("_rank").cast("bigint")).distinct())
-
-    def locate(table: DataFrame, targets: DataFrame, group: list[str], level: str, scale):
-        """Cell of each wanted rank; returns (targets with cell, members of these cells)."""
-        celled = attach(table, targets.groupBy(*group).agg(
-            F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi")), group) \
-            .withColumn(level, cell(scale, "_lo", "_hi")).drop("_lo", "_hi")
-        hist = celled.groupBy(*group, level).agg(
-            F.sum("n").alias("_n"), F.min("v").alias("_clo"), F.max("v").alias("_chi"))
-        order = Window.partitionBy(*group).orderBy(level).rowsBetween(Window.unboundedPreceding, 0)
-        hist = hist.withColumn("_end", F.sum("_n").over(order))
-        found = (targets.drop("_lo", "_hi").join(hist, group)
-                 .filter((F.col("_rank") - F.col("_base") >= F.col("_end") - F.col("_n"))
-                         & (F.col("_rank") - F.col("_base") < F.col("_end")))
-                 .withColumn("_base", F.col("_base") + F.col("_end") - F.col("_n"))
-                 .drop("_end", "_n")
-                 .withColumnsRenamed({"_clo": "_lo", "_chi": "_hi"}))
-        cells = found.select(*group, level).distinct()
-        return found, attach(celled, cells, [*group, level])
-
-    targets = ranks.join(span.drop("_total"), keys).withColumn("_base", F.lit(0).cast("bigint"))
-    found, members = locate(counts, targets, keys, "_c1", signed_log)
-    found, members = locate(members, found, [*keys, "_c1"], "_c2", lambda c: c)
-    cell_keys = [*keys, "_c1", "_c2"]
-    order = Window.partitionBy(*cell_keys).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ended = members.withColumn("_end", F.sum("n").over(order))
-    at_rank = (found.join(ended, cell_keys)
-               .filter((F.col("_rank") - F.col("_base") >= F.col("_end") - F.col("n"))
-                       & (F.col("_rank") - F.col("_base") < F.col("_end")))
-               .select(*keys, "_rank", "v"))
-    by_rank = at_rank.groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct("_rank", "v"))).alias("_at"))
-
-    def interpolated(p: float) -> Column:
-        pos = F.lit(p) * (F.col("_total") - 1)
+    span = counts.groupBy(*keys).agg(F.min("v").alias("_lo"), F.max("v").alias("_hi"))
+    width = scale(F.col("_hi")) - scale(F.col("_lo"))
+    part = F.when(width > 0, (scale(F.col("v")) - scale(F.col("_lo"))) / width).otherwise(0.0)
+    celled = attach(counts, span, keys).select(
+        *keys, "v", "n", F.least(F.floor(part * buckets), F.lit(buckets - 1)).cast("int").alias("_cell"))
+    order = Window.partitionBy(*keys).orderBy("_cell")
+    hist = celled.groupBy(*keys, "_cell").agg(F.sum("n").alias("_n"))
+    hist = settle(hist.select(
+        *keys, "_cell", "_n",
+        F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("_end"),
+        F.sum("_n").over(Window.partitionBy(*keys)).alias("_total")))
+    ends = (F.col("_end") - F.col("_n"), F.col("_end"))
+
+    positions = [F.lit(p) * (F.col("_total") - 1) for p in probs.values()]
+    ranks = F.array_distinct(F.array(*[r.cast("bigint") for p in positions for r in (F.floor(p), F.ceil(p))]))
+    cells = (hist.withColumn("_ranks", F.filter(ranks, lambda r: (r >= ends[0]) & (r < ends[1])))
+             .filter(F.size("_ranks") > 0)
+             .select(*keys, "_cell", "_total", ends[0].alias("_base"), "_ranks"))
+    members = attach(celled, cells, [*keys, "_cell"])
+    inside = Window.partitionBy(*keys, "_cell").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    ended = members.withColumn("_stop", F.col("_base") + F.sum("n").over(inside))
+    hit = F.filter("_ranks", lambda r: (r >= F.col("_stop") - F.col("n")) & (r < F.col("_stop")))
+    at_rank = (ended.withColumn("_rank", F.explode(hit))
+               .groupBy(*keys, "_total")
+               .agg(F.map_from_entries(F.collect_list(F.struct("_rank", "v"))).alias("_at")))
+
+    def interpolated(pos: Column) -> Column:
         low = F.element_at("_at", F.floor(pos).cast("bigint"))
         high = F.element_at("_at", F.ceil(pos).cast("bigint"))
         return low + (high - low) * (pos - F.floor(pos))
 
-    return span.join(by_rank, keys).select(
-        *keys, *[interpolated(p).alias(name) for name, p in probs.items()])
+    return at_rank.select(*keys, *[interpolated(pos).alias(name) for name, pos in zip(probs, positions)])
 
 
 def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str,
