@@ -132,10 +132,10 @@ SELECT dataset_id, {q6('s[1]')} AS spacing_i, {q6('s[2]')} AS spacing_j, {q6('s[
   array_to_string(m, ',') AS median FROM low WHERE 48.0 * 48 * 48 / (mt[1]*mt[2]*mt[3]) < 0.25""")
 def _(spark, sf):
     base = L.transpose_plan(part_datasets(spark, sf))
-    base = base.select("dataset_id", L.permute(F.col("target_spacing"), F.col("transpose_forward")).alias("st"),
-                       L.permute(F.col("median_size"), F.col("transpose_forward")).alias("mt"))
-    low = base.select("dataset_id", L.lowres_plan(F.col("mt"), F.col("st"), F.array(*[F.lit(48)] * 3)).alias("low"))
-    out = low.filter("low is not null").select("dataset_id", F.col("low.spacing").alias("spacing"), F.col("low.median").alias("median"))
+    base = base.select("dataset_id", L.permute(F.col("target_spacing"), F.col("transpose_forward")).alias("spacing"),
+                       L.permute(F.col("median_size"), F.col("transpose_forward")).alias("median"),
+                       F.array(*[F.lit(48)] * 3).alias("patch"))
+    out = L.lowres_spacing(base).select("dataset_id", F.col("low_spacing").alias("spacing"), F.col("low_median").alias("median"))
     return flat(spread_out(out, "spacing"), "median")
 
 

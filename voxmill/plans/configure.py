@@ -142,6 +142,19 @@ def lowres_plan(median: Column, spacing: Column, patch: Column) -> Column:
     return F.when(needed, F.aggregate(F.sequence(F.lit(1), steps), start, step))
 
 
+def pinned(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns behind a generator, so that a costly expression is evaluated once per
+    row and not again in every place that reads it."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def lowres_spacing(df: DataFrame) -> DataFrame:
+    """Rows (median, spacing, patch) that need a coarser grid, with ``low_spacing``, ``low_median``."""
+    low = lowres_plan(F.col("median"), F.col("spacing"), F.col("patch"))
+    return pinned(df, _low=low).filter("_low is not null").select(
+        *df.columns, F.col("_low.spacing").alias("low_spacing"), F.col("_low.median").alias("low_median"))
+
+
 def configurations(plan: DataFrame, divisor: int = 1, batch_size: int = 2, strategy: str = "voxel_budget",
                    plans_name: str = "plans", size_variants: bool = False,
                    ref_3d: int = PATCH_REF_3D, ref_2d: int = PATCH_REF_2D,
@@ -170,8 +183,8 @@ def configurations(plan: DataFrame, divisor: int = 1, batch_size: int = 2, strat
     three, two = F.lit(ref_3d), F.lit(ref_2d)
     base = base.withColumn("full_patch", patch(F.col("sp"), F.col("med"), three, two)) \
         .withColumn("iso_patch", patch(F.col("iso"), F.col("iso_med"), three, two))
-    base = base.withColumn("low", lowres_plan(F.col("med"), F.col("sp"), F.col("full_patch"))) \
-        .withColumn("iso_low", lowres_plan(F.col("iso_med"), F.col("iso"), F.col("iso_patch")))
+    base = pinned(base, low=lowres_plan(F.col("med"), F.col("sp"), F.col("full_patch")),
+                  iso_low=lowres_plan(F.col("iso_med"), F.col("iso"), F.col("iso_patch")))
 
     def tail(c: str) -> Column:
         return F.slice(F.col(c), 2, 2)
