@@ -152,8 +152,8 @@ news AS (SELECT run_id, fold, dice / 2 AS dice, CASE WHEN fold > 1 THEN dice END
 @query("upsert_fold_results", f"""WITH {RUNS}, {UPSERT},
 prm AS (SELECT run_id, coalesce(max(g), max(o)) AS num_params FROM (SELECT run_id, num_params AS o, NULL AS g FROM olds
         UNION ALL SELECT run_id, NULL, num_params FROM news) GROUP BY 1)
-SELECT run_id, fold, {q6('CASE WHEN n.run_id IS NOT NULL THEN n.dice ELSE o.dice END')} AS dice,
-  {q6('CASE WHEN n.run_id IS NOT NULL THEN n.hd95 ELSE o.hd95 END')} AS hd95, prm.num_params
+SELECT run_id, fold, CASE WHEN n.run_id IS NOT NULL THEN n.dice ELSE o.dice END AS dice,
+  CASE WHEN n.run_id IS NOT NULL THEN n.hd95 ELSE o.hd95 END AS hd95, coalesce(prm.num_params, -1) AS num_params
 FROM olds o FULL JOIN news n USING (run_id, fold) JOIN prm USING (run_id)""")
 def _(spark, sf):
     base = run_folds(spark, sf)
@@ -162,7 +162,7 @@ def _(spark, sf):
     new = base.filter("run_id % 5 >= 2 AND fold >= 1").select(
         "run_id", "fold", (F.col("dice") / 2).alias("dice"), F.when(F.col("fold") > 1, F.col("dice")).alias("hd95"),
         F.when(F.col("run_id") % 2 == 0, F.col("run_id") * 7).alias("num_params"))
-    return rounded(R.upsert_fold_results(old, new), "dice", "hd95")
+    return R.upsert_fold_results(old, new).fillna(-1, subset=["num_params"])
 
 
 # --- scores -------------------------------------------------------------------------

@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voxmill.functions.columns import AXES
 from voxmill.operators.spread import attach
@@ -97,7 +98,7 @@ def cubic_weights(old: int, new: int) -> np.ndarray:
     return np.linalg.solve(collocation.T, basis.T).T
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _cubic_lines(lines: pd.Series, size: pd.Series) -> pd.Series:
     return pd.Series([cubic_weights(len(v), int(n)) @ np.asarray(v, dtype=float) for v, n in zip(lines, size)],
                      dtype=object)
