@@ -22,7 +22,8 @@ reach AS (
 
 
 def holed_mask(spark, sf):
-    return segs(spark, sf).select("case_id", "i", "j", "k", ~((F.col("label") == 0) | ((F.col("i") + F.col("j") + F.col("k")) % 5 == 0)).alias("inside"))
+    return segs(spark, sf).select("case_id", "i", "j", "k",
+                                    (~((F.col("label") == 0) | ((F.col("i") + F.col("j") + F.col("k")) % 5 == 0))).alias("inside"))
 
 
 @query("fill_holes", with_grid("""
