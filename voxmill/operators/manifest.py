@@ -102,10 +102,9 @@ def channel_mismatches(manifest: DataFrame, n_channels: int) -> DataFrame:
 def report_first(bad: DataFrame, order: str, n: int = 5) -> DataFrame:
     """One row: how many offenders, the first few by name, and how many more."""
     first = bad.select(order).orderBy(order).limit(n).agg(
-        F.array_join(F.sort_array(F.collect_list(order)), ", ").alias("first"))
-    total = bad.agg(F.count(F.lit(1)).alias("n_bad"))
-    # both sides are single rows by construction
-    return total.join(first).select("n_bad", "first", F.greatest(F.col("n_bad") - n, F.lit(0)).alias("more"))
+        F.array_join(F.sort_array(F.collect_list(order)), ", "))
+    return bad.agg(F.count(F.lit(1)).alias("n_bad")).select(
+        "n_bad", first.scalar().alias("first"), F.greatest(F.col("n_bad") - n, F.lit(0)).alias("more"))
 
 
 def match_labels(cases: DataFrame, labels: DataFrame) -> DataFrame:
