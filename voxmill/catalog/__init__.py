@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-SECTIONS = ("voxel",)
+SECTIONS = ("voxel", "fingerprint", "plan", "manifest", "registry", "normalize", "morphology", "patches", "flows")
 
 
 def load():

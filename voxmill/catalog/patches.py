@@ -325,7 +325,8 @@ MIX = f"""
 mixed AS (SELECT batch, slot, (CASE WHEN o >= slot THEN o + 1 ELSE o END)::INT AS partner,
   {', '.join(f"greatest(0, c{a} - floor(floor(8 * r) / 2))::INT AS lo{a}, least(8, c{a} + floor(floor(8 * r) / 2))::INT AS hi{a}" for a in range(3))}
   FROM (SELECT batch, slot, floor({sdraw('partner')} * 3)::INT AS o, sqrt(1 - {sdraw('lambda0')}) AS r,
-     {', '.join(f"floor({sdraw(f'centre{a}')} * 8)::INT AS c{a}" for a in range(3))} FROM slots WHERE {sdraw('p_cutmix')} <= 0.5)),
+     {', '.join(f"floor({sdraw(f'centre{a}')} * 8)::INT AS c{a}" for a in range(3))} FROM slots WHERE {sdraw('p_cutmix')} <= 0.5) d
+  WHERE EXISTS (SELECT 1 FROM slots x WHERE x.batch = d.batch AND x.slot = CASE WHEN o >= d.slot THEN o + 1 ELSE o END)),
 inbox AS (SELECT p.batch, m.slot, p.channel, p.i, p.j, p.k, p.value FROM pim p JOIN mixed m ON m.batch = p.batch AND m.partner = p.slot
   WHERE i >= lo0 AND i < hi0 AND j >= lo1 AND j < hi1 AND k >= lo2 AND k < hi2)"""
 

@@ -357,7 +357,10 @@ def cutmix_pairs(slots: DataFrame, size: Sequence[int], batch_size: int, seed: i
         centre = draw_index(n, F.lit(seed), F.col("batch"), F.col("slot"), F.lit(f"centre{a}")).cast("int")
         lo.append(F.greatest(F.lit(0), centre - half))
         hi.append(F.least(F.lit(n), centre + half))
-    return chosen.select(*PATCH, "partner", F.array(*lo).alias("lo"), F.array(*hi).alias("hi"))
+    # an incomplete batch may lack the partner; such a slot stays as it is
+    present = slots.select("batch", F.col("slot").alias("partner"))
+    return chosen.select(*PATCH, "partner", F.array(*lo).alias("lo"), F.array(*hi).alias("hi")) \
+        .join(present, ["batch", "partner"], "left_semi")
 
 
 def cutmix_paste(table: DataFrame, pairs: DataFrame) -> DataFrame:
