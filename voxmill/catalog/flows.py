@@ -9,7 +9,7 @@ from voxmill.catalog.fingerprint import FG, INBOX, SQL_STATS, STATS
 from voxmill.catalog.inputs import cases, one_channel, segs, table, voxels, with_grid
 from voxmill.catalog.manifest import FOLDS, customer_splits
 from voxmill.operators import fingerprint as P
-from voxmill.plans.preprocess import Configuration, preprocess, revert, revert_labels
+from voxmill.plans.preprocess import Configuration, crop_stage, label_stage, preprocess, revert, revert_labels
 from voxmill.session import scratch_path, settle
 from voxmill.sources import files as S
 from voxmill.streaming import incremental as I
@@ -91,9 +91,13 @@ plabel AS (SELECT n.case_id, n.i, n.j, n.k, label FROM ncell n JOIN marked m ON
       "SELECT case_id, k AS i, i AS j", "SELECT segs.case_id, segs.k AS i, segs.i AS j").replace(", j AS k, (CASE", ", segs.j AS k, (CASE")
 
 
-def prepared(spark, sf, **changes):
+def cropped(spark, sf):
+    return crop_stage(voxels(spark, sf), segs(spark, sf), cases(spark, sf), Configuration(**CONFIG))
+
+
+def prepared(spark, sf):
     stats = settle(P.foreground_intensity_stats(voxels(spark, sf), segs(spark, sf)))
-    return preprocess(voxels(spark, sf), segs(spark, sf), cases(spark, sf), Configuration(**{**CONFIG, **changes}), stats)
+    return preprocess(voxels(spark, sf), segs(spark, sf), cases(spark, sf), Configuration(**CONFIG), stats)
 
 
 @query("preprocess")
@@ -103,19 +107,19 @@ def _(spark, sf):
 
 @query("preprocess_labels", with_grid("SELECT * FROM plabel", PREP))
 def _(spark, sf):
-    return prepared(spark, sf)["label"]
+    return label_stage(cropped(spark, sf), Configuration(**CONFIG))["label"]
 
 
 @query("preprocess_geometry", with_grid("""
 SELECT case_id, c0 || ',' || c1 || ',' || c2 AS shape_after_crop, n0 || ',' || n1 || ',' || n2 AS resampled_shape FROM tn""", PREP))
 def _(spark, sf):
-    geometry = prepared(spark, sf)["geometry"]
+    geometry = cropped(spark, sf)["geometry"]
     return flat(geometry.select("case_id", "shape_after_crop", "resampled_shape"), "shape_after_crop", "resampled_shape")
 
 
 @query("preprocess_distance")
 def _(spark, sf):
-    return rounded(prepared(spark, sf)["distance"], "dist")
+    return rounded(label_stage(cropped(spark, sf), Configuration(**CONFIG))["distance"], "dist")
 
 
 @query("properties_round_trip", with_grid("""

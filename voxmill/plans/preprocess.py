@@ -56,47 +56,67 @@ def transposed_cases(cases: DataFrame, forward: Sequence[int]) -> DataFrame:
     return cases.select("case_id", permute(F.col("shape"), order).alias("shape"), permute(F.col("spacing"), order).alias("spacing"))
 
 
-def preprocess(voxels: DataFrame, segs: DataFrame | None, cases: DataFrame, config: Configuration,
-               stats: DataFrame | None = None, binary: bool = False, holes: bool = True) -> dict[str, DataFrame]:
-    """Transpose, crop, normalise, resample, distances, locations.
+def crop_stage(voxels: DataFrame, segs: DataFrame | None, cases: DataFrame, config: Configuration,
+               holes: bool = True) -> dict[str, DataFrame]:
+    """Transposed and cropped image and label (-1 outside the body), and the case geometry.
 
-    Returns image, label, distance, locations, params and properties (one row per case).
     ``holes=False`` skips the filling of holes when the body mask is known to have none.
-    Each stage is written once, since the next one reads it more than once.
+    Tables that later stages read more than once are written here.
     """
     forward = list(config.transpose_forward)
     turned = transpose_axes(voxels, forward)
     turned_cases = transposed_cases(cases, forward)
-    bbox = nonzero_bbox(turned, turned_cases)
+    bbox = settle(nonzero_bbox(turned, turned_cases))
     mask = nonzero_mask(turned)
     if holes:
         mask = fill_holes(settle(mask), turned_cases)
     marked = mark_outside(None if segs is None else transpose_axes(segs, forward), mask)
-    bbox = settle(bbox)
-    image, label = settle(crop_to_bbox(turned, bbox)), settle(crop_to_bbox(marked, bbox))
+    return {"image": crop_to_bbox(turned, bbox), "label": settle(crop_to_bbox(marked, bbox)),
+            "geometry": settle(case_geometry(cases, bbox, config))}
+
 
-    channels = voxels.select("channel").distinct()
-    plan = channel_plan(channels, F.array(*[F.lit(s) for s in config.schemes]), F.array(*[F.lit(m) for m in config.use_mask]))
+def _resampling(geometry: DataFrame) -> DataFrame:
+    return geometry.select("case_id", F.col("shape_after_crop").alias("old_shape"), F.col("resampled_shape").alias("new_shape"),
+                           F.col("spacing_t").alias("spacing"), "target")
+
+
+def image_stage(cropped: dict[str, DataFrame], config: Configuration, stats: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Normalised (before resampling), then resampled image, with the parameters used."""
+    image, label = settle(cropped["image"]), cropped["label"]
+    plan = channel_plan(image.select("channel").distinct(), F.array(*[F.lit(s) for s in config.schemes]),
+                        F.array(*[F.lit(m) for m in config.use_mask]))
     params = settle(normalization_params(image, settle(plan), stats, label))
     image = settle(apply_normalization(image, params, label))
+    return {"image": resample_auto(image, _resampling(cropped["geometry"]), config.data_order, config.data_order_z),
+            "params": params}
+
+
+def label_stage(cropped: dict[str, DataFrame], config: Configuration, binary: bool = False,
+                labelled: bool = True) -> dict[str, DataFrame]:
+    """Resampled label, signed distances and sampled locations.
 
-    geometry = settle(case_geometry(cases, bbox, config))
-    shapes = geometry.select("case_id", F.col("shape_after_crop").alias("old_shape"), F.col("resampled_shape").alias("new_shape"),
-                             F.col("spacing_t").alias("spacing"), "target")
-    image = settle(resample_auto(image, shapes, config.data_order, config.data_order_z))
-    label = settle(resample_labels(label, shapes))
-    out = {"image": image, "params": params, "geometry": geometry}
+    With ``binary`` distances follow the merged label, locations the original ones."""
+    geometry = cropped["geometry"]
+    label = settle(resample_labels(cropped["label"], _resampling(geometry)))
     foreground = [x for x in config.labels if x != 0]
-    if segs is not None and foreground:
+    out = {}
+    if labelled and foreground:
         out["locations"] = sample_locations(label, foreground)
-        if binary:
-            label, foreground = binarize(label), [1]
-        out["distance"] = signed_distance(label, foreground, geometry.select(
-            "case_id", F.col("resampled_shape").alias("shape"), F.col("target").alias("spacing")))
-    elif segs is not None and binary:
-        label = binarize(label)
-    out["label"] = label
-    out["properties"] = case_properties(geometry, params, config)
+        target = geometry.select("case_id", F.col("resampled_shape").alias("shape"), F.col("target").alias("spacing"))
+        out["distance"] = signed_distance(binarize(label) if binary else label, [1] if binary else foreground, target)
+    out["label"] = binarize(label) if binary and labelled else label
+    return out
+
+
+def preprocess(voxels: DataFrame, segs: DataFrame | None, cases: DataFrame, config: Configuration,
+               stats: DataFrame | None = None, binary: bool = False, holes: bool = True) -> dict[str, DataFrame]:
+    """Transpose, crop, normalise, resample, distances, locations.
+
+    Returns image, label, distance, locations, params, geometry and properties."""
+    cropped = crop_stage(voxels, segs, cases, config, holes)
+    out = {"geometry": cropped["geometry"], **image_stage(cropped, config, stats),
+           **label_stage(cropped, config, binary, segs is not None)}
+    out["properties"] = case_properties(out["geometry"], out["params"], config)
     return out
 
 
