@@ -37,3 +37,12 @@ def test_unknown_strategy_and_split(spark):
         iso_spacing(F.col("x"), "smallest")
     with pytest.raises(ValueError):
         split_manifest(spark.range(1), "nowhere")
+
+
+def test_offenders_are_named(spark):
+    from voxmill.operators.manifest import channel_mismatches, raise_if_any
+    rows = [(f"c{n}", 0, f"p{n}") for n in range(8)] + [("ok", 0, "a"), ("ok", 1, "b")]
+    bad = channel_mismatches(spark.createDataFrame(rows, "case_id string, channel int, path string"), 2)
+    with pytest.raises(RuntimeError, match=r"wrong channels: c0, c1, c2, c3, c4 \(\+3 more\)"):
+        raise_if_any(bad, "case_id", "wrong channels")
+    raise_if_any(bad.limit(0), "case_id", "wrong channels")

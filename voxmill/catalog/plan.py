@@ -212,3 +212,25 @@ def _(spark, sf):
     configs = L.configurations(part_datasets(spark, sf), divisor=8, ref_3d=96, ref_2d=1024)
     own = configs.withColumn("spacing_t", F.array(F.lit(7.5), F.lit(1.0), F.lit(1.0)))
     return spread_out(L.select_target_spacing(own).select("dataset_id", "config", "target"), "target")
+
+
+PLANNED = """,
+tp AS (SELECT dataset_id, sp, sz, list_position(sp, list_max(sp)) AS w FROM target),
+tf AS (SELECT *, CASE w WHEN 1 THEN [0,1,2] WHEN 2 THEN [1,0,2] ELSE [2,0,1] END AS fw FROM tp),
+pl AS (SELECT *, [sp[f+1] FOR f IN fw] AS st, [round_even(sz[f+1], 0)::INT FOR f IN fw] AS mt FROM tf)"""
+
+
+@query("plan_datasets", with_grid(f"""
+SELECT dataset_id, b || tag AS config, {q6('s[1]')} AS spacing_i, {q6('s[2]')} AS spacing_j, coalesce({q6('s[3]')}, -1) AS spacing_k,
+  array_to_string(p, ',') AS patch_size, 'CTNormalization,ZScoreNormalization' AS normalization_schemes,
+  CASE WHEN ratio < 0.75 THEN 'false,true' ELSE 'false,false' END AS use_mask_for_norm
+FROM patched JOIN (SELECT dataset_id, quantile_cont(crop_ratio, 0.5) AS ratio FROM fcases GROUP BY 1) USING (dataset_id)""",
+                                TARGET + PLANNED + CONFIGS).replace("WITH ", "WITH RECURSIVE ", 1))
+def _(spark, sf):
+    cased = geometry(spark, sf)
+    channels = cased.select("dataset_id").distinct().select("dataset_id", F.inline(F.array(*[
+        F.struct(F.lit(c).alias("channel"), F.lit(n).alias("name")) for c, n in enumerate(("CT", "T1"))])))
+    out = L.plan_datasets(cased, channels, divisor=8, ref_3d=96, ref_2d=1024, size_variants=True,
+                          variants=(("_s", 48, 512), ("_l", 176, 2880)))
+    out = out.select("dataset_id", "config", "spacing", "patch_size", "normalization_schemes", "use_mask_for_norm")
+    return flat(spread_out(out, "spacing"), "patch_size", "normalization_schemes", "use_mask_for_norm").fillna(-1.0)

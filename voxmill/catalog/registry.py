@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from voxmill.catalog.base import flat, q6, query, r6, rounded
@@ -37,9 +36,8 @@ def sql(body: str) -> str:
 
 
 def run_folds(spark, sf):
-    order = Window.partitionBy("o_custkey", F.col("o_orderkey") % 5).orderBy(
-        "o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority")
-    first = table(spark, sf, "orders").withColumn("rn", F.row_number().over(order)).filter("rn = 1")
+    first = table(spark, sf, "orders").groupBy("o_custkey", (F.col("o_orderkey") % 5).alias("f")).agg(
+        F.min(F.struct("o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority")).alias("o")).select("o_custkey", "o.*")
     s = F.col("o_orderstatus")
     return first.select(
         F.col("o_custkey").alias("run_id"), (F.col("o_orderkey") % 5).cast("int").alias("fold"),

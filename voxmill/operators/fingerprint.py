@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxmill.functions.columns import VOXEL, draw_index, inside_box, per_axis
+from voxmill.functions.columns import AXES, VOXEL, draw_index, inside_box, per_axis
 from voxmill.operators.spread import (
     attach, numbered, percentiles_of_counts, rank_by_hash, value_counts)
 from voxmill.operators.voxel import crop_ratio, nonzero_bbox
@@ -20,11 +20,15 @@ LOCATION_SHARE = 0.01
 
 def foreground(voxels: DataFrame, segs: DataFrame | None = None) -> DataFrame:
     """Voxels with a positive label, or without labels those where any channel is not 0."""
-    if segs is not None:
-        marked = segs.filter(F.col("label") > 0).select(*VOXEL)
-    else:
+    if segs is None:
         marked = voxels.filter(F.col("value") != 0).select(*VOXEL).distinct()
-    return voxels.join(marked, list(VOXEL), "left_semi")
+        return voxels.join(marked, list(VOXEL), "left_semi")
+    marked = segs.filter(F.col("label") > 0).select(*VOXEL)
+    # labels fill a small part of a volume: voxels beyond their box need not be shuffled
+    box = marked.groupBy("case_id").agg(F.array(*[F.min(a) for a in AXES]).alias("_lo"),
+                                        F.array(*[F.max(a) + 1 for a in AXES]).alias("_hi"))
+    near = attach(voxels, box, ["case_id"]).filter(inside_box(F.col("_lo"), F.col("_hi"))).select(*voxels.columns)
+    return near.join(marked, list(VOXEL), "left_semi")
 
 
 def stats_of_counts(counts: DataFrame, keys: list[str]) -> DataFrame:

@@ -80,7 +80,7 @@ def split_manifest(manifest: DataFrame, split: str) -> DataFrame:
         raise ValueError(f"unknown split {split!r}")
     chosen = manifest.filter(F.col("split") == split)
     labels = chosen.filter("kind = 'label'").groupBy("case_id").agg(F.max("path").alias("label_path"))
-    return chosen.filter("kind = 'image'").select("case_id", "channel", "path").join(labels, "case_id", "left")
+    return attach(chosen.filter("kind = 'image'").select("case_id", "channel", "path"), labels, ["case_id"], "left")
 
 
 def group_cases(manifest: DataFrame, n_channels: int) -> DataFrame:
@@ -107,6 +107,13 @@ def report_first(bad: DataFrame, order: str, n: int = 5) -> DataFrame:
         "n_bad", first.scalar().alias("first"), F.greatest(F.col("n_bad") - n, F.lit(0)).alias("more"))
 
 
+def raise_if_any(bad: DataFrame, order: str, message: str, n: int = 5) -> None:
+    """Fail with the first offenders and the number of the others."""
+    row = report_first(bad, order, n).first()
+    if row["n_bad"]:
+        raise RuntimeError(f"{message}: {row['first']}" + (f" (+{row['more']} more)" if row["more"] else ""))
+
+
 def match_labels(cases: DataFrame, labels: DataFrame) -> DataFrame:
     """Each case with its label path, null when missing."""
     return cases.select("case_id").distinct().join(
@@ -114,7 +121,7 @@ def match_labels(cases: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def missing_labels(cases: DataFrame, labels: DataFrame) -> DataFrame:
-    return cases.select("case_id").distinct().join(labels.select("case_id"), "case_id", "left_anti")
+    return cases.select("case_id").distinct().join(labels.select("case_id").distinct(), "case_id", "left_anti")
 
 
 def surplus_labels(cases: DataFrame, labels: DataFrame) -> DataFrame:
@@ -127,7 +134,7 @@ def surplus_labels(cases: DataFrame, labels: DataFrame) -> DataFrame:
 
 def pair_existing(images: DataFrame, labels: DataFrame) -> DataFrame:
     """Images whose case also has a label."""
-    return images.join(labels.select("case_id").distinct(), "case_id", "left_semi")
+    return attach(images, labels.select("case_id").distinct(), ["case_id"])
 
 
 def unpaired(images: DataFrame, labels: DataFrame) -> DataFrame:
@@ -149,7 +156,7 @@ def pair_arrays_with_properties(arrays: DataFrame, properties: DataFrame, case_i
 
 
 def arrays_without_properties(arrays: DataFrame, properties: DataFrame) -> DataFrame:
-    return arrays.select("case_id").distinct().join(properties.select("case_id"), "case_id", "left_anti")
+    return arrays.select("case_id").distinct().join(properties.select("case_id").distinct(), "case_id", "left_anti")
 
 
 def normalize_labels(datasets: DataFrame) -> DataFrame:

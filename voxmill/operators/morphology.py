@@ -19,6 +19,13 @@ from voxmill.session import settle
 DISTANCE_LIMIT = 10.0  # fixed value: signed distances are clipped to +-10
 
 
+def _by_slab(table: DataFrame) -> list[tuple[str, DataFrame]]:
+    """The table for work along each axis. Slabs of constant i hold the lines of both other
+    axes, so two of the three share one exchange."""
+    slabs = table.repartition("case_id", "i")
+    return [("k", slabs), ("j", slabs), ("i", table.repartition("case_id", "j"))]
+
+
 def _line(axis: str, extra: tuple[str, ...] = ()) -> Window:
     return Window.partitionBy("case_id", *extra, *[a for a in AXES if a != axis]).orderBy(axis)
 
@@ -93,12 +100,17 @@ def fill_holes(mask: DataFrame, cases: DataFrame) -> DataFrame:
 def _label_edges(segs: DataFrame) -> DataFrame:
     """Face neighbours with different labels: (voxel, own label, other label)."""
     out = None
-    for axis in AXES:
-        w = _line(axis)
-        for step in (F.lag, F.lead):
-            found = segs.select(*VOXEL, "label", step("label").over(w).alias("other")) \
-                .filter(F.col("other").isNotNull() & (F.col("other") != F.col("label")))
-            out = found if out is None else out.unionByName(found)
+    for axis, table in _by_slab(segs.select(*VOXEL, "label")):
+        before = F.lag("label").over(_line(axis))
+        changed = table.withColumn("_before", before).filter(F.col("_before").isNotNull() & (F.col("_before") != F.col("label")))
+        # one change of label is seen once and gives both voxels
+
+        def side(shift: int, own: str, other: str) -> Column:
+            return F.struct(*[(F.col(a) - shift if a == axis else F.col(a)).alias(a) for a in AXES],
+                            F.col(own).alias("label"), F.col(other).alias("other"))
+
+        found = changed.select("case_id", F.inline(F.array(side(0, "label", "_before"), side(1, "_before", "label"))))
+        out = found if out is None else out.unionByName(found)
     return out
 
 
@@ -149,12 +161,12 @@ def signed_distance(segs: DataFrame, classes: list[int], cases: DataFrame, inclu
 def surface_voxels(segs: DataFrame) -> DataFrame:
     """Labelled voxels with a face neighbour of another label or none: (case_id, cls, i, j, k)."""
     out = None
-    for axis in AXES:
+    for axis, table in _by_slab(segs.select(*VOXEL, "label")):
         w = _line(axis)
         open_side = F.lit(False)
         for step in (F.lag, F.lead):
             open_side = open_side | ~step("label").over(w).eqNullSafe(F.col("label"))
-        found = segs.withColumn("_open", open_side).filter("_open AND label > 0").select(
+        found = table.withColumn("_open", open_side).filter("_open AND label > 0").select(
             "case_id", F.col("label").cast("int").alias("cls"), *AXES)
         out = found if out is None else out.unionByName(found)
     return out.distinct()

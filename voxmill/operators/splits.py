@@ -38,7 +38,7 @@ def all_case_ids(splits: DataFrame) -> DataFrame:
 
 
 def complement(cases: DataFrame, taken: DataFrame) -> DataFrame:
-    return cases.select("case_id").join(taken.select("case_id"), "case_id", "left_anti")
+    return cases.select("case_id").distinct().join(taken.select("case_id").distinct(), "case_id", "left_anti")
 
 
 def fold_keys(splits: DataFrame, fold) -> DataFrame:

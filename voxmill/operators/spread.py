@@ -30,7 +30,7 @@ def attach(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inne
     measured size is below the threshold, and adaptive execution splits partitions
     that are still too large.
     """
-    rest = [c for c in big.columns if c not in on]
+    rest = [c for c in big.columns if c not in on] or list(on)
     dealt = big.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in rest]), F.lit(salts)))
     repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"),
                                                               F.lit(salts - 1).cast("bigint"))))

@@ -8,7 +8,7 @@ join against a full grid.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxmill.functions.columns import AXES, VOXEL, as_col, inside_box, per_axis
@@ -137,12 +137,11 @@ def uncrop(voxels: DataFrame, bbox: DataFrame, shapes: DataFrame, value: str = "
     back = attach(voxels, bbox.select("case_id", F.col("lo").alias("_lo")), ["case_id"])
     back = back.withColumns({axis: F.col(axis) + F.col("_lo")[a] for a, axis in enumerate(AXES)}).drop("_lo")
     boxes = bbox.select("case_id", "lo", "hi").join(shapes.select("case_id", "shape"), "case_id")
-    if fill is None:
-        boxes = boxes.join(voxels.groupBy("case_id").agg(F.min(value).alias("_fill")), "case_id")
-    else:
+    # one row per case and channel: which channels there are, and their smallest value
+    per_layer = voxels.groupBy("case_id", *layers).agg(F.min(value).alias("_least"))
+    boxes = boxes.join(per_layer.withColumn("_fill", F.min("_least").over(Window.partitionBy("case_id"))), "case_id")
+    if fill is not None:
         boxes = boxes.withColumn("_fill", as_col(fill))
-    if layers:
-        boxes = boxes.join(voxels.select("case_id", *layers).distinct(), "case_id")
     rim = _pad_rows(boxes, ["case_id", *layers],
                     [F.col("lo")[a] for a in range(3)], [F.col("hi")[a] for a in range(3)],
                     [F.lit(0)] * 3, [F.col("shape")[a] for a in range(3)], ["_fill"])

@@ -240,3 +240,18 @@ def select_target_spacing(cases: DataFrame) -> DataFrame:
     Takes (spacing_t, spacing, through_plane_spacing) with spacing_t transposed."""
     own = F.concat(F.slice("spacing_t", 1, 1), F.col("spacing"))
     return cases.withColumn("target", F.when(F.col("through_plane_spacing").isNotNull(), own).otherwise(F.col("spacing")))
+
+
+def plan_datasets(geometry: DataFrame, channels: DataFrame, **options) -> DataFrame:
+    """Configurations of every dataset with the scheme and mask flag of each channel.
+
+    geometry: one row per case (dataset_id, spacing, shape_after_crop, crop_ratio);
+    channels(dataset_id, channel, name). ``options`` go to :func:`configurations`.
+    """
+    ratio = geometry.groupBy("dataset_id").agg(
+        F.coalesce(F.percentile("crop_ratio", F.lit(0.5)), F.lit(1.0)).alias("median_crop_ratio"))
+    schemes = normalization_plan(channels.join(ratio, "dataset_id")).groupBy("dataset_id").agg(
+        F.sort_array(F.collect_list(F.struct("channel", "scheme", "use_mask"))).alias("_c")).select(
+        "dataset_id", F.transform("_c", lambda c: c["scheme"]).alias("normalization_schemes"),
+        F.transform("_c", lambda c: c["use_mask"]).alias("use_mask_for_norm"))
+    return configurations(target_spacing(geometry), **options).join(schemes, "dataset_id")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxmill.operators.manifest import manifest_of
+from voxmill.operators.spread import attach
 
 _STRINGS = T.MapType(T.StringType(), T.StringType())
 META_SCHEMA = T.StructType([
@@ -120,4 +121,5 @@ def write_json_artifact(df: DataFrame, path: str, mode: str = "errorifexists") -
 
 def copy_gt_if_absent(source: DataFrame, present: DataFrame) -> DataFrame:
     """Rows of cases that the target does not have yet; to be appended to it."""
-    return source.join(present.select("case_id").distinct(), "case_id", "left_anti")
+    known = present.select("case_id").distinct().withColumn("_known", F.lit(True))
+    return attach(source, known, ["case_id"], "left").filter("_known IS NULL").drop("_known")
