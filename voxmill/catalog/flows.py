@@ -117,7 +117,14 @@ def _(spark, sf):
     return flat(geometry.select("case_id", "shape_after_crop", "resampled_shape"), "shape_after_crop", "resampled_shape")
 
 
-@query("preprocess_distance")
+D2 = "((a.i-b.i)*1.5)*((a.i-b.i)*1.5) + ((a.j-b.j)*0.8)*((a.j-b.j)*0.8) + ((a.k-b.k)*0.8)*((a.k-b.k)*0.8)".replace("1.5", "1.5::DOUBLE").replace("0.8", "0.8::DOUBLE")
+
+
+@query("preprocess_distance", with_grid(f"""
+SELECT a.case_id, c.c::INT AS cls, a.i, a.j, a.k,
+  {q6('CASE WHEN a.label = c.c THEN -least(10.0, coalesce(sqrt(min(CASE WHEN b.label <> c.c THEN ' + D2 + ' END)), 10.0)) ELSE least(10.0, coalesce(sqrt(min(CASE WHEN b.label = c.c THEN ' + D2 + ' END)), 10.0)) END')} AS dist
+FROM plabel a CROSS JOIN (SELECT unnest([1, 2, 3]) AS c) c JOIN plabel b USING (case_id)
+GROUP BY a.case_id, c.c, a.i, a.j, a.k, a.label""", PREP))
 def _(spark, sf):
     return rounded(label_stage(cropped(spark, sf), Configuration(**CONFIG))["distance"], "dist")
 

@@ -189,12 +189,34 @@ def _(spark, sf):
     return rounded(Z.resample_auto(one_channel(spark, sf), shapes(spark, sf), 1, 0), "value")
 
 
-@query("resample_cubic")
+# cubic B-spline weights from the closed form of the inverse filter, sqrt(3) * z^|n| with z = sqrt(3) - 2
+CUBIC = """
+pairs AS (SELECT o0 AS old, n0 AS new FROM shapes UNION SELECT o1, n1 FROM shapes UNION SELECT o2, n2 FROM shapes),
+xo AS (SELECT old, new, o, (o + 0.5::DOUBLE) * old / new - 0.5 AS x FROM pairs, range(12) r(o) WHERE o < new),
+bm AS (SELECT old, new, o, m, CASE WHEN d < 1 THEN (4 - 6*d*d + 3*d*d*d) / 6 ELSE pow(2 - d, 3) / 6 END AS b
+   FROM (SELECT *, floor(x)::INT + t AS m, abs(x - (floor(x) + t)) AS d FROM xo, range(-1, 3) r(t)) WHERE d < 2),
+cw AS (SELECT old, new, o::INT AS o, ((old - 1) - abs((old - 1) - abs(m - n) % (2 * (old - 1))))::INT AS s, sum(b * sqrt(3) * pow(sqrt(3) - 2, abs(n))) AS w
+   FROM bm, range(-60, 61) r(n) GROUP BY ALL),
+rng AS (SELECT case_id, min(value) AS lo, max(value) AS hi FROM one_channel GROUP BY 1),
+srng AS (SELECT case_id, i, min(value) AS lo, max(value) AS hi FROM one_channel GROUP BY 1, 2)"""
+
+
+@query("resample_cubic", with_grid(f"""
+SELECT case_id, channel, i, j, k, {q6('least(greatest(v, lo), hi)')} AS value FROM (
+  SELECT v.case_id, channel, a.o AS i, b.o AS j, c.o AS k, sum(value * a.w * b.w * c.w) AS v FROM one_channel v JOIN shapes USING (case_id)
+  JOIN cw a ON a.old = o0 AND a.new = n0 AND a.s = v.i JOIN cw b ON b.old = o1 AND b.new = n1 AND b.s = v.j
+  JOIN cw c ON c.old = o2 AND c.new = n2 AND c.s = v.k GROUP BY ALL) JOIN rng USING (case_id)""", SHAPES, CUBIC))
 def _(spark, sf):
     return rounded(Z.resample(one_channel(spark, sf), shapes(spark, sf), 3), "value")
 
 
-@query("resample_cubic_separate_z")
+@query("resample_cubic_separate_z", with_grid(f"""
+SELECT p.case_id, channel, z.z::INT AS i, j, k, {q6('value')} AS value FROM (
+  SELECT case_id, channel, i, j, k, least(greatest(v, lo), hi) AS value FROM (
+    SELECT v.case_id, channel, v.i AS i, b.o AS j, c.o AS k, sum(value * b.w * c.w) AS v FROM one_channel v JOIN shapes USING (case_id)
+    JOIN cw b ON b.old = o1 AND b.new = n1 AND b.s = v.j JOIN cw c ON c.old = o2 AND c.new = n2 AND c.s = v.k GROUP BY ALL)
+  JOIN srng USING (case_id, i)) p JOIN shapes s ON s.case_id = p.case_id, range(12) z(z)
+WHERE z.z < n0 AND p.i = least(floor(((z.z + 0.5::DOUBLE) * o0 / n0 - 0.5) + 0.5), o0 - 1)""", SHAPES, CUBIC))
 def _(spark, sf):
     return rounded(Z.resample_separate_z(one_channel(spark, sf), shapes(spark, sf), 3, 0), "value")
 

@@ -14,6 +14,7 @@ from voxmill.operators import augment as A
 from voxmill.operators import fingerprint as P
 from voxmill.operators import patches as S
 from voxmill.operators.voxel import crop_and_pad
+from voxmill.session import settle
 
 SEED = 42
 
@@ -47,14 +48,20 @@ def located(spark, sf):
     return P.sample_locations(segs(spark, sf), [1, 2, 3], min_num=5, share=0.3)
 
 
+def with_boxes(spark, sf):
+    """Boxes from one written table of locations, as it is read for counts and for coordinates."""
+    locations = settle(located(spark, sf))
+    return S.patch_bbox(classed_slots(spark, sf, locations), cases(spark, sf), locations, (10, 6, 6), (9, 4, 4), SEED)
+
+
 def drawn_slots(spark, sf):
     batches = cases(spark, sf).select(F.col("case_id").alias("batch"))
     return S.draw_cases(cases(spark, sf), batches, 4, SEED)
 
 
-def classed_slots(spark, sf):
+def classed_slots(spark, sf, locations=None):
     weights = spark.createDataFrame([(1, 3.0), (2, 0.5)], "label tinyint, weight double")
-    counts = P.location_counts(cases(spark, sf), [1, 2, 3], located(spark, sf))
+    counts = P.location_counts(cases(spark, sf), [1, 2, 3], locations if locations is not None else located(spark, sf))
     return S.choose_class(S.mark_foreground_slots(drawn_slots(spark, sf), 4), counts, SEED, weights)
 
 
@@ -95,15 +102,11 @@ boxes AS (SELECT batch, slot, case_id,
    (CASE WHEN vi IS NOT NULL THEN greatest(l2, vk - 3) ELSE l2 + floor({sdraw('lo2')} * (h2 - l2 + 1)) END)::INT AS b2 FROM lows)"""
 
 
-def boxes(spark, sf):
-    return S.patch_bbox(classed_slots(spark, sf), cases(spark, sf), located(spark, sf), (10, 6, 6), (9, 4, 4), SEED)
-
-
 @query("patch_bbox", with_grid("""
 SELECT batch, slot, case_id, b0 AS lo_i, b1 AS lo_j, b2 AS lo_k, b0 + 10 AS hi_i, b1 + 6 AS hi_j, b2 + 6 AS hi_k FROM boxes""",
                                LOCATED, DRAWN, BOXES))
 def _(spark, sf):
-    return boxes(spark, sf).select("batch", "slot", "case_id", *box_columns())
+    return with_boxes(spark, sf).select("batch", "slot", "case_id", *box_columns())
 
 
 CELLS = """cells AS (SELECT b.*, x.x::INT AS i, y.y::INT AS j, z.z::INT AS k FROM boxes b, range(10) x(x), range(6) y(y), range(6) z(z))"""
@@ -114,14 +117,14 @@ SELECT batch, slot, h.channel AS channel, c.i, c.j, c.k, coalesce(value, 0.0::DO
 FROM cells c CROSS JOIN (SELECT unnest([0, 1]) AS channel) h LEFT JOIN voxels v ON v.case_id = c.case_id AND v.channel = h.channel
  AND v.i = c.i + b0 AND v.j = c.j + b1 AND v.k = c.k + b2""", LOCATED, DRAWN, BOXES, CELLS))
 def _(spark, sf):
-    return S.extract_patches(boxes(spark, sf), cases(spark, sf), voxels(spark, sf))["image"]
+    return S.extract_patches(settle(with_boxes(spark, sf)), cases(spark, sf), voxels(spark, sf))["image"]
 
 
 @query("extract_patches_label", with_grid("""
 SELECT batch, slot, c.i, c.j, c.k, coalesce(label, -1)::TINYINT AS label FROM cells c LEFT JOIN segs v
 ON v.case_id = c.case_id AND v.i = c.i + b0 AND v.j = c.j + b1 AND v.k = c.k + b2""", LOCATED, DRAWN, BOXES, CELLS))
 def _(spark, sf):
-    return S.extract_patches(boxes(spark, sf), cases(spark, sf), voxels(spark, sf), segs(spark, sf))["label"]
+    return S.extract_patches(settle(with_boxes(spark, sf)), cases(spark, sf), voxels(spark, sf), segs(spark, sf))["label"]
 
 
 @query("extract_patches_distance", with_grid("""
@@ -130,7 +133,7 @@ ON v.case_id = c.case_id AND v.i = c.i + b0 AND v.j = c.j + b1 AND v.k = c.k + b
 def _(spark, sf):
     # any per-voxel field will do as a distance map here
     field = one_channel(spark, sf).select("case_id", F.lit(1).alias("cls"), "i", "j", "k", F.col("value").alias("dist"))
-    return S.extract_patches(boxes(spark, sf), cases(spark, sf), voxels(spark, sf), distance=field)["distance"]
+    return S.extract_patches(settle(with_boxes(spark, sf)), cases(spark, sf), voxels(spark, sf), distance=field)["distance"]
 
 
 # --- augmentation: every case is one patch of 8x8x8, four to a batch --------------------

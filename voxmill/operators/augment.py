@@ -19,6 +19,7 @@ from voxmill.functions.columns import AXES, draw, draw_index, draw_normal, half_
 from voxmill.operators.patches import PATCH, batch_draw, slot_draw
 from voxmill.operators.resample import _nearest_axis
 from voxmill.operators.voxel import mask_image, remove_outside_label
+from voxmill.session import settle
 
 # fixed values: settings of the augmentation families; a missing entry disables the step
 FAMILIES: dict[str, dict] = {
@@ -402,6 +403,7 @@ def spatial(tables: dict[str, DataFrame], slots: DataFrame, size: Sequence[int],
         offsets = elastic_offsets(slots, out, seed, settings["p_elastic"], settings["elastic_scale"],
                                   settings["elastic_magnitude"], axes, out[0] if dummy_2d else None)
     result = {}
+    params = settle(params)
     for name, table in tables.items():
         moving = params if bent else params.filter("NOT _still")
         warped = warp(table, moving, size, out, VALUE_OF[name], name == "label", axes, offsets)
@@ -428,14 +430,15 @@ def augment(tables: dict[str, DataFrame], slots: DataFrame, size: Sequence[int],
     image = tables["image"]
     if "noise" in cfg:
         image = gaussian_noise(image, slots, seed, cfg["noise"]["p"], cfg["noise"]["variance"])
+    # steps that treat some patches apart read their input twice
     if "blur" in cfg:
-        image = gaussian_blur(image, slots, out, n_channels, seed, cfg["blur"]["p"], cfg["blur"]["sigma"])
+        image = gaussian_blur(settle(image), slots, out, n_channels, seed, cfg["blur"]["p"], cfg["blur"]["sigma"])
     if "brightness" in cfg:
         image = brightness(image, slots, n_channels, seed, cfg["brightness"]["p"], cfg["brightness"]["range"])
     if "contrast" in cfg:
         image = contrast(image, slots, n_channels, seed, cfg["contrast"]["p"], cfg["contrast"]["range"])
     if "low_resolution" in cfg:
-        image = low_resolution(image, slots, out, n_channels, seed, cfg["low_resolution"]["p"],
+        image = low_resolution(settle(image), slots, out, n_channels, seed, cfg["low_resolution"]["p"],
                                cfg["low_resolution"]["scale"], dummy_2d)
     if "gamma" in cfg:
         image = gamma(image, slots, n_channels, seed, cfg["gamma"]["p_inverted"], cfg["gamma"]["range"], invert=True)

@@ -28,8 +28,10 @@ def attach(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inne
     row (so a retried task deals them alike) and the per-group table is repeated
     once per salt. No broadcast is forced: Spark broadcasts the small side when its
     measured size is below the threshold, and adaptive execution splits partitions
-    that are still too large.
+    that are still too large. ``voxmill.salts`` in the session's settings overrides the
+    number.
     """
+    salts = int(big.sparkSession.conf.get("voxmill.salts", str(salts)))
     rest = [c for c in big.columns if c not in on] or list(on)
     dealt = big.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in rest]), F.lit(salts)))
     repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"),
