@@ -62,7 +62,6 @@ def flood(inside):
 def test_fill_holes(spark):
     rng = np.random.default_rng(3)
     inside = rng.random((7, 6, 9)) < 0.62
-    # a long winding tunnel that ends inside, and one that reaches the border
     mask = spark.createDataFrame([("c", *map(int, x), bool(inside[x])) for x in np.ndindex(inside.shape)],
                                  "case_id string, i int, j int, k int, inside boolean")
     cases = case_row(spark, inside.shape)
@@ -73,6 +72,20 @@ def test_fill_holes(spark):
     assert (dense(M.fill_holes(once, cases).withColumn("v", F.col("inside").cast("int")), inside.shape, "v") == got).all()
 
 
+def test_long_tunnels(spark):
+    inside = np.ones((70, 7, 9), bool)
+    inside[1:-1, 1, 4] = False          # closed
+    inside[0:-1, 3, 4] = False          # open at one end
+    for i in range(1, 69):              # winding, closed
+        inside[i, 5, 2:7] = i % 2 == 0
+        if i % 2 == 0:
+            inside[i, 5, 2 if i % 4 else 6] = False
+    mask = spark.createDataFrame([("c", *map(int, x), bool(inside[x])) for x in np.ndindex(inside.shape)],
+                                 "case_id string, i int, j int, k int, inside boolean")
+    out = M.fill_holes(mask, case_row(spark, inside.shape)).withColumn("v", F.col("inside").cast("int"))
+    assert (dense(out, inside.shape, "v").astype(bool) == ~flood(inside)).all()
+
+
 def test_signed_distance(spark):
     rng = np.random.default_rng(4)
     seg = (rng.random((6, 7, 5)) < 0.15) * rng.integers(1, 3, (6, 7, 5))

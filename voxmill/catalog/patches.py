@@ -236,7 +236,34 @@ def _(spark, sf):
     return rounded(A.warp(image(spark, sf), params(spark, sf, 2), SIZE, (8, 5, 6), "value", axes=(1, 2)), "value")
 
 
-@query("elastic_warp")
+def enormal() -> str:
+    def u(end: str) -> str:
+        return sdraw("elastic", "r", "i", "j", "k", f"'{end}'")
+    return f"sqrt(-2.0 * ln(1.0 - {u('a')})) * cos(6.283185307179586::DOUBLE * {u('b')})"
+
+
+ELASTIC = f"""
+ep AS (SELECT batch, slot, (0.05::DOUBLE + {bdraw('elastic_scale')} * (0.2::DOUBLE - 0.05::DOUBLE)) * 8 AS sg, {bdraw('elastic_magnitude')} * 0.2::DOUBLE * 8 AS mg
+   FROM slots WHERE {sdraw('p_elastic')} < 0.5),
+ek AS (SELECT *, list_sum([exp(-(x*x) / (2*sg*sg)) FOR x IN range(-h, h + 1)]) AS zz FROM (SELECT *, greatest(ceil(3 * sg), 1)::INT AS h FROM ep)),
+en AS (SELECT *, {enormal()} AS n FROM (SELECT ek.*, a.r, x.i::INT AS i, y.j::INT AS j, z.k::INT AS k FROM ek, range(3) a(r), range(8) x(i), range(8) y(j), range(8) z(k))),
+eo AS (SELECT p.batch, p.slot, p.r, p.i, p.j, p.k, any_value(p.mg) * sum(v.n * exp(-((v.i-p.i)*(v.i-p.i) + (v.j-p.j)*(v.j-p.j) + (v.k-p.k)*(v.k-p.k)) / (2*p.sg*p.sg)) / (p.zz*p.zz*p.zz)) AS e
+   FROM en p JOIN en v ON v.batch = p.batch AND v.slot = p.slot AND v.r = p.r AND abs(v.i - p.i) <= p.h AND abs(v.j - p.j) <= p.h AND abs(v.k - p.k) <= p.h
+   GROUP BY ALL),
+ew AS (SELECT batch, slot, i, j, k, max(e) FILTER (WHERE r = 0) AS e0, max(e) FILTER (WHERE r = 1) AS e1, max(e) FILTER (WHERE r = 2) AS e2 FROM eo GROUP BY ALL),
+epos AS (SELECT m3.batch, m3.slot, x::INT AS i, y::INT AS j, z::INT AS k, m00*(x-3.5)+m01*(y-3.5)+m02*(z-3.5)+3.5 + coalesce(e0, 0) AS px,
+  m10*(x-3.5)+m11*(y-3.5)+m12*(z-3.5)+3.5 + coalesce(e1, 0) AS py, m20*(x-3.5)+m21*(y-3.5)+m22*(z-3.5)+3.5 + coalesce(e2, 0) AS pz
+  FROM m3, range(8) a(x), range(8) b(y), range(8) c(z) LEFT JOIN ew ON ew.batch = m3.batch AND ew.slot = m3.slot AND ew.i = x AND ew.j = y AND ew.k = z)""".replace(
+      "FROM m3, range(8) a(x), range(8) b(y), range(8) c(z) LEFT JOIN ew ON",
+      "FROM m3 CROSS JOIN range(8) a(x) CROSS JOIN range(8) b(y) CROSS JOIN range(8) c(z) LEFT JOIN ew ON")
+
+
+@query("elastic_warp", with_grid(f"""
+SELECT o.batch, o.slot, h.channel AS channel, o.i, o.j, o.k,
+  {q6('sum(coalesce(value, 0) * (1 - abs(px - floor(px) - dx)) * (1 - abs(py - floor(py) - dy)) * (1 - abs(pz - floor(pz) - dz)))')} AS value
+FROM epos o CROSS JOIN range(2) p(dx) CROSS JOIN range(2) q(dy) CROSS JOIN range(2) r(dz) CROSS JOIN (SELECT unnest([0, 1]) AS channel) h
+LEFT JOIN pim v ON v.batch = o.batch AND v.slot = o.slot AND v.channel = h.channel AND v.i = floor(px) + dx AND v.j = floor(py) + dy AND v.k = floor(pz) + dz
+GROUP BY ALL""", PATCHES, PARAMS, ELASTIC))
 def _(spark, sf):
     offsets = A.elastic_offsets(slots(spark, sf), SIZE, SEED, 0.5, (0.05, 0.2), (0.0, 0.2))
     return rounded(A.warp(image(spark, sf), params(spark, sf), SIZE, SIZE, "value", offsets=offsets), "value")

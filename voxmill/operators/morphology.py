@@ -61,24 +61,25 @@ def _run_edges(runs: DataFrame) -> DataFrame:
 def connected_labels(nodes: DataFrame, edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """Smallest node number of each connected component: (case_id, run, comp).
 
-    Every round takes the smallest label among the neighbours and then follows it for the
-    whole component found so far, so long chains shrink quickly. Rounds are written to
-    the shared folder; a component may be most of a case, so its label is passed on by
-    a salted join.
+    A label is the number of a node. In every round a node takes the smallest label among
+    its neighbours, the node it was labelled with takes the smallest that any of its
+    followers found, and then all labels are replaced by the label of the node they name.
+    The last step doubles the distance covered, so the rounds grow with the logarithm of
+    the longest path. Each round is written to the shared folder; a component may be most
+    of a case, so labels are looked up by a salted join.
     """
     labels = settle(nodes.select("case_id", "run", F.col("run").alias("comp")))
     for _ in range(max_rounds):
-        seen = edges.join(labels.select("case_id", F.col("run").alias("b"), F.col("comp").alias("_nb")), ["case_id", "b"]) \
+        around = edges.join(labels.select("case_id", F.col("run").alias("b"), F.col("comp").alias("_nb")), ["case_id", "b"]) \
             .groupBy("case_id", F.col("a").alias("run")).agg(F.min("_nb").alias("_nb"))
-        lower = labels.join(seen, ["case_id", "run"], "left").withColumn("_low", F.least("comp", F.coalesce("_nb", "comp")))
-        hooked = lower.groupBy("case_id", "comp").agg(F.min("_low").alias("_to"))
-        # one more step along the new label shortens chains of hooks
-        further = hooked.select("case_id", F.col("comp").alias("_to"), F.col("_to").alias("_next"))
-        hooked = attach(hooked, further, ["case_id", "_to"], "left").select("case_id", "comp", F.coalesce("_next", "_to").alias("_to"))
-        following = settle(attach(labels, hooked, ["case_id", "comp"]).select(
-            "case_id", "run", F.col("_to").alias("comp"), (F.col("_to") != F.col("comp")).alias("_moved")))
-        labels = following.drop("_moved")
-        if following.filter("_moved").isEmpty():
+        lower = labels.join(around, ["case_id", "run"], "left").withColumn("_low", F.least("comp", F.coalesce("_nb", "comp")))
+        found = lower.groupBy("case_id", "comp").agg(F.min("_low").alias("_found")).withColumnRenamed("comp", "run")
+        hooked = settle(lower.join(found, ["case_id", "run"], "left").select(
+            "case_id", "run", "comp", F.least("_low", F.coalesce("_found", "_low")).alias("_low")))
+        named = hooked.select("case_id", F.col("run").alias("_low"), F.col("_low").alias("_next"))
+        jumped = settle(attach(hooked, named, ["case_id", "_low"]).select("case_id", "run", "comp", "_next"))
+        labels = jumped.select("case_id", "run", F.col("_next").alias("comp"))
+        if jumped.filter("_next <> comp").isEmpty():
             return labels
     raise RuntimeError("components did not settle")
 
