@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmill.llm import mixing, naming, sharding
+from voxmill.llm import chat, mixing, naming, secrets, sharding, toxicity
+from voxmill.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -68,3 +69,38 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_sharding")
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), sharding.even_tree(16))
+
+
+OP7_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, length(replace(replace(replace(replace(role || text, chr(92), '##'), '<', '##'), '[', '##'), ']', '##')) + 10 AS shown,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS nth,
+             count(*) OVER (PARTITION BY conv_id) AS n FROM c),
+x AS (SELECT *, sum(shown) OVER (PARTITION BY conv_id ORDER BY nth) AS chars FROM e)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY nth)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY nth) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       (sum(chars) FILTER (role = 'assistant' OR nth = n))::BIGINT AS formatted_chars
+FROM x GROUP BY conv_id
+"""
+
+
+@query("op7_chat_formatting", OP7_SQL)
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    text = "</s>[INST] ok [/INST]"
+    turns = turns.unionByName(spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], turns.schema))
+    path = scratch_path(spark, "examples")
+    chat.write_examples(turns, path)
+    return chat.digest(chat.read_examples(spark, path))
+
+
+@query("op10_secret_scan")
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan_secrets(table(spark, sf_dir, "documents"))[1])
+
+
+@query("op5_toxicity")
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
