@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmill.llm import chat, decontaminate, mixing, naming, secrets, sharding, tokens, toxicity
+from voxmill.llm import chat, decontaminate, mixing, naming, secrets, sharding, substrings, tokens, toxicity
 from voxmill.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,3 +139,20 @@ FROM documents d LEFT JOIN r ON d.doc_id = r.doc_id
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.withColumn("item_ids", F.array_join(F.col("item_ids").cast("array<string>"), ","))
+
+
+OP4_SQL = r"""
+WITH w AS (SELECT doc_id, CASE WHEN text IS NULL THEN [] ELSE regexp_extract_all(text, '[^\x20\x09-\x0D]+') END AS w FROM documents),
+x AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS s FROM w, unnest(range(1, len(w) - 33)) AS u(i)),
+r AS (SELECT s FROM x GROUP BY s HAVING count(*) > 1),
+c AS (SELECT DISTINCT doc_id, j FROM x JOIN r USING (s), unnest(range(i, i + 35)) AS u(j)),
+p AS (SELECT doc_id, j, w[j] AS word FROM w, unnest(range(1, len(w) + 1)) AS u(j)),
+k AS (SELECT p.doc_id, count(*) AS n_kept, string_agg(word, ' ' ORDER BY p.j) AS kept FROM p ANTI JOIN c ON p.doc_id = c.doc_id AND p.j = c.j GROUP BY p.doc_id)
+SELECT w.doc_id, len(w)::BIGINT AS n_words, len(w) - coalesce(n_kept, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN k ON w.doc_id = k.doc_id
+"""
+
+
+@query("op4_substring_dedup", OP4_SQL)
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
