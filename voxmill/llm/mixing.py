@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxmill.llm.common import WORD, Scratch, md5_draw, md5_of, running_sum, same, text_key
+from voxmill.llm.common import WORD, Scratch, md5_draw, md5_of, running_sum, same, sized, text_key
 
 #: Primes of which one is coprime to any number of blocks below their product.
 STRIDES = (1_000_003, 1_000_033, 1_000_037)
@@ -190,3 +190,24 @@ def taken_words(pieces: DataFrame, rows: DataFrame) -> DataFrame:
     even = F.floor(F.col("sum") / F.col("copies"))
     extra = (F.col("nth") <= F.col("sum") - even * F.col("copies")).cast("bigint")
     return out.select("doc_id", "size", "source_size", "target", (even + extra).cast("bigint").alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The documents as the mix takes them, with all their columns: once per pass.
+
+    A document that a source's target cuts is taken whole if at least half its words are before the cut,
+    and left out otherwise. Equal rows are taken equally often, rounded up. Documents without words
+    have nothing to take.
+    """
+    scratch = Scratch(docs.sparkSession)
+    pieces, rows = mix(docs, **options)
+    key = ("doc_id", "tkey", "source")
+    sizes = rows.groupBy(*key).agg(F.max("size").alias("size"), F.count(F.lit(1)).alias("rows"))
+    passes = pieces.groupBy(*key, "pass").agg(F.sum("n_words").alias("n"))
+    took = passes.alias("l").join(sizes.alias("r"), same("l", "r", *key)).select(*[f"l.{k}" for k in key], "n", "size", "rows")
+    took = took.groupBy(*key).agg(F.max("rows").alias("rows"), F.sum(F.round(F.col("n") / F.col("size"))).cast("bigint").alias("n"))
+    took = scratch.keep(took.select(*key, F.ceil(F.col("n") / F.col("rows")).cast("int").alias("__times")).filter("__times > 0"))
+    keyed = docs.withColumn("__tkey", text_key()).alias("l")
+    test = (F.col("l.__tkey") == F.col("r.tkey")) & same("l", "r", "doc_id", "source")
+    out = keyed.join(sized(took, took.count()).alias("r"), test).select(*[f"l.`{c}`" for c in docs.columns], "__times")
+    return out.withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__times")))).drop("__times", "__nth")

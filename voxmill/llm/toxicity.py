@@ -198,3 +198,15 @@ def classify(docs: DataFrame, labels: DataFrame, per_class: int = 4000) -> DataF
     model = train(docs, labels.filter(~held_out()), per_class)
     return score(docs, model, "doc_id").select("doc_id", held_out().alias("held_out"), "score",
                                               (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def keep_clean(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
+    """The documents that score below ``limit``, with all their columns, whatever these are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            values = score_texts(shared.value, [t or "" for t in b.column("text").to_pylist()])
+            yield b.filter(pa.array(values < limit))
+
+    return docs.mapInArrow(keep, docs.schema)
