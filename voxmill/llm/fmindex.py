@@ -43,7 +43,7 @@ class BitVector:
 
 
 class FMIndex:
-    """``symbols`` are numbers from 0; ``weights`` say how often each position counts."""
+    """``symbols`` are numbers from 0, the last one a symbol of its own; ``weights`` say how often each position counts."""
 
     def __init__(self, symbols: np.ndarray, weights: np.ndarray):
         self.size = len(symbols)
