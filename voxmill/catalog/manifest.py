@@ -10,9 +10,15 @@ from voxmill.operators import manifest as M
 from voxmill.operators import splits as S
 
 
+def padded(key, width: int):
+    """A number with zeros in front, up to ``width`` digits; longer ones stay whole."""
+    shown = key.cast("string")
+    return F.lpad(shown, F.greatest(F.lit(width), F.length(shown)), F.lit("0"))
+
+
 def image_files(spark, sf):
     """Two channels per document (one for every 17th), some hidden, some of another kind."""
-    key = F.lpad(F.col("doc_id").cast("string"), 5, "0")
+    key = padded(F.col("doc_id"), 5)
     name = F.concat(F.when(F.col("doc_id") % 29 == 0, ".").otherwise(""), F.lit("case_"), key, F.lit("_000"),
                     F.col("c").cast("string"), F.when(F.col("doc_id") % 31 == 0, ".txt").otherwise(".nii.gz"))
     folder = F.when(F.col("doc_id") % 10 == 9, "imagesTs").when(F.col("doc_id") % 10 == 8, "imagesVal").otherwise("imagesTr")
@@ -21,18 +27,18 @@ def image_files(spark, sf):
 
 
 def label_files(spark, sf):
-    key = F.lpad(F.col("doc_id").cast("string"), 5, "0")
+    key = padded(F.col("doc_id"), 5)
     folder = F.when(F.col("doc_id") % 10 == 9, "labelsTs").when(F.col("doc_id") % 10 == 8, "labelsVal").otherwise("labelsTr")
     return table(spark, sf, "labels").select(F.concat(folder, F.lit("/case_"), key, F.lit(".nii.gz")).alias("path"))
 
 
 FILES = """
 images AS (SELECT doc_id, c, CASE doc_id % 10 WHEN 9 THEN 'imagesTs' WHEN 8 THEN 'imagesVal' ELSE 'imagesTr' END || '/' ||
-    CASE WHEN doc_id % 29 = 0 THEN '.' ELSE '' END || 'case_' || lpad(doc_id::VARCHAR, 5, '0') || '_000' || c ||
+    CASE WHEN doc_id % 29 = 0 THEN '.' ELSE '' END || 'case_' || lpad(doc_id::VARCHAR, greatest(5, length(doc_id::VARCHAR))::INT, '0') || '_000' || c ||
     CASE WHEN doc_id % 31 = 0 THEN '.txt' ELSE '.nii.gz' END AS path
   FROM documents, (VALUES (0), (1)) v(c) WHERE NOT (c = 1 AND doc_id % 17 = 0)),
 labelf AS (SELECT doc_id, CASE doc_id % 10 WHEN 9 THEN 'labelsTs' WHEN 8 THEN 'labelsVal' ELSE 'labelsTr' END ||
-    '/case_' || lpad(doc_id::VARCHAR, 5, '0') || '.nii.gz' AS path FROM labels),
+    '/case_' || lpad(doc_id::VARCHAR, greatest(5, length(doc_id::VARCHAR))::INT, '0') || '.nii.gz' AS path FROM labels),
 both_files AS (SELECT path FROM images UNION ALL SELECT path FROM labelf),
 named AS (SELECT path, split_part(path, '/', 1) AS folder, split_part(path, '/', 2) AS name FROM both_files),
 stems AS (SELECT *, regexp_replace(name, '\\.nii\\.gz$', '') AS stem FROM named WHERE name LIKE '%.nii.gz' AND name NOT LIKE '.%'),
@@ -82,7 +88,7 @@ def _(spark, sf):
 @query("group_cases", sql("""
 SELECT case_id, string_agg(path, ',' ORDER BY channel) AS paths FROM tr GROUP BY 1 HAVING count(*) = 2"""))
 def _(spark, sf):
-    return flat(M.group_cases(train_images(spark, sf), 2), "paths")
+    return flat(M.group_cases(train_images(spark, sf), 2, on_mismatch="drop"), "paths")
 
 
 @query("channel_mismatches", sql(
@@ -134,12 +140,12 @@ def _(spark, sf):
     return M.common_cases(train_images(spark, sf), train_labels(spark, sf))
 
 
-PROPS = """props AS (SELECT 'case_' || lpad(doc_id::VARCHAR, 5, '0') AS case_id, quality, toxic FROM labels WHERE doc_id % 3 <> 0)"""
+PROPS = """props AS (SELECT 'case_' || lpad(doc_id::VARCHAR, greatest(5, length(doc_id::VARCHAR))::INT, '0') AS case_id, quality, toxic FROM labels WHERE doc_id % 3 <> 0)"""
 
 
 def properties(spark, sf):
     return table(spark, sf, "labels").filter("doc_id % 3 <> 0").select(
-        F.concat(F.lit("case_"), F.lpad(F.col("doc_id").cast("string"), 5, "0")).alias("case_id"), "quality", "toxic")
+        F.concat(F.lit("case_"), padded(F.col("doc_id"), 5)).alias("case_id"), "quality", "toxic")
 
 
 @query("pair_arrays_with_properties", sql("SELECT tr.*, quality, toxic FROM tr JOIN props USING (case_id)", PROPS))
@@ -180,12 +186,12 @@ def _(spark, sf):
     return M.foreground_labels(M.normalize_labels(label_maps(spark, sf)))
 
 
-NUMBERED = "SELECT 'scan_' || lpad(doc_id::VARCHAR, 4, '0') AS case_id, lang FROM documents"
+NUMBERED = "SELECT 'scan_' || lpad(doc_id::VARCHAR, greatest(4, length(doc_id::VARCHAR))::INT, '0') AS case_id, lang FROM documents"
 
 
 def numbered_cases(spark, sf):
     return table(spark, sf, "documents").select(
-        F.concat(F.lit("scan_"), F.lpad(F.col("doc_id").cast("string"), 4, "0")).alias("case_id"), "lang")
+        F.concat(F.lit("scan_"), padded(F.col("doc_id"), 4)).alias("case_id"), "lang")
 
 
 for _mod, _op in (("ct", "<= 500"), ("mri", "> 500")):
@@ -215,7 +221,7 @@ def _(spark, sf):
 def modality_files(spark, sf):
     key = F.col("c_custkey")
     parts = F.array(*[F.lit(m) for m in ("T1N", "t1c", "t2f", "t2w", "seg", "extra")])
-    case = F.concat(F.lit("Sub-"), F.lpad(key.cast("string"), 5, "0"), F.lit("-000"))
+    case = F.concat(F.lit("Sub-"), padded(key, 5), F.lit("-000"))
     return (table(spark, sf, "customer")
             .select("*", case.alias("case"), F.posexplode(parts).alias("pos", "m"))
             .filter("NOT (m = 'seg' AND (c_nationkey % 2 = 1 OR c_custkey % 13 = 0))")
@@ -225,7 +231,7 @@ def modality_files(spark, sf):
 
 
 MODS = """
-mf AS (SELECT c_custkey, pos, m, 'part' || c_nationkey AS split_dir, 'Sub-' || lpad(c_custkey::VARCHAR, 5, '0') || '-000' AS case_dir
+mf AS (SELECT c_custkey, pos, m, 'part' || c_nationkey AS split_dir, 'Sub-' || lpad(c_custkey::VARCHAR, greatest(5, length(c_custkey::VARCHAR))::INT, '0') || '-000' AS case_dir
   FROM customer, (VALUES (0,'T1N'), (1,'t1c'), (2,'t2f'), (3,'t2w'), (4,'seg'), (5,'extra')) v(pos, m)
   WHERE NOT (m = 'seg' AND (c_nationkey % 2 = 1 OR c_custkey % 13 = 0)) AND (c_custkey + pos) % 11 <> 0),
 pm AS (SELECT 'root/' || split_dir || '/' || case_dir || '/' || case_dir || '-' || m || '.nii.gz' AS path, lower(m) AS modality,
@@ -267,7 +273,7 @@ FROM (SELECT p_partkey, ['spleen','liver','heart','hippocampus','unknown'][1 + p
 def _(spark, sf):
     names = F.array(*[F.lit(x) for x in ("spleen", "liver", "heart", "hippocampus", "unknown")])
     return M.catalogue_channels(table(spark, sf, "part").select(
-        "p_partkey", F.get(names, F.col("p_size") % 5).alias("source")))
+        "p_partkey", F.get(names, F.col("p_size") % 5).alias("source")), unknown="drop")
 
 
 @query("catalogue_labels", """
@@ -277,7 +283,7 @@ JOIN (VALUES ('spleen', 0, 'background'), ('spleen', 1, 'spleen'), ('liver', 0,
 def _(spark, sf):
     names = F.array(*[F.lit(x) for x in ("spleen", "liver", "unknown")])
     return M.catalogue_labels(table(spark, sf, "part").select(
-        "p_partkey", F.get(names, F.col("p_size") % 3).alias("source")))
+        "p_partkey", F.get(names, F.col("p_size") % 3).alias("source")), unknown="drop")
 
 
 # --- splits -------------------------------------------------------------------------

@@ -83,10 +83,16 @@ def split_manifest(manifest: DataFrame, split: str) -> DataFrame:
     return attach(chosen.filter("kind = 'image'").select("case_id", "channel", "path"), labels, ["case_id"], "left")
 
 
-def group_cases(manifest: DataFrame, n_channels: int) -> DataFrame:
-    """Paths per case in channel order, for cases with the expected number of channels.
-
-    Counted first: a case with far too many files is never gathered."""
+def group_cases(manifest: DataFrame, n_channels: int, on_mismatch: str = "raise") -> DataFrame:
+    """Paths per case in channel order.
+
+    A case with another number of channels is an error, or is left out with
+    ``on_mismatch="drop"``; :func:`channel_mismatches` lists these. Counted first: a case with far
+    too many files is never gathered."""
+    if on_mismatch not in ("raise", "drop"):
+        raise ValueError(f"unknown on_mismatch {on_mismatch!r}")
+    if on_mismatch == "raise":
+        raise_if_any(channel_mismatches(manifest, n_channels), "case_id", f"cases without {n_channels} channels")
     counts = manifest.groupBy("case_id").agg(F.count(F.lit(1)).alias("_n"))
     good = counts.filter(F.col("_n") == n_channels).select("case_id")
     return (attach(manifest, good, ["case_id"]).groupBy("case_id")
@@ -173,7 +179,7 @@ def foreground_labels(labels: DataFrame) -> DataFrame:
 
 def modality_filter(manifest: DataFrame, modality: str = "all") -> DataFrame:
     """Cases numbered up to 500 are CT, the others MRI."""
-    number = F.element_at(F.split("case_id", "_"), -1).cast("int")
+    number = F.element_at(F.split("case_id", "_"), -1).cast("bigint")
     if modality == "ct":
         return manifest.filter(number <= LAST_CT_NUMBER)
     if modality == "mri":
@@ -193,15 +199,28 @@ def parse_modality_suffix(files: DataFrame) -> DataFrame:
         "case_id": F.regexp_replace(F.get(parts, F.lit(1)), "-[^-]*$", "")})
 
 
-def catalogue_channels(sources: DataFrame) -> DataFrame:
-    """Channel names of known sources; the catalogue is a constant of a dozen rows."""
+def _looked_up(sources: DataFrame, known: DataFrame, unknown: str) -> DataFrame:
+    """Join a catalogue, which is a constant of a few rows; a source it lacks is an error unless dropped."""
+    if unknown not in ("raise", "drop"):
+        raise ValueError(f"unknown choice {unknown!r}")
+    if unknown == "drop":
+        return sources.join(F.broadcast(known), "source")
+    found = sources.join(F.broadcast(known.withColumn("_known", F.lit(True))), "source", "left")
+    checked = F.when(F.col("_known"), F.col("source")).otherwise(
+        F.raise_error(F.concat(F.lit("source is not in the catalogue: "), F.coalesce("source", F.lit("null")))))
+    return found.withColumn("source", checked).drop("_known")
+
+
+def catalogue_channels(sources: DataFrame, unknown: str = "raise") -> DataFrame:
+    """Channel names of sources; ``unknown="drop"`` leaves out sources that have none."""
     known = sources.sparkSession.createDataFrame(CHANNEL_CATALOGUE, "source string, channel int, channel_name string")
-    return sources.join(F.broadcast(known), "source")
+    return _looked_up(sources, known, unknown)
 
 
-def catalogue_labels(sources: DataFrame) -> DataFrame:
+def catalogue_labels(sources: DataFrame, unknown: str = "raise") -> DataFrame:
+    """Label names of sources; ``unknown="drop"`` leaves out sources that have none."""
     known = sources.sparkSession.createDataFrame(LABEL_CATALOGUE, "source string, label_id int, name string")
-    return sources.join(F.broadcast(known), "source")
+    return _looked_up(sources, known, unknown)
 
 
 def split_role_inference(files: DataFrame) -> DataFrame:
