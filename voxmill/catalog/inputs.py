@@ -101,7 +101,7 @@ def with_grid(body: str, *more: str) -> str:
 def udraw(*parts: str) -> str:
     """SQL text of the hashed uniform draw."""
     key = " || '|' || ".join(f"({p})::VARCHAR" for p in parts)
-    return f"(('0x' || substr(md5({key}),1,8))::BIGINT / 4294967296.0::DOUBLE)"
+    return f"(('0x' || substr(md5({key}),1,13))::BIGINT / 4503599627370496.0::DOUBLE)"
 
 
 def htoken(*parts: str) -> str:

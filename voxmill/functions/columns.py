@@ -21,8 +21,8 @@ def token(*parts) -> Column:
 
 def draw(*parts) -> Column:
     """Uniform number in [0, 1) that depends on nothing but the parts."""
-    head = F.conv(F.substring(token(*parts), 1, 8), 16, 10).cast("bigint")
-    return head / F.lit(4294967296.0)
+    head = F.conv(F.substring(token(*parts), 1, 13), 16, 10).cast("bigint")
+    return head / F.lit(4503599627370496.0)
 
 
 def draw_between(lo, hi, *parts) -> Column:
