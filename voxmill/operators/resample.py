@@ -39,11 +39,17 @@ def _reflected(idx: Column, n: Column) -> Column:
     return F.when(n == 1, F.lit(0)).when(back > n - 1, 2 * (n - 1) - back).otherwise(back)
 
 
-def _spread_out(df: DataFrame, axis: str, reach: float, old: Column, new: Column) -> DataFrame:
-    """Candidate outputs ``_o`` of each source voxel; a superset, filtered by the caller."""
+def _spread_out(df: DataFrame, axis: str, reach: float, old: Column, new: Column, mirrored: bool = False) -> DataFrame:
+    """Candidate outputs ``_o`` of each source voxel; a superset, filtered by the caller.
+
+    The second voxel from either end is also the mirrored neighbour of the outputs beyond the
+    edge voxel's centre, so it reaches to the end of the axis.
+    """
     s = F.col(axis)
     first = F.greatest(F.lit(0), F.floor((s - reach + 0.5) * new / old - 0.5).cast("int") - 1)
     last = F.least(new - 1, F.ceil((s + reach + 0.5) * new / old - 0.5).cast("int") + 1)
+    if mirrored:
+        first, last = F.when(s <= 1, F.lit(0)).otherwise(first), F.when(s >= old - 2, new - 1).otherwise(last)
     return df.withColumn("_o", F.explode(F.sequence(F.least(first, last), last)))
 
 
@@ -70,7 +76,7 @@ def _linear_axis(df: DataFrame, axis: str, a: int, value: str) -> DataFrame:
     weight = F.when(_reflected(low, old) == s, 1 - part).otherwise(0.0) \
         + F.when(_reflected(low + 1, old) == s, part).otherwise(0.0)
     # one exchange by line; the aggregation then needs none of its own
-    sent = _spread_out(df.repartition(*keys), axis, 1.0, old, new).withColumn("_w", weight).filter("_w != 0")
+    sent = _spread_out(df.repartition(*keys), axis, 1.0, old, new, mirrored=True).withColumn("_w", weight).filter("_w != 0")
     sizes = _sizes(df)
     return (sent.groupBy(*keys, "_o").agg(F.sum(F.col("_w") * F.col(value)).alias(value),
                                           *[F.first(c).alias(c) for c in sizes])
