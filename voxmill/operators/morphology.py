@@ -58,18 +58,18 @@ def _run_edges(runs: DataFrame) -> DataFrame:
     return one_way.unionByName(one_way.select("case_id", F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def connected_labels(nodes: DataFrame, edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def connected_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Smallest node number of each connected component: (case_id, run, comp).
 
     A label is the number of a node. In every round a node takes the smallest label among
     its neighbours, the node it was labelled with takes the smallest that any of its
     followers found, and then all labels are replaced by the label of the node they name.
     The last step doubles the distance covered, so the rounds grow with the logarithm of
-    the longest path. Each round is written to the shared folder; a component may be most
+    the longest path; labels only fall, so they settle. Each round is written to the shared folder; a component may be most
     of a case, so labels are looked up by a salted join.
     """
     labels = settle(nodes.select("case_id", "run", F.col("run").alias("comp")))
-    for _ in range(max_rounds):
+    while True:
         around = edges.join(labels.select("case_id", F.col("run").alias("b"), F.col("comp").alias("_nb")), ["case_id", "b"]) \
             .groupBy("case_id", F.col("a").alias("run")).agg(F.min("_nb").alias("_nb"))
         lower = labels.join(around, ["case_id", "run"], "left").withColumn("_low", F.least("comp", F.coalesce("_nb", "comp")))
@@ -81,7 +81,6 @@ def connected_labels(nodes: DataFrame, edges: DataFrame, max_rounds: int = 64) -
         labels = jumped.select("case_id", "run", F.col("_next").alias("comp"))
         if jumped.filter("_next <> comp").isEmpty():
             return labels
-    raise RuntimeError("components did not settle")
 
 
 def fill_holes(mask: DataFrame, cases: DataFrame) -> DataFrame:
