@@ -13,26 +13,43 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxmill.functions.columns import token
+from voxmill.functions.columns import AXES, token
 from voxmill.session import settle
 
 SALTS = 32
+MOST_SALTS = 1024
+#: Bytes of the large side, by Spark's estimate, for each salt.
+SALT_BYTES = 4 << 30
 CHUNK = 4096
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """Spark's own estimate of a table's size, by which it decides what to broadcast."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def attach(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner",
-           salts: int = SALTS) -> DataFrame:
+           salts: int | None = None) -> DataFrame:
     """Join a per-group table to the rows of the groups.
 
-    The rows of a hot group are dealt over ``salts`` partitions by a hash of the
-    row (so a retried task deals them alike) and the per-group table is repeated
-    once per salt. No broadcast is forced: Spark broadcasts the small side when its
-    measured size is below the threshold, and adaptive execution splits partitions
-    that are still too large. ``voxmill.salts`` in the session's settings overrides the
-    number.
+    A per-group table below the broadcast threshold is joined as it is, which Spark does by
+    broadcast. Otherwise the rows of a hot group are dealt over salts by a hash of
+    the row's place (so a retried task deals them alike) and the per-group table is repeated
+    once per salt; as the estimate ignores that, this is done only where it cannot lead to a
+    broadcast of the repeated rows. Adaptive execution measures and splits what is
+    still too large. The number of salts follows the size of the large side, unless given or
+    set as ``voxmill.salts`` in the session.
     """
-    salts = int(big.sparkSession.conf.get("voxmill.salts", str(salts)))
-    rest = [c for c in big.columns if c not in on] or list(on)
+    spark = big.sparkSession
+    threshold = int(spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
+    if estimated_bytes(small) <= threshold:
+        return big.join(small, list(on), how)
+    if salts is None:
+        by_size = min(MOST_SALTS, max(SALTS, -(-estimated_bytes(big) // SALT_BYTES)))
+        salts = int(spark.conf.get("voxmill.salts", str(by_size)))
+    # coordinates tell rows of a group apart; without them, any columns that can be hashed
+    plain = [f.name for f in big.schema.fields if f.name not in on and f.dataType.typeName() not in ("map", "variant")]
+    rest = [c for c in AXES if c in plain] or plain or list(on)
     dealt = big.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in rest]), F.lit(salts)))
     repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"),
                                                               F.lit(salts - 1).cast("bigint"))))

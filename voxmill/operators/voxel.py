@@ -88,6 +88,10 @@ def crop_to_bbox(voxels: DataFrame, bbox: DataFrame) -> DataFrame:
         .drop("_lo", "_hi")
 
 
+#: Voxels along each side of the tiles by which requests find their voxels.
+TILE = 16
+
+
 def _pad_rows(boxes: DataFrame, keys: list[str], inner_lo: list[Column], inner_hi: list[Column],
               outer_lo: list[Column], outer_hi: list[Column], carry: list[str]) -> DataFrame:
     """Cells of the outer box that are not in the inner box."""
@@ -108,8 +112,15 @@ def crop_and_pad(table: DataFrame, requests: DataFrame, shapes: DataFrame, value
     """
     keys = list(request_keys)
     boxes = requests.select(*keys, "case_id", "lo", "hi").join(shapes.select("case_id", "shape"), "case_id")
-    wanted = boxes.select(*keys, "case_id", F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
-    cut = attach(table, wanted, ["case_id"]).filter(inside_box(F.col("_lo"), F.col("_hi")))
+    wanted = boxes.select(*keys, "case_id", F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), "shape")
+    # a voxel meets only the requests that touch its tile, not all of the case's
+    tiles = [f"_tile{a}" for a in range(3)]
+    for a, tile in enumerate(tiles):
+        first = F.floor(F.greatest(F.lit(0), F.col("_lo")[a]) / TILE)
+        last = F.floor((F.least(F.col("shape")[a], F.col("_hi")[a]) - 1) / TILE)
+        wanted = wanted.filter(first <= last).withColumn(tile, F.explode(F.sequence(first.cast("int"), last.cast("int"))))
+    tiled = table.withColumns({tile: F.floor(F.col(axis) / TILE).cast("int") for tile, axis in zip(tiles, AXES)})
+    cut = attach(tiled, wanted.drop("shape"), ["case_id", *tiles]).filter(inside_box(F.col("_lo"), F.col("_hi")))
     cut = cut.withColumns({axis: F.col(axis) - F.col("_lo")[a] for a, axis in enumerate(AXES)})
     columns = [*keys, "case_id", *extra, *AXES]
 
