@@ -130,6 +130,19 @@ def _(spark, sf):
                        r6(F.element_at("label_class_ratios", F.lit(0))).alias("background"))
 
 
+@query("dataset_fingerprint_unlabelled", with_grid(f"""
+SELECT g.*, f.channel, mean, std, median, percentile_00_5, percentile_99_5
+FROM (SELECT dataset_id, count(*) AS num_cases, {SQL_GEOMETRY} FROM icases GROUP BY 1) g
+JOIN (SELECT case_id % 3 AS dataset_id, channel, {SQL_STATS} FROM voxels JOIN mask USING (case_id, i, j, k) WHERE inside GROUP BY 1, 2) f
+  USING (dataset_id)""", """icases AS (SELECT c.case_id % 3 AS dataset_id, hi0-lo0 AS ax, hi1-lo1 AS ay, hi2-lo2 AS az, sx, sy, sz,
+  ((hi0-lo0)*(hi1-lo1)*(hi2-lo2))::DOUBLE / (nx*ny*nz) AS crop_ratio FROM cases c JOIN bbox USING (case_id))"""))
+def _(spark, sf):
+    wide = P.dataset_fingerprint(voxels(spark, sf), None, cases(spark, sf))
+    long = wide.filter("num_classes IS NULL AND label_class_ratios IS NULL").select("*", F.explode("intensity_per_channel").alias("channel", "s"))
+    return long.select("dataset_id", "num_cases", *geometry_columns(), "channel",
+                       *[r6(F.col(f"s.{c}")).alias(c) for c in ("mean", "std", "median", "percentile_00_5", "percentile_99_5")])
+
+
 DRAWN = f"""
 ranked AS (SELECT *, row_number() OVER (PARTITION BY case_id, channel ORDER BY {htoken('7', 'i', 'j', 'k')}) - 1 AS rank,
              count(*) OVER (PARTITION BY case_id, channel) AS size FROM fg),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from voxmill.functions.columns import AXES, VOXEL, draw_index, inside_box, per_axis
 from voxmill.operators.spread import (
-    attach, numbered, percentiles_of_counts, rank_by_hash, value_counts)
+    attach, exact_percentiles, numbered, percentiles_of_counts, rank_by_hash, value_counts)
 from voxmill.operators.voxel import crop_ratio, nonzero_bbox
 from voxmill.session import settle
 
@@ -21,8 +21,10 @@ LOCATION_SHARE = 0.01
 def foreground(voxels: DataFrame, segs: DataFrame | None = None) -> DataFrame:
     """Voxels with a positive label, or without labels those where any channel is not 0."""
     if segs is None:
-        marked = voxels.filter(F.col("value") != 0).select(*VOXEL).distinct()
-        return voxels.join(marked, list(VOXEL), "left_semi")
+        # a voxel's few channels meet once
+        rest = [c for c in voxels.columns if c not in VOXEL]
+        whole = voxels.groupBy(*VOXEL).agg(F.max(F.col("value") != 0).alias("_any"), F.collect_list(F.struct(*rest)).alias("_rows"))
+        return whole.filter("_any").select(*VOXEL, F.inline("_rows")).select(*voxels.columns)
     marked = segs.filter(F.col("label") > 0).select(*VOXEL)
     # labels fill a small part of a volume: voxels beyond their box need not be shuffled
     box = marked.groupBy("case_id").agg(F.array(*[F.min(a) for a in AXES]).alias("_lo"),
@@ -105,36 +107,47 @@ def volume_range(voxels: DataFrame, keys: tuple[str, ...] = ("case_id", "channel
     return voxels.groupBy(*keys).agg(F.min("value").alias("min"), F.max("value").alias("max"))
 
 
-def cropped_geometry(voxels: DataFrame, segs: DataFrame, cases: DataFrame) -> DataFrame:
-    """cases with shape_after_crop and crop_ratio (box over image and labels)."""
+def cropped_geometry(voxels: DataFrame, segs: DataFrame | None, cases: DataFrame) -> DataFrame:
+    """cases with shape_after_crop and crop_ratio (box over image and, if there are any, labels)."""
     return cases.join(crop_ratio(nonzero_bbox(voxels, cases, segs), cases), "case_id")
 
 
 def geometry_summary(geometry: DataFrame) -> DataFrame:
     """Per dataset: median and 10th-percentile spacing, median cropped size and ratio.
 
-    One row per case goes in, and the exact aggregates hold distinct values only.
+    One row per case goes in. Percentiles come from counts of equal values, so a dataset
+    may have any number of cases.
     """
-    def axis_percentile(column: str, p: float) -> Column:
-        return per_axis(lambda a: F.percentile(F.col(column)[a].cast("double"), F.lit(p)))
+    def value(what: str, column: Column) -> Column:
+        return F.struct(F.lit(what).alias("what"), column.cast("double").alias("value"))
 
-    return geometry.groupBy("dataset_id").agg(
-        F.count(F.lit(1)).alias("num_cases"),
-        axis_percentile("spacing", 0.5).alias("median_spacing"),
-        axis_percentile("spacing", 0.1).alias("p10_spacing"),
-        axis_percentile("shape_after_crop", 0.5).alias("median_size_after_crop"),
-        F.coalesce(F.percentile("crop_ratio", F.lit(0.5)), F.lit(1.0)).alias("median_crop_ratio"))
+    values = F.array(*[value(f"spacing{a}", F.col("spacing")[a]) for a in range(3)],
+                     *[value(f"size{a}", F.col("shape_after_crop")[a]) for a in range(3)],
+                     *([value("ratio", F.col("crop_ratio"))] if "crop_ratio" in geometry.columns else []))
+    long = geometry.select("dataset_id", F.inline(values))
+    found = exact_percentiles(long, ["dataset_id", "what"], "value", {"p50": 0.5, "p10": 0.1})
+
+    def of(what: str, p: str) -> Column:
+        return F.max(F.when(F.col("what") == what, F.col(p)))
+
+    wide = found.groupBy("dataset_id").agg(
+        per_axis(lambda a: of(f"spacing{a}", "p50")).alias("median_spacing"),
+        per_axis(lambda a: of(f"spacing{a}", "p10")).alias("p10_spacing"),
+        per_axis(lambda a: of(f"size{a}", "p50")).alias("median_size_after_crop"),
+        F.coalesce(of("ratio", "p50"), F.lit(1.0)).alias("median_crop_ratio"))
+    return geometry.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("num_cases")).join(wide, "dataset_id", "left")
 
 
 # --- partial results that merge in any order -------------------------------------
 
-def statistics_partial(voxels: DataFrame, segs: DataFrame, cases: DataFrame) -> DataFrame:
+def statistics_partial(voxels: DataFrame, segs: DataFrame | None, cases: DataFrame) -> DataFrame:
     """Mergeable statistics of some cases: (dataset_id, kind, id, v, n).
 
     ``intensity``: count of each foreground value per channel; ``label``: voxels per
     label inside the image box; ``seen``: voxels per label in the full volume;
     ``case``: number of cases. Merging adds counts, so nothing is lost and the order
-    of arrival does not matter.
+    of arrival does not matter. Without labels the foreground is where any channel is not
+    0, and there are no rows of the two label kinds.
     """
     dataset = cases.select("case_id", "dataset_id")
     box = nonzero_bbox(voxels, cases)
@@ -144,14 +157,16 @@ def statistics_partial(voxels: DataFrame, segs: DataFrame, cases: DataFrame) ->
                              v.cast("double").alias("v")).agg(F.sum("n").alias("n"))
 
     per_value = attach(foreground(voxels, segs), dataset, ["case_id"]).withColumn("n", F.lit(1).cast("bigint"))
+    nothing = F.lit(None)
+    always = (rows("intensity", per_value, F.col("channel"), F.col("value"))
+              .unionByName(rows("case", dataset.withColumn("n", F.lit(1).cast("bigint")), F.lit(0), nothing)))
+    if segs is None:
+        return always
     per_case = segs.groupBy("case_id", "label").agg(F.count(F.lit(1)).alias("n")).join(dataset, "case_id")
     boxed = labels_in_box(segs, box).groupBy("case_id", "label").agg(F.count(F.lit(1)).alias("n")) \
         .join(dataset, "case_id")
-    nothing = F.lit(None)
-    return (rows("intensity", per_value, F.col("channel"), F.col("value"))
-            .unionByName(rows("label", boxed, F.col("label"), nothing))
-            .unionByName(rows("seen", per_case, F.col("label"), nothing))
-            .unionByName(rows("case", dataset.withColumn("n", F.lit(1).cast("bigint")), F.lit(0), nothing)))
+    return (always.unionByName(rows("label", boxed, F.col("label"), nothing))
+            .unionByName(rows("seen", per_case, F.col("label"), nothing)))
 
 
 def merge_statistics(*partials: DataFrame) -> DataFrame:
@@ -171,8 +186,8 @@ def partial_class_ratios(partial: DataFrame) -> DataFrame:
     return class_shares(counts, ["dataset_id"])
 
 
-def dataset_fingerprint(voxels: DataFrame, segs: DataFrame, cases: DataFrame) -> DataFrame:
-    """One row per dataset. Per-case spacings and shapes stay in their own table
+def dataset_fingerprint(voxels: DataFrame, segs: DataFrame | None, cases: DataFrame) -> DataFrame:
+    """One row per dataset; without labels, classes and their ratios are null. Per-case spacings and shapes stay in their own table
     (:func:`cropped_geometry`), which may be as long as there are cases."""
     partial = settle(statistics_partial(voxels, segs, cases))
     intensity = partial_intensity_stats(partial)

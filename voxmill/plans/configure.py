@@ -11,14 +11,14 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxmill.functions.columns import array_median, as_col, half_even, per_axis, permute, product
+from voxmill.functions.columns import array_median, as_col, half_even, permute, product
+from voxmill.operators.fingerprint import geometry_summary
 
 # fixed values: rules of the planner
 ANISO_THRESHOLD = 3.0
 NONZERO_MASK_THRESHOLD = 0.75
 LOWRES_THRESHOLD = 0.25
 SPACING_STEP = 1.03
-MAX_STEPS = 2000
 CHANNEL_SCHEMES = {
     "ct": "CTNormalization", "CT": "CTNormalization",
     "nonorm": "NoNormalization", "noNorm": "NoNormalization", "NoNorm": "NoNormalization",
@@ -43,12 +43,9 @@ def _others(values: Column, axis: Column) -> Column:
 def target_spacing(geometry: DataFrame) -> DataFrame:
     """Per dataset the median spacing, with its coarsest axis refined when both spacing
     and size say that the axis is under-sampled; also the median size after cropping."""
-    def percentile(column: str, p: float) -> Column:
-        return per_axis(lambda a: F.percentile(F.col(column)[a].cast("double"), F.lit(p)))
-
-    medians = geometry.groupBy("dataset_id").agg(
-        percentile("spacing", 0.5).alias("_sp"), percentile("spacing", 0.1).alias("_p10"),
-        percentile("shape_after_crop", 0.5).alias("median_size"))
+    medians = geometry_summary(geometry).select(
+        "dataset_id", F.col("median_spacing").alias("_sp"), F.col("p10_spacing").alias("_p10"),
+        F.col("median_size_after_crop").alias("median_size"))
     axis = worst_axis(F.col("_sp"))
     coarse = F.array_max("_sp") > ANISO_THRESHOLD * F.array_max(_others(F.col("_sp"), F.col("_axis")))
     few = F.get("median_size", F.col("_axis")) * ANISO_THRESHOLD \
@@ -134,10 +131,10 @@ def lowres_plan(median: Column, spacing: Column, patch: Column) -> Column:
 
     start = F.struct(spacing.alias("spacing"), F.transform(median, lambda m: m.cast("int")).alias("median"),
                      F.lit(False).alias("done"))
-    # rounding at most doubles an axis (or makes it 0, which ends the search), so this many do
+    # rounding at most doubles an axis (or makes it 0, which ends the search), so this many always do
     n = F.size(spacing)
     most = F.ceil(F.log(F.pow(F.lit(2.0), n) * product(median) / (4.0 * patch_volume)) / (n * math.log(SPACING_STEP))) + 3
-    steps = F.least(F.lit(MAX_STEPS), F.greatest(F.lit(1), most)).cast("int")
+    steps = F.greatest(F.lit(1), most).cast("int")
     needed = (product(median) > 0) & (patch_volume / product(median) < LOWRES_THRESHOLD)
     return F.when(needed, F.aggregate(F.sequence(F.lit(1), steps), start, step))
 
@@ -248,8 +245,7 @@ def plan_datasets(geometry: DataFrame, channels: DataFrame, **options) -> DataFr
     geometry: one row per case (dataset_id, spacing, shape_after_crop, crop_ratio);
     channels(dataset_id, channel, name). ``options`` go to :func:`configurations`.
     """
-    ratio = geometry.groupBy("dataset_id").agg(
-        F.coalesce(F.percentile("crop_ratio", F.lit(0.5)), F.lit(1.0)).alias("median_crop_ratio"))
+    ratio = geometry_summary(geometry).select("dataset_id", "median_crop_ratio")
     schemes = normalization_plan(channels.join(ratio, "dataset_id")).groupBy("dataset_id").agg(
         F.sort_array(F.collect_list(F.struct("channel", "scheme", "use_mask"))).alias("_c")).select(
         "dataset_id", F.transform("_c", lambda c: c["scheme"]).alias("normalization_schemes"),
