@@ -50,3 +50,18 @@ def test_numbered_and_grid_are_whole(spark):
     assert cells.count() == 0
     cells = S.grid(df.limit(1), [F.lit(-1), F.lit(0), F.lit(1)], [F.lit(2), F.lit(2), F.lit(5)])
     assert cells.select("i", "j", "k").distinct().count() == 3 * 2 * 4
+
+
+def test_small_tables_are_joined_without_salts(spark):
+    big = spark.range(1000).select((F.col("id") % 7).alias("case_id"), F.col("id").alias("i"), F.lit(1.0).alias("value"))
+    small = spark.createDataFrame([(i, i * i) for i in range(7)], "case_id bigint, n bigint")
+    plan = S.attach(big, small, ["case_id"])._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "_salt" not in plan
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        salted = S.attach(big, small, ["case_id"])
+        assert "_salt" in salted._jdf.queryExecution().executedPlan().toString()
+        assert salted.agg(F.sum("n")).first()[0] == sum(143 * i * i if i < 6 else 142 * i * i for i in range(7))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)

@@ -222,3 +222,57 @@ def test_downsampled_labels_cover_their_grids(spark):
     label = labels_of(spark, np.arange(27).reshape(3, 3, 3) % 5).select(F.lit(0).alias("batch"), F.lit(0).alias("slot"), "i", "j", "k", "label")
     out = A.downsample_labels(label, (3, 3, 3), [[1, 1, 1], [1, 0.5, 0.34]])
     assert {(r["level"], r["count"]) for r in out.groupBy("level").count().collect()} == {(0, 27), (1, 3 * 2 * 1)}
+
+
+@pytest.mark.parametrize("old,new", [(3, 18), (2, 20), (12, 2), (1, 6), (4, 40)])
+@pytest.mark.parametrize("axis", [0, 1, 2])
+def test_linear_resampling_keeps_constants(spark, old, new, axis):
+    shape, target = [2, 2, 2], [2, 2, 2]
+    shape[axis], target[axis] = old, new
+    cells = [(1, i, j, k, 1.0) for i in range(shape[0]) for j in range(shape[1]) for k in range(shape[2])]
+    grid = spark.createDataFrame(cells, "case_id int, i int, j int, k int, value double")
+    shapes = spark.createDataFrame([(1, shape, target)], "case_id int, old_shape array<int>, new_shape array<int>")
+    got = [r["value"] for r in Z.resample(grid, shapes, 1).collect()]
+    assert len(got) == target[0] * target[1] * target[2] and all(abs(v - 1) < 1e-12 for v in got)
+
+
+def test_long_keys_stay_apart(spark):
+    from voxmill.catalog.manifest import padded
+    ids = [7, 12345, 123456, 1234567, 1234568]
+    got = [r[0] for r in spark.createDataFrame([(i,) for i in ids], "n bigint").select(padded(F.col("n"), 5)).collect()]
+    assert got == ["00007", "12345", "123456", "1234567", "1234568"]
+
+
+def test_wrong_channel_counts_and_unknown_sources_are_errors(spark):
+    from voxmill.operators import manifest
+    files = spark.createDataFrame([("a", 0, "p"), ("a", 1, "q"), ("b", 0, "r")], "case_id string, channel int, path string")
+    with pytest.raises(RuntimeError, match="b"):
+        manifest.group_cases(files, 2)
+    assert manifest.group_cases(files, 2, on_mismatch="drop").count() == 1
+    sources = spark.createDataFrame([("liver",), ("nowhere",)], "source string")
+    assert manifest.catalogue_labels(sources, unknown="drop").filter("source <> 'liver'").isEmpty()
+    with pytest.raises(Exception, match="nowhere"):
+        manifest.catalogue_labels(sources).collect()
+
+
+def test_requests_meet_voxels_by_tile(spark):
+    import random
+    from voxmill.operators.voxel import crop_and_pad
+    rng = random.Random(2)
+    table = spark.range(40 ** 3).select(F.lit(1).alias("case_id"), *[(F.floor(F.col("id") / 40 ** p) % 40).cast("int").alias(a) for p, a in enumerate("ijk")],
+                                        F.col("id").cast("double").alias("value"))
+    boxes = []
+    for n in range(30):
+        lo = [rng.randrange(-6, 38) for _ in range(3)]
+        boxes.append((0, n, 1, lo, [x + rng.randrange(1, 9) for x in lo]))
+    requests = spark.createDataFrame(boxes, "batch int, slot int, case_id int, lo array<int>, hi array<int>")
+    shapes = spark.createDataFrame([(1, [40, 40, 40])], "case_id int, shape array<int>")
+    got = {(r["slot"], r["i"], r["j"], r["k"]): r["value"] for r in crop_and_pad(table, requests, shapes, "value", -1.0).collect()}
+    want = {}
+    for _, n, _, lo, hi in boxes:
+        for i in range(hi[0] - lo[0]):
+            for j in range(hi[1] - lo[1]):
+                for k in range(hi[2] - lo[2]):
+                    at = (lo[0] + i, lo[1] + j, lo[2] + k)
+                    want[n, i, j, k] = float(at[0] + 40 * at[1] + 1600 * at[2]) if all(0 <= x < 40 for x in at) else -1.0
+    assert got == want

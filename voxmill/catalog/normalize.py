@@ -168,10 +168,23 @@ def _(spark, sf):
     return rounded(Z.resample(one_channel(spark, sf), shapes(spark, sf), 1), "value")
 
 
-@query("interpolation_join", with_grid(LINEAR, SHAPES))
+@query("interpolation_join", with_grid(LINEAR.replace("JOIN one_channel v", "JOIN voxels v"), SHAPES))
 def _(spark, sf):
-    # the same weights for every channel: channel 1 is asked for and then dropped
-    return rounded(Z.resample(voxels(spark, sf), shapes(spark, sf), 1).filter("channel = 0"), "value")
+    return rounded(Z.resample(voxels(spark, sf), shapes(spark, sf), 1), "value")
+
+
+# six times as many slices, and an axis shrunk to one voxel
+WIDE = """shapes AS (SELECT case_id, nx AS o0, 8 AS o1, 8 AS o2, (6 * nx)::INT AS n0, 8 AS n1, 1 AS n2 FROM cases),
+outs AS (SELECT s.*, x.x::INT AS i, y.y::INT AS j, z.z::INT AS k,
+    (x.x + 0.5::DOUBLE) * o0 / n0 - 0.5 AS px, (y.y + 0.5::DOUBLE) * o1 / n1 - 0.5 AS py, (z.z + 0.5::DOUBLE) * o2 / n2 - 0.5 AS pz
+  FROM shapes s, range(48) x(x), range(8) y(y), range(1) z(z) WHERE x.x < n0)"""
+
+
+@query("resample_linear_wide", with_grid(LINEAR, WIDE))
+def _(spark, sf):
+    wide = cases(spark, sf).select("case_id", F.col("shape").alias("old_shape"),
+                                   F.array(F.col("shape")[0] * 6, F.lit(8), F.lit(1)).alias("new_shape"))
+    return rounded(Z.resample(one_channel(spark, sf), wide, 1), "value")
 
 
 SEPARATE = LINEAR.replace(_taps("px", "o0"), "[{'s': least(floor(px + 0.5), o0 - 1)::INT, 'w': 1.0::DOUBLE}]")
