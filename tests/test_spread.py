@@ -54,7 +54,7 @@ def test_numbered_and_grid_are_whole(spark):
 
 def test_small_tables_are_joined_without_salts(spark):
     big = spark.range(1000).select((F.col("id") % 7).alias("case_id"), F.col("id").alias("i"), F.lit(1.0).alias("value"))
-    small = spark.createDataFrame([(i, i * i) for i in range(7)], "case_id bigint, n bigint")
+    small = S.settle(spark.createDataFrame([(i, i * i) for i in range(7)], "case_id bigint, n bigint"))
     plan = S.attach(big, small, ["case_id"])._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "_salt" not in plan
     kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")

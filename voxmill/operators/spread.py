@@ -20,6 +20,7 @@ SALTS = 32
 MOST_SALTS = 1024
 #: Bytes of the large side, by Spark's estimate, for each salt.
 SALT_BYTES = 4 << 30
+UNKNOWN_BYTES = 1 << 60
 CHUNK = 4096
 
 
@@ -45,7 +46,9 @@ def attach(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inne
     if estimated_bytes(small) <= threshold:
         return big.join(small, list(on), how)
     if salts is None:
-        by_size = min(MOST_SALTS, max(SALTS, -(-estimated_bytes(big) // SALT_BYTES)))
+        size = estimated_bytes(big)
+        # rows that are not from files have no size
+        by_size = SALTS if size >= UNKNOWN_BYTES else min(MOST_SALTS, max(SALTS, -(-size // SALT_BYTES)))
         salts = int(spark.conf.get("voxmill.salts", str(by_size)))
     # coordinates tell rows of a group apart; without them, any columns that can be hashed
     plain = [f.name for f in big.schema.fields if f.name not in on and f.dataType.typeName() not in ("map", "variant")]
