@@ -315,11 +315,18 @@ lt AS (SELECT batch, slot, o, floor(least(floor(x), m - 1) * 8.0::DOUBLE / m)::I
    UNION ALL SELECT batch, slot, o, floor(least(floor(x) + 1, m - 1) * 8.0::DOUBLE / m)::INT, x - floor(x) FROM lx)"""
 
 
+# one axis at a time, so that no step joins more than one table of taps
+LOW_PASSES = """
+l0 AS MATERIALIZED (SELECT p.* FROM pim p JOIN lp USING (batch, slot) WHERE sel AND ch[channel + 1] < 0.5),
+l1 AS MATERIALIZED (SELECT l0.batch, l0.slot, channel, o AS i, j, k, sum(value * w) AS value FROM l0 JOIN lt ON lt.batch = l0.batch AND lt.slot = l0.slot AND lt.s = l0.i GROUP BY ALL),
+l2 AS MATERIALIZED (SELECT l1.batch, l1.slot, channel, i, o AS j, k, sum(value * w) AS value FROM l1 JOIN lt ON lt.batch = l1.batch AND lt.slot = l1.slot AND lt.s = l1.j GROUP BY ALL),
+l3 AS MATERIALIZED (SELECT l2.batch, l2.slot, channel, i, j, o AS k, sum(value * w) AS value FROM l2 JOIN lt ON lt.batch = l2.batch AND lt.slot = l2.slot AND lt.s = l2.k GROUP BY ALL)"""
+
+
 @query("simulate_low_resolution", with_grid(f"""
-SELECT batch, slot, channel, a.o AS i, b.o AS j, c.o AS k, {q6('sum(value * a.w * b.w * c.w)')} AS value
-FROM pim p JOIN lp USING (batch, slot) JOIN lt a USING (batch, slot) JOIN lt b USING (batch, slot) JOIN lt c USING (batch, slot)
-WHERE sel AND ch[channel + 1] < 0.5 AND a.s = i AND b.s = j AND c.s = k GROUP BY ALL
-UNION ALL SELECT batch, slot, channel, i, j, k, {q6('value')} FROM pim JOIN lp USING (batch, slot) WHERE NOT (sel AND ch[channel + 1] < 0.5)""", PATCHES, LOW))
+SELECT batch, slot, channel, i, j, k, {q6('value')} AS value FROM l3
+UNION ALL SELECT batch, slot, channel, i, j, k, {q6('value')} FROM pim JOIN lp USING (batch, slot) WHERE NOT (sel AND ch[channel + 1] < 0.5)""",
+                                             PATCHES, LOW, LOW_PASSES))
 def _(spark, sf):
     return rounded(A.low_resolution(image(spark, sf), slots(spark, sf), SIZE, 2, SEED, 0.5, (0.5, 1.0)), "value")
 
