@@ -65,3 +65,14 @@ def test_small_tables_are_joined_without_salts(spark):
         assert salted.agg(F.sum("n")).first()[0] == sum(143 * i * i if i < 6 else 142 * i * i for i in range(7))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_settled_tables_go_with_their_block(spark, tmp_path):
+    import glob
+    import voxmill.session as session
+    before = set(glob.glob(f"{session.shared_dir(spark)}/table-*".replace("file:", "")))
+    with session.scratch_tables(spark):
+        assert S.settle(spark.range(5)).count() == 5
+        inside = set(glob.glob(f"{session.shared_dir(spark)}/table-*".replace("file:", ""))) - before
+        assert len(inside) == 1
+    assert not inside & set(glob.glob(f"{session.shared_dir(spark)}/table-*".replace("file:", "")))
