@@ -23,11 +23,9 @@ from pyspark.sql import functions as F
 from voxmill.llm.common import Scratch
 
 #: Words whose ids a task remembers; the memory is emptied when full.
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
 #: Texts with longer words are not remembered.
-WORD_CHARS = 256
-#: The white space that parts words, besides the space itself.
-PARTS = dict.fromkeys(map(ord, "\t\n\v\f\r"), " ")
+WORD_BYTES = 256
 #: Stands for a null doc_id in the files.
 NO_DOC = -(1 << 63)
 MANIFEST = "part int, path string, first_doc bigint, docs bigint, tokens bigint"
@@ -79,7 +77,7 @@ class Encoder:
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends_word[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
         self.kind, self.end = kind, np.array([end], dtype=kind).tobytes()
-        self.seen: dict[str, bytes] = {"": b""}
+        self.seen: dict[bytes, bytes] = {b"": b""}
 
     def _coded(self, words: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
@@ -94,25 +92,31 @@ class Encoder:
         flat, starts = ids.astype(self.kind), [0, *ends[:-1].tolist()]
         return [flat[s:e].tobytes() for s, e in zip(starts, ends.tolist())]
 
-    def _ids(self, words: list[str]) -> dict[str, bytes]:
+    def _ids(self, words: set[bytes]) -> dict[bytes, bytes]:
         """Ids of words; a word that ends in full stops or commas is its letters and then these."""
         split, cores, rest = {}, set(), set()
-        for w in words:
-            core = w.rstrip(".,")
+        for raw in words:
+            bare = raw.rstrip(b".,")
+            core = bare.decode()
             if core.isalpha():
-                tail = w[len(core):]
-                core = core.lower() if core.isascii() else core
-                split[w] = core, tail
-                cores.add(core)
-                rest.add(tail)
+                if core.isascii():
+                    bare = bare.lower()
+                split[raw] = bare, raw[len(bare):]
+                cores.add(bare)
+                rest.add(raw[len(bare):])
             else:
-                rest.add(w)
+                rest.add(raw)
         known = {w: self.seen[w] for w in cores | rest if w in self.seen}
         new = [w for w in cores if w not in known]
+        plain = [w for w in new if w.isascii()]
+        # lower-case ASCII letters pass the normalizer and the splitter unchanged
+        tokenize = self.tokenizer.model.tokenize
+        known.update((w, np.array([t.id for t in tokenize(w.decode())], dtype=self.kind).tobytes()) for w in plain)
+        new = [w for w in new if not w.isascii()]
         for i in range(0, len(new), 500):
-            known.update(zip(new[i:i + 500], self._letters(new[i:i + 500])))
+            known.update(zip(new[i:i + 500], self._letters([w.decode() for w in new[i:i + 500]])))
         new = [w for w in rest if w not in known]
-        known.update(zip(new, self._coded(new)))
+        known.update(zip(new, self._coded([w.decode() for w in new])))
         known.update((w, known[core] + known[tail]) for w, (core, tail) in split.items())
         return known
 
@@ -121,20 +125,20 @@ class Encoder:
         if "<|" in text:
             # perhaps a special token, which may stand within a word
             return self._coded([text])[0] + self.end
-        words = text.translate(PARTS).split(" ")
-        seen = self.seen
-        new = {w for w in words if w not in seen}
-        if new:
-            if len(seen) > REMEMBERED:
-                seen.clear()
-                seen[""] = b""
-                new = {w for w in words if w}
-            fresh = self._ids(list(new))
-            if len(fresh) > REMEMBERED or max(map(len, fresh)) > WORD_CHARS:
-                # this text's words serve it alone
-                return b"".join([fresh[w] if w in fresh else seen[w] for w in words]) + self.end
-            seen.update(fresh)
-        return b"".join([seen[w] for w in words]) + self.end
+        # bytes.split parts words at the six ASCII white space characters
+        words = text.encode().split()
+        got = list(map(self.seen.get, words))
+        if None in got:
+            new = {w for w, ids in zip(words, got) if ids is None}
+            if len(self.seen) > REMEMBERED:
+                self.seen.clear()
+                self.seen[b""] = b""
+            fresh = self._ids(new)
+            if len(fresh) <= REMEMBERED and max(map(len, fresh)) <= WORD_BYTES:
+                # else this text's words serve it alone
+                self.seen.update(fresh)
+            got = [fresh[w] if ids is None else ids for w, ids in zip(words, got)]
+        return b"".join(got) + self.end
 
 
 _ENCODERS: dict[tuple[str, str, int], Encoder] = {}
@@ -180,8 +184,8 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str, end: int = 1, ki
                 ids = store.open_output_stream(own)
             got = b.column("doc_id")
             docs_.append(np.array([NO_DOC if x is None else x for x in got.to_pylist()], dtype="<i8"))
-            for t in b.column("text"):
-                coded = coder.encode(t.as_py())
+            for t in b.column("text").to_pylist():
+                coded = coder.encode(t)
                 lengths.append(len(coded) // np.dtype(kind).itemsize)
                 ids.write(coded)
         if ids is None:
