@@ -96,7 +96,37 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.read_examples(spark, path))
 
 
-@query("op10_secret_scan")
+def _op10_kind(kind: int, pattern: str, group: int) -> str:
+    """Matches of one kind with the text before each, from which their places follow."""
+    quoted = "'" + pattern.replace("'", "''") + "'"
+    return f"""
+SELECT doc_id, repo, owner, {kind} AS kind, i, ps[i] AS gap, ms[i] AS m, vs[i] AS value FROM (
+  SELECT doc_id, repo, owner, string_split_regex(t, {quoted}) AS ps, regexp_extract_all(t, {quoted}, 0) AS ms,
+         regexp_extract_all(t, {quoted}, {group}) AS vs FROM d WHERE regexp_matches(t, {quoted})), unnest(range(1, len(ms) + 1)) AS u(i)"""
+
+
+OP10_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(source, '') || '/' || coalesce(lang, '') AS repo, source AS owner, coalesce(text, '') AS t FROM documents),
+m AS ({_op10_kind(0, secrets.ASSIGN, 2)} UNION ALL {_op10_kind(1, secrets.ACCESS, 0)}
+  UNION ALL {_op10_kind(2, secrets.HEX, 0)} UNION ALL {_op10_kind(3, secrets.BARE, 0)}),
+p AS (SELECT doc_id, repo, owner, kind, value, length(m) AS n,
+             sum(length(gap)) OVER w + coalesce(sum(length(m)) OVER (PARTITION BY doc_id, kind ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo
+      FROM m WINDOW w AS (PARTITION BY doc_id, kind ORDER BY i)),
+s AS (SELECT doc_id, repo, owner, kind, value, lo::BIGINT AS lo, (lo + n)::BIGINT AS hi FROM p WHERE kind <> 0 OR length(value) >= 6),
+b AS (SELECT * FROM s WHERE kind < 3),
+c AS (SELECT * FROM b UNION ALL SELECT * FROM s WHERE kind = 3 AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')
+      AND NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = s.doc_id AND b.lo < s.hi AND s.lo < b.hi)),
+f AS (SELECT value, count(DISTINCT coalesce('=' || owner, '')) AS n_owners FROM c GROUP BY value),
+r AS (SELECT c.*, list_extract(['assign', 'access', 'hex', 'owned'], kind + 1) || ':' || lo || ':' || hi AS shown FROM c JOIN f USING (value)
+      WHERE kind < 3 OR (n_owners <= 2 AND len(list_distinct(string_split(value, ''))) >= 10)),
+g AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n0, count(*) FILTER (kind = 1) AS n1, count(*) FILTER (kind = 2) AS n2,
+             coalesce(string_agg(shown, ',' ORDER BY lo, kind) FILTER (kind < 3), '') AS base, string_agg(shown, ',' ORDER BY lo, kind) AS spans FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n0, 0)::BIGINT AS n_assign, coalesce(n1, 0)::BIGINT AS n_access, coalesce(n2, 0)::BIGINT AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)
+"""
+
+
+@query("op10_secret_scan", OP10_SQL)
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_secrets(table(spark, sf_dir, "documents"))[1])
 
