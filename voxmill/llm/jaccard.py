@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxmill.llm import words as W
@@ -177,8 +177,9 @@ def _pairs_of(tokens: np.ndarray, n: int, n_rare: int, bucket: int) -> np.ndarra
 
 
 def signatures(texts: pa.Array, frequent: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, key): index entries of all distinct sets. A key is a class below seven bits that say
-    which share of the set is frequent, so that the largest key of an entry is its most typical set."""
+    """(signature, key): index entries of all distinct sets. A key is a class below seven bits: six say which
+    share of the set is frequent, so that the largest key of an entry is its most typical set, and the
+    last is 1 if the set is indexed by pairs too."""
     tokens, first = token_sets(texts)
     cls, _ = set_ids(tokens, first)
     n = np.diff(first)
@@ -191,9 +192,10 @@ def signatures(texts: pa.Array, frequent: np.ndarray, bits: int) -> tuple[np.nda
     at = np.minimum(np.searchsorted(frequent, short), max(len(frequent) - 1, 0))
     often = frequent[at] == short if len(frequent) else np.zeros(len(tokens), dtype=bool)
     n_often = np.bincount(text[often], minlength=len(n))
-    key = (n_often * 127 // np.maximum(n, 1) << CLASS_BITS) | cls
     need = prefix_length(n)
     n_rare = n - n_often
+    paired = (n_rare < need).astype(np.int64)
+    key = (n_often * 63 // np.maximum(n, 1) << CLASS_BITS + 1) | (paired << CLASS_BITS) | cls
     # the place of a rare token among the set's rare ones
     rare_before = np.concatenate([[0], np.cumsum(~often)])
     nth = rare_before[:-1] - rare_before[first[:-1]][text]
@@ -209,7 +211,7 @@ def signatures(texts: pa.Array, frequent: np.ndarray, bits: int) -> tuple[np.nda
 
 
 def _index(docs: DataFrame, frequent: np.ndarray, bits: int) -> DataFrame:
-    """(sig, cls, centre) of entries that two classes or more share."""
+    """(sig, cls, paired, centre) of entries that two classes or more share."""
     told = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,14 +224,31 @@ def _index(docs: DataFrame, frequent: np.ndarray, bits: int) -> DataFrame:
     entry = Window.partitionBy("sig")
     rows = rows.withColumns({"most": F.max("key").over(entry), "least": F.min("key").over(entry)}).filter("most <> least")
     mask = F.lit((1 << CLASS_BITS) - 1)
-    return rows.select("sig", F.col("key").bitwiseAND(mask).alias("cls"), F.col("most").bitwiseAND(mask).alias("centre")).distinct()
+    paired = F.shiftright("key", CLASS_BITS).bitwiseAND(F.lit(1)) == 1
+    return rows.select("sig", F.col("key").bitwiseAND(mask).alias("cls"), paired.alias("paired"),
+                       F.col("most").bitwiseAND(mask).alias("centre")).distinct()
 
 
-def verified(docs: DataFrame, one_of: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose whole sets link. ``one_of`` has a row (did, tkey, cls) per class."""
-    scratch = Scratch(docs.sparkSession)
-    needed = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    needed = scratch.keep(one_of.join(needed, "cls"))
+def _may_link(shared: Column, n_a: Column, n_b: Column) -> Column:
+    """Whether sets of these sizes whose prefixes of rare tokens share so many tokens can link.
+
+    Up to the last token of the prefix that ends first, one of the sets has its whole prefix, and
+    beyond it no more tokens than that set has left.
+    """
+    least = F.ceil((n_a + n_b) * PERCENT / F.lit(100 + PERCENT))
+    left = F.greatest(F.ceil(n_a * PERCENT / F.lit(100)), F.ceil(n_b * PERCENT / F.lit(100))) - 1
+    return (n_a * 100 >= n_b * PERCENT) & (n_b * 100 >= n_a * PERCENT) & (shared + left >= least)
+
+
+def _sized_pairs(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the sizes of their sets."""
+    return (pairs.join(sizes.select(F.col("cls").alias("a"), F.col("n").alias("n_a")), "a")
+            .join(sizes.select(F.col("cls").alias("b"), F.col("n").alias("n_b")), "b"))
+
+
+def _sets_of(scratch: Scratch, docs: DataFrame, one_of: DataFrame, classes: DataFrame) -> DataFrame:
+    """(cls, tokens) of the classes named. ``one_of`` has a row (did, tkey, cls) per class."""
+    needed = scratch.keep(one_of.select("cls", "did", "tkey").join(classes.distinct(), "cls"))
     rows = keyed(docs).join(sized(needed, needed.count()), ["did", "tkey"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,8 +259,14 @@ def verified(docs: DataFrame, one_of: DataFrame, pairs: DataFrame) -> DataFrame:
                     [b.column("cls").slice(at, len(texts)), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(tokens.view(np.int64)))],
                     names=["cls", "tokens"])
 
+    return scratch.keep(rows.select("cls", "text").mapInArrow(sets, "cls bigint, tokens array<bigint>"))
+
+
+def verified(docs: DataFrame, one_of: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes whose whole sets link."""
+    scratch = Scratch(docs.sparkSession)
     # a class of one row that is there twice gives equal pairs twice, which are one link
-    held = scratch.keep(rows.select("cls", "text").mapInArrow(sets, "cls bigint, tokens array<bigint>"))
+    held = _sets_of(scratch, docs, one_of, pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))))
     n_a, n_b = F.size("tokens_a"), F.size("tokens_b")
     both = pairs.join(held.select(F.col("cls").alias("a"), F.col("tokens").alias("tokens_a")), "a")
     both = both.join(held.select(F.col("cls").alias("b"), F.col("tokens").alias("tokens_b")), "b")
@@ -250,33 +275,99 @@ def verified(docs: DataFrame, one_of: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.filter(shared * 100 >= (n_a + n_b - shared) * PERCENT).select("a", "b")
 
 
+def links_across(cls: np.ndarray, label: np.ndarray, sets: list[np.ndarray], columns: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """Links between sets of different labels, one for each set and label it links to."""
+    n = np.array([len(x) for x in sets], dtype=np.int64)
+    token, place, count = np.unique(np.concatenate(sets) if len(sets) else np.zeros(0, np.int64), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), n)
+    # a token that one set holds alone is in no intersection
+    common = np.cumsum(count > 1) - 1
+    held = count[place] > 1
+    row, place = row[held], common[place[held]]
+    order = np.argsort(place, kind="stable")
+    row, place = row[order], place[order]
+    shared = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    for lo in range(0, int(place[-1]) + 1 if len(place) else 0, columns):
+        cut = slice(*np.searchsorted(place, [lo, lo + columns]))
+        holds = np.zeros((len(sets), columns), dtype=np.float32)
+        holds[row[cut], place[cut] - lo] = 1
+        shared += holds @ holds.T
+    shared = shared.astype(np.int64)
+    linked = (shared * 100 >= (n[:, None] + n[None, :] - shared) * PERCENT) & (label[:, None] != label[None, :])
+    a, b = np.nonzero(linked)
+    _, one = np.unique(np.stack([a, label[b]]), axis=1, return_index=True) if len(a) else (None, np.zeros(0, np.int64))
+    return cls[a[one]], cls[b[one]]
+
+
+def links_within_stars(docs: DataFrame, one_of: DataFrame, stars: DataFrame, block_tokens: int = 1 << 18, block_sets: int = 512) -> DataFrame:
+    """Links between members of one star (star, cls, label) that are in different components.
+
+    Near copies of one text differ from it in a few words each, so prefixes cannot tell which of them
+    link with each other. The members of a star are cut into blocks of bounded size, every two blocks
+    meet in a task, and only links leave it.
+    """
+    scratch = Scratch(docs.sparkSession)
+    mixed = stars.groupBy("star").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("members")).filter("lo <> hi AND members > 2")
+    members = scratch.keep(stars.join(scratch.keep(mixed.select("star")), "star"))
+    members = members.join(one_of.select("cls", "n"), "cls")
+    blocks = members.groupBy("star").agg(F.ceil(F.greatest(F.sum("n") / block_tokens, F.count(F.lit(1)) / block_sets)).cast("bigint").alias("blocks"))
+    members = scratch.keep(members.join(scratch.keep(blocks), "star").select("star", "cls", "label", "blocks"))
+    sets = _sets_of(scratch, docs, one_of, members.select("cls"))
+    own = F.pmod(F.xxhash64("cls"), F.col("blocks"))
+    other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
+    rows = members.select("star", "cls", "label", own.alias("own"), other.alias("other"))
+    rows = rows.select("star", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "cls", "label").join(sets, "cls")
+
+    def across(table: pa.Table) -> pa.Table:
+        # a row that is there twice gives its class twice, under one label
+        cls, label = (table.column(c).to_numpy().astype(np.int64) for c in ("cls", "label"))
+        a, b = links_across(cls, label, [np.asarray(x, dtype=np.int64) for x in table.column("tokens").to_pylist()])
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
+
+    return scratch.keep(rows.groupBy("star", "one", "two").applyInArrow(across, "a bigint, b bigint"))
+
+
 def classes_and_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, labels): did, tkey, n, cls of every row, and the component label of every class that has a link."""
     scratch = Scratch(docs.sparkSession)
     counted, bits = survey(docs)
     counted = scratch.keep(counted)
     rows = counted.filter("token IS NULL").select("did", "tkey", "n", "cls", "check")
-    one_of = rows.filter("n > 0").groupBy("cls").agg(F.min(F.struct("did", "tkey")).alias("at"), F.min("check").alias("lo"), F.max("check").alias("hi"))
+    one_of = rows.filter("n > 0").groupBy("cls").agg(
+        F.min(F.struct("did", "tkey")).alias("at"), F.min("n").alias("n"), F.min("check").alias("lo"), F.max("check").alias("hi"))
     mixed = F.raise_error(F.lit("two different sets share a class number"))
-    one_of = scratch.keep(one_of.select("cls", F.when(F.col("lo") == F.col("hi"), F.col("at.did")).otherwise(mixed.cast("bigint")).alias("did"), "at.tkey"))
+    one_of = scratch.keep(one_of.select("cls", F.when(F.col("lo") == F.col("hi"), F.col("at.did")).otherwise(mixed.cast("bigint")).alias("did"), "at.tkey", "n"))
     index = scratch.keep(_index(docs, frequent_tokens(counted), bits))
 
-    # each class with the centre it shares most entries with
-    met = index.filter("cls <> centre").groupBy("cls", "centre").agg(F.count(F.lit(1)).alias("n"))
-    best = met.groupBy("cls").agg(F.max_by("centre", F.struct("n", "centre")).alias("b"))
-    links = scratch.keep(verified(docs, one_of, scratch.keep(best.select(F.col("cls").alias("a"), "b"))))
+    # each class with the centre it shares most entries with, where a link is likely
+    met = index.filter("cls <> centre").groupBy(F.col("cls").alias("a"), F.col("centre").alias("b")).agg(
+        F.count(F.lit(1)).alias("met"), F.max("paired").alias("paired"))
+    met = _sized_pairs(scratch.keep(met), one_of).filter(F.col("paired") | _may_link(F.col("met"), F.col("n_a"), F.col("n_b")))
+    best = scratch.keep(met.groupBy("a").agg(F.max_by("b", F.struct("met", "b")).alias("b")))
+    links = scratch.keep(verified(docs, one_of, best))
     labels = components(links)
 
-    # what meets in an entry and is not in one component yet
+    # what meets in an entry and is not in one component yet: all entries that two such classes share
     label = F.coalesce("label", "cls")
-    open_ = index.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("sig", "cls", label.alias("label"))
-    mixed_sigs = open_.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("sig")
+    labels = labels.withColumnRenamed("node", "cls")
+    # a class, the centre it was compared with, and that centre itself are one star
+    stars = best.select(F.col("a").alias("cls"), F.col("b").alias("star"))
+    centres = stars.select(F.col("star").alias("cls"), "star").distinct().join(stars.select("cls"), "cls", "left_anti")
+    stars = scratch.keep(stars.unionByName(centres).join(labels, "cls", "left").select("star", "cls", label.alias("label")))
+    inside = links_within_stars(docs, one_of, stars)
+    open_ = index.join(stars, "cls", "left").select("sig", "cls", "paired", label.alias("label"), F.coalesce("star", "cls").alias("star"))
+    mixed_sigs = scratch.keep(open_.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("sig"))
     open_ = scratch.keep(open_.join(mixed_sigs, "sig"))
     left, right = open_.alias("l"), open_.alias("r")
-    pairs = left.join(right, (F.col("l.sig") == F.col("r.sig")) & (F.col("l.cls") < F.col("r.cls")) & (F.col("l.label") != F.col("r.label")))
-    pairs = scratch.keep(pairs.select(F.col("l.cls").alias("a"), F.col("r.cls").alias("b")).distinct())
+    pairs = left.join(right, (F.col("l.sig") == F.col("r.sig")) & (F.col("l.cls") < F.col("r.cls"))
+                      & (F.col("l.label") != F.col("r.label")) & (F.col("l.star") != F.col("r.star")))
+    pairs = pairs.groupBy(F.col("l.cls").alias("a"), F.col("r.cls").alias("b")).agg(
+        F.count(F.lit(1)).alias("met"), F.max(F.col("l.paired") | F.col("r.paired")).alias("paired"))
+    pairs = _sized_pairs(scratch.keep(pairs), one_of).filter(F.col("paired") | _may_link(F.col("met"), F.col("n_a"), F.col("n_b")))
+    pairs = scratch.keep(pairs.select("a", "b"))
+    scratch.drop(index, open_, mixed_sigs)
     more = verified(docs, one_of, pairs)
-    return rows, components(links.unionByName(more))
+    return rows, components(links.unionByName(inside).unionByName(more))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -294,7 +385,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = rows.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select(
         doc.alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("label", "cls")).alias("label"))
     rows = scratch.keep(rows)
-    least = rows.filter("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("least"))
+    # written first, so that adaptive execution can split the join at a large component
+    least = scratch.keep(rows.filter("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("least")))
     return rows.join(least, "label", "left").select(
         "doc_id", "n_shingles", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
