@@ -24,6 +24,8 @@ from voxmill.llm.common import Scratch, sized, text_key
 from voxmill.llm.fmindex import FMIndex, repeated_stretches
 
 GRAM = 8
+#: Neighbouring windows that are ruled out together.
+CORE = 4
 #: Stands for a null doc_id while rows are joined.
 NO_DOC = -(1 << 63)
 KEYS = ("did", "tkey")
@@ -32,15 +34,20 @@ SEGMENT = "did bigint, tkey bigint, start int, n int, anchor bigint, content big
 BROADCAST_NUMBERS = 4_000_000
 
 
+def grams_of(h: np.ndarray) -> np.ndarray:
+    """Hashes of the GRAM words from each word on."""
+    grams = np.zeros(max(0, len(h) - GRAM + 1), dtype=np.uint64)
+    for j in range(GRAM):
+        grams += h[j:len(grams) + j] * W.PLACES[j]
+    return W.mix(grams)
+
+
 def segments_of(split: W.Words, window: int) -> tuple[np.ndarray, ...]:
     """(text, start, windows, anchor, content) of all segments of a run of texts."""
     h = split.hashes(lower=False)
     if len(h) < window:
         return tuple(np.zeros(0, dtype=np.int64) for _ in range(5))
-    grams = np.zeros(len(h) - GRAM + 1, dtype=np.uint64)
-    for j in range(GRAM):
-        grams += h[j:len(grams) + j] * W.PLACES[j]
-    grams = W.mix(grams)
+    grams = grams_of(h)
     views = np.lib.stride_tricks.sliding_window_view(grams, window - GRAM + 1)
     place = views.argmin(axis=1) + np.arange(len(views))
     text = W.per_text(h, split.first)
@@ -80,27 +87,96 @@ def _with_lists(docs: DataFrame, lists: DataFrame, column: str, how: str) -> Dat
     return docs.join(sized(lists, numbers, BROADCAST_NUMBERS), list(KEYS), how)
 
 
-def _texts_of(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """The words of the wanted segments, as text."""
-    lists = wanted.groupBy(*KEYS).agg(F.collect_list(F.struct("start", "n", "anchor", "content", "copies")).alias("list"))
-    rows = _with_lists(keyed(docs), Scratch(docs.sparkSession).keep(lists), "list", "inner")
+def _listed(docs: DataFrame, wanted: DataFrame, *columns: str) -> DataFrame:
+    """The texts of the wanted segments' rows, each with the list of its segments."""
+    lists = wanted.groupBy(*KEYS).agg(F.collect_list(F.struct("start", "n", "anchor", "content", *columns)).alias("list"))
+    return _with_lists(keyed(docs), Scratch(docs.sparkSession).keep(lists), "list", "inner")
 
+
+def _cores_of(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
+    """One row per CORE neighbouring windows of the wanted segments: anchor, content, copies, the first
+    window and how many there are, and a hash of the words that all of them have in common.
+
+    Neighbours are taken by how far the anchor is from their start, so equal windows are in equal places.
+    """
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at, texts in W.runs(b.column("text")):
+                split = W.split(texts)
+                h = split.hashes(lower=False)
+                grams = grams_of(h)
+                out: dict[str, list] = {"anchor": [], "content": [], "copies": [], "off": [], "n": [], "core": []}
+                for i, own in enumerate(b.column("list").slice(at, len(texts)).to_pylist()):
+                    for s in own:
+                        lo = int(split.first[i]) + s["start"]
+                        # all windows of the segment hold the anchor, first at this place
+                        place = s["n"] - 1 + int(np.flatnonzero(grams[lo + s["n"] - 1:].view(np.int64) == s["anchor"])[0])
+                        for k in range((place - s["n"] + 1) // CORE, place // CORE + 1):
+                            first, last = max(0, place - CORE * k - CORE + 1), min(s["n"] - 1, place - CORE * k)
+                            begin = lo + place - CORE * k
+                            out["core"].append(xxhash.xxh3_64_intdigest(h[begin:begin + window - CORE + 1].tobytes(), seed=k) - (1 << 63))
+                            out["off"].append(first)
+                            out["n"].append(last - first + 1)
+                            for c in ("anchor", "content", "copies"):
+                                out[c].append(s[c])
+                yield pa.RecordBatch.from_pydict(out, schema=CORES)
+
+    return _listed(docs, wanted, "copies").mapInArrow(cut, "anchor bigint, content bigint, copies bigint, off int, n int, core bigint")
+
+
+CORES = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("copies", pa.int64()), ("off", pa.int32()), ("n", pa.int32()), ("core", pa.int64())])
+
+
+def _trimmed(scratch: Scratch, docs: DataFrame, hot: DataFrame, window: int) -> DataFrame:
+    """Segments of hot anchors without windows that surely occur once, in runs: ``off`` is where a run begins.
+
+    A passage that many documents hold gives one anchor as many different segments as it has surroundings,
+    more than one shard should hold. Words that neighbouring windows share and that occur once rule all of
+    these windows out; counting them spreads over all tasks, and little more than the passage
+    itself is left, the same each time.
+    """
+    cores = scratch.keep(_cores_of(docs, hot, window))
+    twice = scratch.keep(cores.groupBy("anchor", "core").agg(F.sum("copies").alias("copies")).filter("copies > 1").select("anchor", "core"))
+    held = cores.join(twice, ["anchor", "core"]).groupBy("anchor", "content").agg(F.array_sort(F.collect_list(F.struct("off", "n"))).alias("parts"))
+
+    def add(acc: Column, part: Column) -> Column:
+        top = F.get(acc, F.size(acc) - 1)
+        longer = F.struct(top["off"].alias("off"), (top["n"] + part["n"]).alias("n"))
+        return F.when((F.size(acc) > 0) & (top["off"] + top["n"] == part["off"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(longer))
+                      ).otherwise(F.concat(acc, F.array(part)))
+
+    # a segment has as many windows as a window has grams at most, so its runs are few
+    runs = F.aggregate("parts", F.array().cast("array<struct<off:int,n:int>>"), add)
+    held = held.select("anchor", "content", F.explode(runs).alias("run"))
+    out = hot.drop("n").join(held, ["anchor", "content"]).select(
+        "anchor", "content", "copies", *KEYS, (F.col("start") + F.col("run.off")).alias("start"), F.col("run.n").alias("n"), F.col("run.off").alias("off"))
+    return scratch.keep(out)
+
+
+def _texts_of(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
+    """The words of the wanted segments as text, and ``piece``, a hash of them."""
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at, texts in W.runs(b.column("text")):
                 split = W.split(texts)
-                out: dict[str, list] = {"anchor": [], "content": [], "copies": [], "words": []}
+                raw = split.hashes(lower=False).tobytes()
+                out: dict[str, list] = {"anchor": [], "content": [], "copies": [], "off": [], "n": [], "piece": [], "words": []}
                 for i, segments in enumerate(b.column("list").slice(at, len(texts)).to_pylist()):
                     for s in segments:
-                        lo = split.first[i] + s["start"]
-                        hi = lo + s["n"] + window - 2
-                        out["words"].append(split.data[split.starts[lo]:split.ends[hi]].tobytes())
-                        for c in ("anchor", "content", "copies"):
+                        lo = int(split.first[i]) + s["start"]
+                        hi = lo + s["n"] + window - 1
+                        out["words"].append(split.data[split.starts[lo]:split.ends[hi - 1]].tobytes())
+                        out["piece"].append(xxhash.xxh3_64_intdigest(raw[8 * lo:8 * hi]) - (1 << 63))
+                        for c in ("anchor", "content", "copies", "off", "n"):
                             out[c].append(s[c])
-                yield pa.RecordBatch.from_pydict(out, schema=pa.schema(
-                    [("anchor", pa.int64()), ("content", pa.int64()), ("copies", pa.int64()), ("words", pa.binary())]))
+                yield pa.RecordBatch.from_pydict(out, schema=TEXTS)
+
+    return _listed(docs, wanted, "copies", "off").mapInArrow(
+        take, "anchor bigint, content bigint, copies bigint, off int, n int, piece bigint, words binary")
 
-    return rows.mapInArrow(take, "anchor bigint, content bigint, copies bigint, words binary")
+
+TEXTS = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("copies", pa.int64()), ("off", pa.int32()), ("n", pa.int32()),
+                   ("piece", pa.int64()), ("words", pa.binary())])
 
 
 def search_shard(words: pa.Array, copies: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,21 +200,35 @@ def search_shard(words: pa.Array, copies: np.ndarray, window: int) -> tuple[np.n
     return which, lo - first[which], hi - first[which]
 
 
-def repeated_words(docs: DataFrame, window: int = 35, shard_segments: int = 2000) -> DataFrame:
-    """(did, tkey, cuts): lists of word ranges (from, to) that repeated windows cover, for rows that have any."""
+def repeated_words(docs: DataFrame, window: int = 35, shard_segments: int = 2000, hot_contents: int = 500) -> DataFrame:
+    """(did, tkey, cuts): lists of word ranges (from, to) that repeated windows cover, for rows that have any.
+
+    Anchors with more than ``hot_contents`` different segments are trimmed before they are dealt to shards.
+    """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     every = scratch.keep(_cut(docs, window))
-    anchors = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("seen")).filter("seen > 1").select("anchor")
+    # written first, so that adaptive execution can split the join at a hot anchor
+    anchors = scratch.keep(every.groupBy("anchor").agg(F.count(F.lit(1)).alias("seen")).filter("seen > 1").select("anchor"))
     occurrences = scratch.keep(every.join(anchors, "anchor"))
     scratch.drop(every)
     # one row per distinct content, with one place where its words stand
     contents = occurrences.groupBy("anchor", "content").agg(
         F.count(F.lit(1)).alias("copies"), F.min(F.struct(*KEYS, "start", "n")).alias("at"))
     contents = scratch.keep(contents.select("anchor", "content", "copies", "at.*"))
-    contested = contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("anchor")
-    wanted = scratch.keep(contents.join(contested, "anchor"))
+    kinds = scratch.keep(contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"))
+    hot = scratch.keep(contents.join(kinds.filter(F.col("kinds") > hot_contents).select("anchor"), "anchor"))
+    wanted = contents.join(kinds.filter(F.col("kinds") <= hot_contents).select("anchor"), "anchor").withColumn("off", F.lit(0))
+    if not hot.isEmpty():
+        wanted = wanted.unionByName(_trimmed(scratch, docs, hot, window))
+    wanted = scratch.keep(wanted)
     shards = max(1, -(-wanted.count() // shard_segments), int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-    texts = _texts_of(docs, wanted, window).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
+    texts = scratch.keep(_texts_of(docs, wanted, window))
+    # runs that trimming has made equal are one piece; its copies add up
+    pieces = texts.groupBy("anchor", "piece").agg(F.sum("copies").alias("copies"), F.min(F.struct("content", "off")).alias("at"))
+    pieces = texts.select("anchor", "piece", "content", "off", "words").join(
+        pieces.select("anchor", "piece", F.col("copies"), F.col("at.content").alias("content"), F.col("at.off").alias("off")),
+        ["anchor", "piece", "content", "off"])
+    pieces = pieces.select("anchor", "piece", "copies", "words").withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
 
     def search(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -147,17 +237,23 @@ def repeated_words(docs: DataFrame, window: int = 35, shard_segments: int = 2000
         words = words.chunk(0) if isinstance(words, pa.ChunkedArray) else words
         which, lo, hi = search_shard(words, copies, window)
         took = pa.array(which)
-        return pa.table({"anchor": table.column("anchor").take(took), "content": table.column("content").take(took),
+        return pa.table({"anchor": table.column("anchor").take(took), "piece": table.column("piece").take(took),
                          "lo": pa.array(lo.astype(np.int32)), "hi": pa.array(hi.astype(np.int32))})
 
-    partly = texts.groupBy("shard").applyInArrow(search, "anchor bigint, content bigint, lo int, hi int")
-    # segments with copies are covered from end to end
-    wholly = contents.filter("copies > 1").select("anchor", "content", F.lit(0).alias("lo"), (F.col("n") + window - 1).alias("hi"))
-    found = scratch.keep(partly.unionByName(wholly))
+    partly = scratch.keep(pieces.groupBy("shard").applyInArrow(search, "anchor bigint, piece bigint, lo int, hi int"))
+    # pieces with copies are covered from end to end
+    wholly = texts.groupBy("anchor", "piece").agg(F.sum("copies").alias("copies"), F.max("n").alias("n")).filter("copies > 1").select(
+        "anchor", "piece", F.lit(0).alias("lo"), (F.col("n") + window - 1).alias("hi"))
+    of_pieces = texts.select("anchor", "content", "piece", "off").join(partly.unionByName(wholly), ["anchor", "piece"]).select(
+        "anchor", "content", (F.col("off") + F.col("lo")).alias("lo"), (F.col("off") + F.col("hi")).alias("hi"))
+    # so are the contents of anchors that have only one
+    alone = contents.join(kinds, "anchor", "left_anti").filter("copies > 1").select(
+        "anchor", "content", F.lit(0).alias("lo"), (F.col("n") + window - 1).alias("hi"))
+    found = scratch.keep(of_pieces.unionByName(alone))
     cuts = occurrences.join(found, ["anchor", "content"]).select(
         *KEYS, F.struct((F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi")).alias("cut"))
     cuts = scratch.keep(cuts.groupBy(*KEYS).agg(F.array_sort(F.collect_set("cut")).alias("cuts")).withColumn("cuts", _merged("cuts")))
-    scratch.drop(occurrences, contents, wanted, found)
+    scratch.drop(occurrences, contents, kinds, hot, wanted, texts, partly, found)
     return cuts
 
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at a time, unless a single text is longer.
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 #: Words of more bytes are hashed on their own.
 LONG_WORD = 64
 SHINGLE = 5
