@@ -169,7 +169,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), most: float
     shares = splitting_tree(scratch, targets.filter("blocks > 0").select("src", "blocks"), depth, seed)
     drawn = shares.filter("blocks > 0").select("shard", "src", F.explode(F.sequence(
         F.col("first"), F.col("first") + F.col("blocks") - 1)).alias("drawn"))
-    pieces = cut.join(drawn, ["src", "drawn"])
+    # there are as many blocks as the corpus has, though the table they are counted out from is small
+    pieces = cut.join(drawn.hint("merge"), ["src", "drawn"])
     shuffled = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed), "src", "drawn"), "src", "drawn", "first_word",
                                                    "pass", "doc_id", "tkey")
     pieces = pieces.withColumn("slot", F.row_number().over(shuffled) - 1)
