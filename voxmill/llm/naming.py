@@ -97,7 +97,8 @@ def exact_dedup(docs: DataFrame, size: int = 4096, digest=F.xxhash64) -> DataFra
     """
     scratch = Scratch(docs.sparkSession)
     named = scratch.keep(name_documents(docs, size, digest))
-    groups = named.groupBy("level", "name").agg(F.min("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
+    # written first: a join of two plain exchanges is one whose hot groups adaptive execution splits
+    groups = scratch.keep(named.groupBy("level", "name").agg(F.min("doc_id").alias("keep_id"), F.sum("copies").alias("group_size")))
     stays = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)
     return (named.join(groups, ["level", "name"])
             .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
