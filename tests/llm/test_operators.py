@@ -181,6 +181,18 @@ def test_families_of_near_copies_and_common_passages(spark, monkeypatch, least):
     assert shown(jaccard.near_duplicates(docs).toPandas(), "doc_id", "n_shingles", "component_id") == brute_components(rows)
 
 
+def test_chains_of_centres_keep_the_links_of_their_ends(spark):
+    # d -> c -> {x, y}: x and y link with each other alone; the order of the hashes decides which families become such chains
+    rows = []
+    for k in range(80):
+        c = [f"k{k}w{i}" for i in range(100)]
+        d = [f"k{k}d{i}" for i in range(48)] + c[34:]
+        x = c[:50] + [f"k{k}other"] + c[51:86]
+        rows += [(len(rows) + i, " ".join(w)) for i, w in enumerate((d, c, x, x[:-1]))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert shown(jaccard.near_duplicates(docs).toPandas(), "doc_id", "n_shingles", "component_id") == brute_components(rows)
+
+
 def test_linking_sets_share_a_signature():
     rng = random.Random(3)
     vocabulary = [f"v{i}" for i in range(30)]

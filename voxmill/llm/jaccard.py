@@ -307,7 +307,9 @@ def links_within_stars(docs: DataFrame, one_of: DataFrame, stars: DataFrame, blo
     meet in a task, and only links leave it.
     """
     scratch = Scratch(docs.sparkSession)
-    mixed = stars.groupBy("star").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("members")).filter("lo <> hi AND members > 2")
+    # all have been compared with the centre, which is in a star of its own members only if it has no better centre
+    others = F.count_if(F.col("cls") != F.col("star"))
+    mixed = stars.groupBy("star").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), others.alias("others")).filter("lo <> hi AND others > 1")
     members = scratch.keep(stars.join(scratch.keep(mixed.select("star")), "star"))
     members = members.join(one_of.select("cls", "n"), "cls")
     blocks = members.groupBy("star").agg(F.ceil(F.greatest(F.sum("n") / block_tokens, F.count(F.lit(1)) / block_sets)).cast("bigint").alias("blocks"))
