@@ -264,6 +264,26 @@ def test_repeats_of_odd_rows_and_shared_passages(spark, odd, monkeypatch, hot):
     assert sorted(("None" if pd.isna(r.doc_id) else str(int(r.doc_id)), r.n_words, r.n_removed, r.kept_sha256) for r in got.itertuples()) == brute_removed(rows)
 
 
+def test_no_shard_holds_a_passage_as_often_as_it_has_surroundings(spark, monkeypatch):
+    plain, texts_of, most = substrings.repeated_words, substrings._texts_of, []
+
+    def counted(*args):
+        out = texts_of(*args)
+        most.append(out.groupBy("anchor").agg(F.countDistinct("piece").alias("n")).agg(F.max("n")).first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(substrings, "_texts_of", counted)
+    monkeypatch.setattr(substrings, "repeated_words", lambda docs, window=35: plain(docs, window, 50, 10))
+    # their numbers of windows are no multiples of CORE
+    passages = [" ".join(f"p{n}x{i}" for i in range(n)) for n in (51, 52, 53, 55)]
+    rows = [(k, " ".join([*(f"u{k}x{i}" for i in range(40)), passages[k % 4], *(f"v{k}x{i}" for i in range(40))])) for k in range(160)]
+    # some surroundings are there twice too
+    rows += [(160 + k, rows[k][1].replace(f"v{k}x3 ", "other ")) for k in range(5)]
+    got = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).toPandas()
+    assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got.itertuples()) == brute_removed(rows)
+    assert most and max(most) <= 10
+
+
 # --- 5 toxicity
 
 def test_held_out_toxicity(spark):

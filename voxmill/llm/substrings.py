@@ -5,7 +5,8 @@ anchors, and a run of windows with one anchor is a segment of at most 62 words.
 occurs once in the corpus hold no repeated window. The others are dealt to shards by
 anchor, so that a shard holds every occurrence of its windows. Each shard builds an FM-index over its
 distinct segments and streams them against it: backward search finds the matching statistics, and
-stretches at or above the threshold are reported.
+stretches at or above the threshold are reported. An anchor with more segments than a shard should hold
+is in no shard: its windows are counted one by one, by hash, over all tasks.
 """
 
 from __future__ import annotations
@@ -127,32 +128,73 @@ def _cores_of(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
 CORES = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("copies", pa.int64()), ("off", pa.int32()), ("n", pa.int32()), ("core", pa.int64())])
 
 
+def _runs(column: str) -> Column:
+    """Neighbouring windows (off, n) in order, joined. A segment has as many windows as a window has grams at most."""
+    def add(acc: Column, part: Column) -> Column:
+        top = F.get(acc, F.size(acc) - 1)
+        longer = F.struct(top["off"].alias("off"), (top["n"] + part["n"]).alias("n"))
+        return F.when((F.size(acc) > 0) & (top["off"] + top["n"] == part["off"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(longer))
+                      ).otherwise(F.concat(acc, F.array(part)))
+
+    return F.aggregate(column, F.array().cast("array<struct<off:int,n:int>>"), add)
+
+
 def _trimmed(scratch: Scratch, docs: DataFrame, hot: DataFrame, window: int) -> DataFrame:
     """Segments of hot anchors without windows that surely occur once, in runs: ``off`` is where a run begins.
 
-    A passage that many documents hold gives one anchor as many different segments as it has surroundings,
-    more than one shard should hold. Words that neighbouring windows share and that occur once rule all of
-    these windows out; counting them spreads over all tasks, and little more than the passage
-    itself is left, the same each time.
+    A passage that many documents hold gives one anchor as many different segments as it has surroundings.
+    Words that neighbouring windows share and that occur once rule all of these windows out; counting them
+    spreads over all tasks. What is left is the passage and up to CORE - 1 words of its surroundings.
     """
     cores = scratch.keep(_cores_of(docs, hot, window))
     twice = scratch.keep(cores.groupBy("anchor", "core").agg(F.sum("copies").alias("copies")).filter("copies > 1").select("anchor", "core"))
     held = cores.join(twice, ["anchor", "core"]).groupBy("anchor", "content").agg(F.array_sort(F.collect_list(F.struct("off", "n"))).alias("parts"))
 
-    def add(acc: Column, part: Column) -> Column:
-        top = F.get(acc, F.size(acc) - 1)
-        longer = F.struct(top["off"].alias("off"), (top["n"] + part["n"]).alias("n"))
-        return F.when((F.size(acc) > 0) & (top["off"] + top["n"] == part["off"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(longer))
-                      ).otherwise(F.concat(acc, F.array(part)))
-
-    # a segment has as many windows as a window has grams at most, so its runs are few
-    runs = F.aggregate("parts", F.array().cast("array<struct<off:int,n:int>>"), add)
-    held = held.select("anchor", "content", F.explode(runs).alias("run"))
+    held = held.select("anchor", "content", F.explode(_runs("parts")).alias("run"))
     out = hot.drop("n").join(held, ["anchor", "content"]).select(
         "anchor", "content", "copies", *KEYS, (F.col("start") + F.col("run.off")).alias("start"), F.col("run.n").alias("n"), F.col("run.off").alias("off"))
     return scratch.keep(out)
 
 
+def _windows_of(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
+    """One row per window of the wanted runs: anchor, content, copies, its place in the segment, and a hash of its words."""
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at, texts in W.runs(b.column("text")):
+                split = W.split(texts)
+                raw = split.hashes(lower=False).tobytes()
+                out: dict[str, list] = {"anchor": [], "content": [], "copies": [], "off": [], "held": []}
+                for i, own in enumerate(b.column("list").slice(at, len(texts)).to_pylist()):
+                    for s in own:
+                        lo = int(split.first[i]) + s["start"]
+                        out["held"] += [xxhash.xxh3_64_intdigest(raw[8 * k:8 * (k + window)]) - (1 << 63) for k in range(lo, lo + s["n"])]
+                        out["off"] += range(s["off"], s["off"] + s["n"])
+                        for c in ("anchor", "content", "copies"):
+                            out[c] += [s[c]] * s["n"]
+                yield pa.RecordBatch.from_pydict(out, schema=WINDOWS)
+
+    return _listed(docs, wanted, "copies", "off").mapInArrow(cut, "anchor bigint, content bigint, copies bigint, off int, held bigint")
+
+
+WINDOWS = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("copies", pa.int64()), ("off", pa.int32()), ("held", pa.int64())])
+
+
+def _repeated_of(scratch: Scratch, docs: DataFrame, hot: DataFrame, window: int) -> DataFrame:
+    """(anchor, content, lo, hi): stretches of the segments of hot anchors whose windows occur twice.
+
+    No task holds an anchor: windows are told apart by their hashes, as contents are, and rows are dealt by window.
+    """
+    windows = scratch.keep(_windows_of(docs, _trimmed(scratch, docs, hot, window), window))
+    # written first, so that adaptive execution can split the join at a window that many segments hold
+    twice = scratch.keep(windows.groupBy("anchor", "held").agg(F.sum("copies").alias("copies")).filter("copies > 1").select("anchor", "held"))
+    held = windows.join(twice, ["anchor", "held"]).groupBy("anchor", "content").agg(
+        F.array_sort(F.collect_set(F.struct("off", F.lit(1).alias("n")))).alias("parts"))
+    out = scratch.keep(held.select("anchor", "content", F.explode(_runs("parts")).alias("run")).select(
+        "anchor", "content", F.col("run.off").alias("lo"), (F.col("run.off") + F.col("run.n") + window - 1).alias("hi")))
+    scratch.drop(windows, twice)
+    return out
+
+
 def _texts_of(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
     """The words of the wanted segments as text, and ``piece``, a hash of them."""
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +245,7 @@ def search_shard(words: pa.Array, copies: np.ndarray, window: int) -> tuple[np.n
 def repeated_words(docs: DataFrame, window: int = 35, shard_segments: int = 2000, hot_contents: int = 500) -> DataFrame:
     """(did, tkey, cuts): lists of word ranges (from, to) that repeated windows cover, for rows that have any.
 
-    Anchors with more than ``hot_contents`` different segments are trimmed before they are dealt to shards.
+    Anchors with more than ``hot_contents`` different segments are not dealt to shards; their windows are counted.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     every = scratch.keep(_cut(docs, window))
@@ -218,12 +260,10 @@ def repeated_words(docs: DataFrame, window: int = 35, shard_segments: int = 2000
     kinds = scratch.keep(contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"))
     hot = scratch.keep(contents.join(kinds.filter(F.col("kinds") > hot_contents).select("anchor"), "anchor"))
     wanted = contents.join(kinds.filter(F.col("kinds") <= hot_contents).select("anchor"), "anchor").withColumn("off", F.lit(0))
-    if not hot.isEmpty():
-        wanted = wanted.unionByName(_trimmed(scratch, docs, hot, window))
     wanted = scratch.keep(wanted)
     shards = max(1, -(-wanted.count() // shard_segments), int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
     texts = scratch.keep(_texts_of(docs, wanted, window))
-    # runs that trimming has made equal are one piece; its copies add up
+    # a row that is there twice gives its segments twice
     pieces = texts.groupBy("anchor", "piece").agg(F.sum("copies").alias("copies"), F.min(F.struct("content", "off")).alias("at"))
     pieces = texts.select("anchor", "piece", "content", "off", "words").join(
         pieces.select("anchor", "piece", F.col("copies"), F.col("at.content").alias("content"), F.col("at.off").alias("off")),
@@ -249,7 +289,10 @@ def repeated_words(docs: DataFrame, window: int = 35, shard_segments: int = 2000
     # so are the contents of anchors that have only one
     alone = contents.join(kinds, "anchor", "left_anti").filter("copies > 1").select(
         "anchor", "content", F.lit(0).alias("lo"), (F.col("n") + window - 1).alias("hi"))
-    found = scratch.keep(of_pieces.unionByName(alone))
+    found = of_pieces.unionByName(alone)
+    if not hot.isEmpty():
+        found = found.unionByName(_repeated_of(scratch, docs, hot, window))
+    found = scratch.keep(found)
     cuts = occurrences.join(found, ["anchor", "content"]).select(
         *KEYS, F.struct((F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi")).alias("cut"))
     cuts = scratch.keep(cuts.groupBy(*KEYS).agg(F.array_sort(F.collect_set("cut")).alias("cuts")).withColumn("cuts", _merged("cuts")))
