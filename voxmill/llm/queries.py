@@ -116,13 +116,17 @@ s AS (SELECT doc_id, repo, owner, kind, value, lo::BIGINT AS lo, (lo + n)::BIGIN
 b AS (SELECT * FROM s WHERE kind < 3),
 c AS (SELECT * FROM b UNION ALL SELECT * FROM s WHERE kind = 3 AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')
       AND NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = s.doc_id AND b.lo < s.hi AND s.lo < b.hi)),
-f AS (SELECT value, count(DISTINCT coalesce('=' || owner, '')) AS n_owners FROM c GROUP BY value),
-r AS (SELECT c.*, list_extract(['assign', 'access', 'hex', 'owned'], kind + 1) || ':' || lo || ':' || hi AS shown FROM c JOIN f USING (value)
-      WHERE kind < 3 OR (n_owners <= 2 AND len(list_distinct(string_split(value, ''))) >= 10)),
+f AS (SELECT value, count(DISTINCT coalesce('=' || owner, '')) AS n_owners, count(DISTINCT repo) AS n_repos FROM c GROUP BY value),
+r AS (SELECT c.*, n_owners, n_repos, n_owners <= 2 AND n_repos <= 4 AND len(list_distinct(string_split(value, ''))) >= 10 AS live,
+             list_extract(['assign', 'access', 'hex', 'owned'], kind + 1) || ':' || lo || ':' || hi AS shown FROM c JOIN f USING (value)),
 g AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n0, count(*) FILTER (kind = 1) AS n1, count(*) FILTER (kind = 2) AS n2,
-             coalesce(string_agg(shown, ',' ORDER BY lo, kind) FILTER (kind < 3), '') AS base, string_agg(shown, ',' ORDER BY lo, kind) AS spans FROM r GROUP BY doc_id)
+             count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_copied, max(n_owners) AS most_owners, max(n_repos) AS most_repos,
+             coalesce(string_agg(shown, ',' ORDER BY lo, kind) FILTER (kind < 3), '') AS base,
+             string_agg(shown, ',' ORDER BY lo, kind) FILTER (kind < 3 OR live) AS spans FROM r GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n0, 0)::BIGINT AS n_assign, coalesce(n1, 0)::BIGINT AS n_access, coalesce(n2, 0)::BIGINT AS n_hex,
-       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0)::BIGINT AS n_live,
+       coalesce(n_copied, 0)::BIGINT AS n_copied, coalesce(most_owners, 0)::BIGINT AS most_owners, coalesce(most_repos, 0)::BIGINT AS most_repos
+FROM d LEFT JOIN g USING (doc_id)
 """
 
 

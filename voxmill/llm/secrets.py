@@ -9,6 +9,8 @@ reported; bare tokens are added where the corpus shows them to be owner-specific
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +23,7 @@ HEX = r"[0-9a-f]{24,}"
 #: Bare tokens: candidates that only their ownership can tell from identifiers.
 BARE = r"[A-Za-z0-9_-]{20,}"
 KINDS = ("assign", "access", "hex", "owned")
+NUMBERS = ("n_live", "n_copied", "most_owners", "most_repos")
 SPAN = "struct<start:int,kind:int,end:int,value:string>"
 
 
@@ -77,12 +80,13 @@ def ownership(candidates: DataFrame) -> DataFrame:
 
 
 def scan_secrets(docs: DataFrame, repo: Column | None = None, owner: Column | None = None,
-                 max_owners: int = 2, min_distinct: int = 10) -> tuple[DataFrame, DataFrame]:
+                 max_owners: int = 2, max_repos: int = 4, min_distinct: int = 10) -> tuple[DataFrame, DataFrame]:
     """(findings, rows).
 
     ``findings``: one row per candidate span: doc_id, tkey, kind, start, end (code points), value,
     n_repos, n_owners, verdict (``live`` or ``copied``), reported. ``rows``: one per input row: doc_id,
-    base and spans as lists of (start, kind, end). A repository is a source's texts of one language
+    base and spans as lists of (start, kind, end), and of all its candidates n_live, n_copied, most_owners
+    and most_repos. A repository is a source's texts of one language
     and an owner a source, unless columns are given; null is a repository or owner of its
     own. A null text is empty. Rows that repeat a doc_id are scanned each by itself; equal ones have
     equal results. A bare token is reported when at most ``max_owners`` owners hold it and it has
@@ -98,7 +102,7 @@ def scan_secrets(docs: DataFrame, repo: Column | None = None, owner: Column | No
     # a value that a third of all rows hold is a hot key of this join, which adaptive execution splits
     spans = spans.join(shared, "value_sha256")
     varied = F.size(F.array_distinct(F.split("s.value", ""))) >= min_distinct
-    live = (F.col("n_owners") <= max_owners) & varied
+    live = (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos) & varied
     kinds = F.array(*[F.lit(k) for k in KINDS])
     findings = spans.select(
         "doc_id", "tkey", F.get(kinds, F.col("s.kind")).alias("kind"), F.col("s.start").alias("start"), F.col("s.end").alias("end"),
@@ -106,11 +110,14 @@ def scan_secrets(docs: DataFrame, repo: Column | None = None, owner: Column | No
         (live | (F.col("s.kind") < 3)).alias("reported"))
     place = F.struct(F.col("s.start").alias("start"), F.col("s.kind").alias("kind"), F.col("s.end").alias("end"))
     # equal rows find the same spans: a set holds each once
-    added = spans.filter((F.col("s.kind") == 3) & live).groupBy("doc_id", "tkey").agg(F.collect_set(place).alias("added"))
+    seen = spans.groupBy("doc_id", "tkey").agg(
+        F.collect_set(F.when((F.col("s.kind") == 3) & live, place)).alias("added"), F.size(F.collect_set(F.when(live, place))).alias("n_live"),
+        F.size(F.collect_set(F.when(~live, place))).alias("n_copied"), F.max("n_owners").alias("most_owners"), F.max("n_repos").alias("most_repos"))
     places = F.transform("l.base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    out = rows.alias("l").join(added.alias("r"), same("l", "r", "doc_id", "tkey"), "left").select(
-        "l.doc_id", places.alias("base"), F.array_sort(F.concat(places, F.coalesce("r.added", none))).alias("spans"))
+    numbers = [F.coalesce(f"r.{c}", F.lit(0)).cast("bigint").alias(c) for c in NUMBERS]
+    out = rows.alias("l").join(seen.alias("r"), same("l", "r", "doc_id", "tkey"), "left").select(
+        "l.doc_id", places.alias("base"), F.array_sort(F.concat(places, F.coalesce("r.added", none))).alias("spans"), *numbers)
     return findings, out
 
 
@@ -120,6 +127,11 @@ def shown(spans: str) -> Column:
                                                                   s["end"].cast("string"))), ",")
 
 
+def _of_kind(kind: int) -> Callable[[Column], Column]:
+    # a function of one argument: a second one would be the place in the list
+    return lambda span: span["kind"] == kind
+
+
 def digest(rows: DataFrame) -> DataFrame:
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{KINDS[k]}") for k in range(3)]
-    return rows.select("doc_id", *counts, F.sha2(shown("base"), 256).alias("base_sha256"), shown("spans").alias("spans"))
+    counts = [F.size(F.filter("base", _of_kind(k))).cast("bigint").alias(f"n_{KINDS[k]}") for k in range(3)]
+    return rows.select("doc_id", *counts, F.sha2(shown("base"), 256).alias("base_sha256"), shown("spans").alias("spans"), *NUMBERS)
