@@ -212,6 +212,33 @@ def test_linking_sets_share_a_signature():
             assert shared or 100 * len(x & y) < 80 * len(x | y) or x == y
 
 
+def test_sets_whose_hashes_clash_stay_apart(spark):
+    rng = random.Random(5)
+    base = [[f"w{rng.randrange(400)}" for _ in range(60)] for _ in range(12)]
+    rows = [(i, " ".join(base[i % 12] if i % 3 else [*base[i % 12][:30], f"x{i}", *base[i % 12][31:]])) for i in range(90)]
+    docs = spark.createDataFrame([(*r, None, None, None) for r in rows], COLUMNS)
+    got = jaccard.near_duplicates(docs, hash_bits=3).toPandas()
+    assert shown(got, "doc_id", "n_shingles", "component_id") == brute_components(rows)
+    kept = {r["doc_id"] for r in jaccard.keep_one(docs, hash_bits=3).collect()}
+    assert kept == {d for d, _, c in ((int(a), b, int(c)) for a, b, c in brute_components(rows)) if d == c}
+
+
+def test_keep_one_keeps_one_row_of_each_group(spark, odd, empty):
+    a = " ".join(f"a{i}" for i in range(50))
+    near = a.replace("a49", "z")
+    b, c = " ".join(f"b{i}" for i in range(50)), " ".join(f"c{i}" for i in range(50))
+    docs = spark.createDataFrame([(i, t, "en", "s", k) for k, (i, t) in enumerate(
+        [(3, a), (5, near), (5, b), (None, a), (None, c), (None, c), (7, ""), (7, ""), (8, None)])], COLUMNS)
+    got = sorted((str(r["doc_id"]), str(r["text"]), r["n_chars"]) for r in jaccard.keep_one(docs).collect())
+    assert got == sorted([("3", a, 0), ("5", b, 2), ("None", c, 4), ("7", "", 6), ("7", "", 7), ("8", "None", 8)])
+    kept = jaccard.keep_one(odd)
+    assert kept.columns == odd.columns
+    left = sorted(str(r["doc_id"]) + "|" + str(r["text"])[:12] for r in kept.collect())
+    # 1 and 2 are copies and 9 is near them, 7 and 8 are equal; texts without words all stay
+    assert left == sorted(["1|w0 w1 w2 w3 ", "1|other text", "3|None", "4|", "None|no id here", "None|None", "5| \t\n ", "6|word0x0 word", "7|one"])
+    assert jaccard.keep_one(empty).isEmpty()
+
+
 # --- 4 substring dedup
 
 def test_fm_index_counts_like_a_scan():

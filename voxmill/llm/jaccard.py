@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxmill.llm import words as W
-from voxmill.llm.common import Scratch, sized
+from voxmill.llm.common import Scratch, sized, text_key
 from voxmill.llm.graph import components
 from voxmill.llm.substrings import NO_DOC, keyed
 
@@ -33,6 +33,7 @@ LEAST_FREQUENT = 8
 #: Tokens that are sorted at a time, and tokens to a range of the counting shuffle.
 SORTED_TOKENS = 1 << 21
 RANGE_TOKENS = 1 << 22
+#: Bits of a class number. Hashes take one less; sets whose hashes clash get numbers above them.
 CLASS_BITS = 56
 
 
@@ -48,14 +49,14 @@ def token_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return h[new], np.concatenate([[0], np.cumsum(np.bincount(text[new], minlength=len(texts)))]).astype(np.int64)
 
 
-def set_ids(tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of each set; the first is the class (56 bits), the second tells if classes are mixed up."""
+def set_ids(tokens: np.ndarray, first: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each set; the first, of ``bits`` bits, is the class, the second tells sets of one class apart."""
     n = np.diff(first)
     out = []
     for salt in (np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)):
         total = np.concatenate([[np.uint64(0)], np.cumsum(W.mix(tokens ^ salt), dtype=np.uint64)])
         out.append(W.mix(total[first[1:]] - total[first[:-1]] + n.astype(np.uint64) * salt))
-    return (out[0] >> np.uint64(64 - CLASS_BITS)).astype(np.int64), out[1].view(np.int64)
+    return (out[0] >> np.uint64(64 - bits)).astype(np.int64), out[1].view(np.int64)
 
 
 def prefix_length(n: np.ndarray) -> np.ndarray:
@@ -77,14 +78,13 @@ def _unpacked(blob: bytes) -> np.ndarray:
     return np.cumsum(steps.view("<u4").ravel(), dtype=np.uint32)
 
 
-SURVEY = "did bigint, tkey bigint, n bigint, cls bigint, check bigint, token bigint, df bigint"
-
-
-def survey(docs: DataFrame) -> tuple[DataFrame, int]:
-    """Rows of documents (did, tkey, n, cls, check) and of tokens (token, df) that LEAST_FREQUENT sets or more hold.
+def survey(scratch: Scratch, docs: DataFrame, hash_bits: int = CLASS_BITS - 1) -> tuple[DataFrame, DataFrame, int]:
+    """Documents (did, tkey, n, cls, check), and the tokens (token, df) that LEAST_FREQUENT sets or more hold.
 
     Tokens are counted by their first bits, 32 and those of their range; tokens that share these are of one
-    class, which is all that matters. Returns the table and the number of bits.
+    class, which is all that matters; so are sets whose hashes clash, which a token then may count as one.
+    Rows of documents are written where they are made and take no part in the shuffle of the tokens.
+    Returns both tables and the number of bits.
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(4, int(size // 6 // RANGE_TOKENS).bit_length())
@@ -109,10 +109,10 @@ def survey(docs: DataFrame) -> tuple[DataFrame, int]:
         for b in batches:
             for at, texts in W.runs(b.column("text")):
                 tokens, first = token_sets(texts)
-                cls, check = set_ids(tokens, first)
+                cls, check = set_ids(tokens, first, hash_bits)
                 n = np.diff(first)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array((cls % (1 << bits)).astype(np.int32)), pa.nulls(len(texts), pa.binary()), b.column("did").slice(at, len(texts)),
+                    [pa.nulls(len(texts), pa.int32()), pa.nulls(len(texts), pa.binary()), b.column("did").slice(at, len(texts)),
                      b.column("tkey").slice(at, len(texts)), pa.array(n), pa.array(cls), pa.array(check)],
                     names=["part", "blob", "did", "tkey", "n", "cls", "check"])
                 # copies of a set that are sorted together count once
@@ -124,28 +124,23 @@ def survey(docs: DataFrame) -> tuple[DataFrame, int]:
             yield from flush()
 
     def add_up(table: pa.Table) -> pa.Table:
-        blobs = [x for x in table.column("blob").to_pylist() if x is not None]
-        docs_ = table.filter(pa.compute.is_null(table.column("blob"))).select(["did", "tkey", "n", "cls", "check"])
-        none = pa.nulls(len(docs_), pa.int64())
-        out = docs_.append_column("token", none).append_column("df", none)
-        if blobs:
-            part = table.column("part")[0].as_py()
-            low = np.sort(np.concatenate([_unpacked(x) for x in blobs]))
-            starts = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
-            df = np.diff(np.concatenate([starts, [len(low)]]))
-            often = df >= LEAST_FREQUENT
-            token = (np.int64(part) << 32) | low[starts[often]].astype(np.int64)
-            none = pa.nulls(len(token), pa.int64())
-            out = pa.concat_tables([out, pa.table([none] * 5 + [pa.array(token), pa.array(df[often])], names=out.column_names)])
-        return out
-
-    rows = keyed(docs).mapInArrow(count, "part int, blob binary, did bigint, tkey bigint, n bigint, cls bigint, check bigint")
-    return rows.groupBy("part").applyInArrow(add_up, SURVEY), bits
-
-
-def frequent_tokens(counted: DataFrame) -> np.ndarray:
+        part = table.column("part")[0].as_py()
+        low = np.sort(np.concatenate([_unpacked(x) for x in table.column("blob").to_pylist()]))
+        starts = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
+        df = np.diff(np.concatenate([starts, [len(low)]]))
+        often = df >= LEAST_FREQUENT
+        token = (np.int64(part) << 32) | low[starts[often]].astype(np.int64)
+        return pa.table({"token": pa.array(token), "df": pa.array(df[often])})
+
+    raw = scratch.keep(keyed(docs).mapInArrow(count, "part int, blob binary, did bigint, tkey bigint, n bigint, cls bigint, check bigint"))
+    rows = scratch.keep(raw.filter("blob IS NULL").select("did", "tkey", "n", "cls", "check"))
+    tokens = scratch.keep(raw.filter("blob IS NOT NULL").select("part", "blob").groupBy("part").applyInArrow(add_up, "token bigint, df bigint"))
+    scratch.drop(raw)
+    return rows, tokens, bits
+
+
+def frequent_tokens(held: DataFrame) -> np.ndarray:
     """The most frequent tokens, MOST_FREQUENT at most: all from some count on."""
-    held = counted.filter("token IS NOT NULL")
     by_df = held.groupBy("df").agg(F.count(F.lit(1)).alias("n"))
     # one row per different count, of which there are few; each row is two numbers
     above = F.sum("n").over(Window.orderBy(F.col("df").desc()))
@@ -176,12 +171,13 @@ def _pairs_of(tokens: np.ndarray, n: int, n_rare: int, bucket: int) -> np.ndarra
     return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
 
 
-def signatures(texts: pa.Array, frequent: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def signatures(texts: pa.Array, frequent: np.ndarray, bits: int, hash_bits: int = CLASS_BITS - 1,
+               numbers: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(signature, key): index entries of all distinct sets. A key is a class below seven bits: six say which
     share of the set is frequent, so that the largest key of an entry is its most typical set, and the
-    last is 1 if the set is indexed by pairs too."""
+    last is 1 if the set is indexed by pairs too. ``numbers`` are the classes where hashes do not tell."""
     tokens, first = token_sets(texts)
-    cls, _ = set_ids(tokens, first)
+    cls = set_ids(tokens, first, hash_bits)[0] if numbers is None else numbers
     n = np.diff(first)
     _, one = np.unique(cls, return_index=True)
     fresh = np.zeros(len(cls), dtype=bool)
@@ -210,20 +206,28 @@ def signatures(texts: pa.Array, frequent: np.ndarray, bits: int) -> tuple[np.nda
     return np.concatenate(sigs), np.concatenate(keys)
 
 
-def _index(docs: DataFrame, frequent: np.ndarray, bits: int) -> DataFrame:
-    """(sig, cls, paired, centre) of entries that two classes or more share."""
+def _index(docs: DataFrame, frequent: np.ndarray, bits: int, hash_bits: int, apart: DataFrame | None) -> DataFrame:
+    """(sig, cls, paired, centre) of entries that two classes or more share.
+
+    ``apart``, where some sets' hashes clash, has their rows (did, tkey, hashed, cls).
+    """
     told = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, texts in W.runs(b.column("text")):
-                sig, key = signatures(texts, told.value, bits)
+            for at, texts in W.runs(b.column("text")):
+                numbers = b.column("cls").slice(at, len(texts)).to_numpy() if "cls" in b.schema.names else None
+                sig, key = signatures(texts, told.value, bits, hash_bits, numbers)
                 yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(key)], names=["sig", "key"])
 
+    mask = F.lit((1 << CLASS_BITS) - 1)
     rows = docs.select("text").mapInArrow(entries, "sig bigint, key bigint")
+    if apart is not None:
+        numbered = keyed(docs).join(apart, ["did", "tkey"]).select("text", "cls").mapInArrow(entries, "sig bigint, key bigint")
+        clashing = apart.select(F.col("hashed").alias("_cls")).distinct()
+        rows = rows.join(clashing, F.col("key").bitwiseAND(mask) == F.col("_cls"), "left_anti").unionByName(numbered)
     entry = Window.partitionBy("sig")
     rows = rows.withColumns({"most": F.max("key").over(entry), "least": F.min("key").over(entry)}).filter("most <> least")
-    mask = F.lit((1 << CLASS_BITS) - 1)
     paired = F.shiftright("key", CLASS_BITS).bitwiseAND(F.lit(1)) == 1
     return rows.select("sig", F.col("key").bitwiseAND(mask).alias("cls"), paired.alias("paired"),
                        F.col("most").bitwiseAND(mask).alias("centre")).distinct()
@@ -329,17 +333,31 @@ def links_within_stars(docs: DataFrame, one_of: DataFrame, stars: DataFrame, blo
     return scratch.keep(rows.groupBy("star", "one", "two").applyInArrow(across, "a bigint, b bigint"))
 
 
-def classes_and_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _numbered(scratch: Scratch, rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(rows, one_of, apart): rows with final class numbers, a row (cls, did, tkey, n) per class, and the rows of
+    the sets whose hashes clashed (None where there are none).
+
+    At 5 * 10^10 sets some 35,000 hashes of 55 bits clash; these few sets are numbered above all hashes.
+    """
+    sets = scratch.keep(rows.filter("n > 0").groupBy("cls", "check").agg(F.min(F.struct("did", "tkey")).alias("at"), F.min("n").alias("n")))
+    one_of = sets.select("cls", "at.did", "at.tkey", "n")
+    clashing = scratch.keep(sets.groupBy("cls").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("cls"))
+    if clashing.isEmpty():
+        return rows, scratch.keep(one_of), None
+    number = F.lit(1 << CLASS_BITS - 1) + F.row_number().over(Window.orderBy("cls", "check"))
+    new = scratch.keep(sets.join(clashing, "cls").select(F.col("cls").alias("hashed"), "check", number.alias("number"), "at.did", "at.tkey", "n"))
+    told = new.select(F.col("hashed").alias("cls"), "check", "number")
+    rows = scratch.keep(rows.join(told, ["cls", "check"], "left").select("did", "tkey", "n", F.coalesce("number", "cls").alias("cls")))
+    one_of = one_of.join(clashing, "cls", "left_anti").unionByName(new.select(F.col("number").alias("cls"), "did", "tkey", "n"))
+    return rows, scratch.keep(one_of), new.select("did", "tkey", "hashed", F.col("number").alias("cls"))
+
+
+def classes_and_links(docs: DataFrame, hash_bits: int = CLASS_BITS - 1) -> tuple[DataFrame, DataFrame]:
     """(rows, labels): did, tkey, n, cls of every row, and the component label of every class that has a link."""
     scratch = Scratch(docs.sparkSession)
-    counted, bits = survey(docs)
-    counted = scratch.keep(counted)
-    rows = counted.filter("token IS NULL").select("did", "tkey", "n", "cls", "check")
-    one_of = rows.filter("n > 0").groupBy("cls").agg(
-        F.min(F.struct("did", "tkey")).alias("at"), F.min("n").alias("n"), F.min("check").alias("lo"), F.max("check").alias("hi"))
-    mixed = F.raise_error(F.lit("two different sets share a class number"))
-    one_of = scratch.keep(one_of.select("cls", F.when(F.col("lo") == F.col("hi"), F.col("at.did")).otherwise(mixed.cast("bigint")).alias("did"), "at.tkey", "n"))
-    index = scratch.keep(_index(docs, frequent_tokens(counted), bits))
+    rows, counted, bits = survey(scratch, docs, hash_bits)
+    rows, one_of, apart = _numbered(scratch, rows)
+    index = scratch.keep(_index(docs, frequent_tokens(counted), bits, hash_bits, apart))
 
     # each class with the centre it shares most entries with, where a link is likely
     met = index.filter("cls <> centre").groupBy(F.col("cls").alias("a"), F.col("centre").alias("b")).agg(
@@ -372,32 +390,50 @@ def classes_and_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, components(links.unionByName(inside).unionByName(more))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def _with_components(scratch: Scratch, docs: DataFrame, hash_bits: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, least): did, tkey, n and label of every row (null without words), and per label the row to keep:
+    the smallest doc_id, null last, and of rows that repeat it the smallest hash of the text."""
+    rows, labels = classes_and_links(docs, hash_bits)
+    rows = scratch.keep(rows.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select(
+        "did", "tkey", "n", F.when(F.col("n") > 0, F.coalesce("label", "cls")).alias("label")))
+    # written, so that adaptive execution can split the join at a large component
+    first = F.min(F.struct((F.col("did") == NO_DOC).alias("no_id"), "did", "tkey"))
+    return rows, scratch.keep(rows.filter("label IS NOT NULL").groupBy("label").agg(first.alias("first")))
+
+
+def near_duplicates(docs: DataFrame, hash_bits: int = CLASS_BITS - 1) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id that links reach), one row per input row.
 
     Words are lower-cased in A-Z. A text of fewer than five words is one shingle; one without words has
     none and links with nothing, not even another such. A null doc_id takes part, is no smallest id
     unless there is no other, and then stays null. Rows that repeat link by their equal sets. Empty
     tables give none; other columns are ignored. No link between different texts is lost, and no
-    entry, class or component is capped.
+    entry, class or component is capped. Sets are told apart by 64 bits beside the ``hash_bits`` of their class.
     """
-    scratch = Scratch(docs.sparkSession)
-    rows, labels = classes_and_links(docs)
+    rows, least = _with_components(Scratch(docs.sparkSession), docs, hash_bits)
     doc = F.when(F.col("did") != NO_DOC, F.col("did"))
-    rows = rows.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select(
-        doc.alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("label", "cls")).alias("label"))
-    rows = scratch.keep(rows)
-    # written first, so that adaptive execution can split the join at a large component
-    least = scratch.keep(rows.filter("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("least")))
+    kept = F.when(F.col("first.did") != NO_DOC, F.col("first.did"))
     return rows.join(least, "label", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+        doc.alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("label").isNull(), doc).otherwise(kept).alias("component_id"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents that are the smallest doc_id of their component, with all their columns.
+def keep_one(docs: DataFrame, hash_bits: int = CLASS_BITS - 1) -> DataFrame:
+    """One row of each component, with all its columns, and all rows without words.
 
-    Of rows that repeat doc_id and text, all or none stay; documents without words stay.
+    It has the smallest doc_id, null last; among rows that repeat this id, the smallest hash of the text, and
+    among rows that repeat both, the smallest values of the other columns, which must be of types that have
+    an order. A row of another component stays though its doc_id also occurs in this one.
     """
-    ids = near_duplicates(docs)
-    gone = Scratch(docs.sparkSession).keep(ids.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct())
-    return docs.join(sized(gone, gone.count()), F.col("doc_id") == F.col("__id"), "left_anti")
+    scratch = Scratch(docs.sparkSession)
+    rows, least = _with_components(scratch, docs, hash_bits)
+    marked = rows.filter("label IS NOT NULL").groupBy("label", "did", "tkey").agg(F.count(F.lit(1)).alias("n")).join(least, "label")
+    stays = (F.col("did") == F.col("first.did")) & (F.col("tkey") == F.col("first.tkey"))
+    # a row stays as it is unless another goes before it or repeats it
+    marked = scratch.keep(marked.filter(~stays | (F.col("n") > 1)).select(
+        F.col("did").alias("__did"), F.col("tkey").alias("__tkey"), stays.alias("__stays")))
+    key = F.coalesce(F.col("doc_id"), F.lit(NO_DOC)).cast("bigint")
+    on = (key == F.col("__did")) & (text_key() == F.col("__tkey"))
+    single = docs.join(sized(marked, marked.count()), on, "left_anti")
+    again = scratch.keep(marked.filter("__stays"))
+    again = docs.join(sized(again, again.count()), on).groupBy("__did", "__tkey").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row"))
+    return single.unionByName(again.select("row.*"))

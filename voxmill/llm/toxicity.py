@@ -12,9 +12,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxmill.llm.common import Scratch
+
 BITS = 20
 #: Fixed odd multipliers, one per place of an n-gram and a last one that mixes.
 PLACES = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1)
@@ -64,11 +66,9 @@ def _features(texts: list[str], wanted: np.ndarray | None = None) -> tuple[np.nd
     return both >> BITS, both & ((1 << BITS) - 1)
 
 
-def _log_odds(rows: np.ndarray, cols: np.ndarray, toxic: np.ndarray, kept: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ``kept`` buckets that tell most, and their naive Bayes log-count ratios."""
-    hot = np.bincount(cols[toxic[rows] == 1], minlength=1 << BITS).astype(float)
-    cold = np.bincount(cols[toxic[rows] == 0], minlength=1 << BITS).astype(float)
-    n_hot, n_cold = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
+def _log_odds(hot: np.ndarray, cold: np.ndarray, n_hot: int, n_cold: int, kept: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``kept`` buckets that tell most, and their naive Bayes log-count ratios, from the number of
+    toxic and of clean texts that hold each bucket."""
     ratio = np.log((hot + 1) / (n_hot + 2)) - np.log((cold + 1) / (n_cold + 2))
     both, n = hot + cold, n_hot + n_cold
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -114,13 +114,18 @@ def fit_rows(texts: list[str], toxic: np.ndarray, share: float, kept: int = 4096
     if not len(toxic) or toxic.min() == toxic.max():
         # one class only: nothing can be told apart
         return Model(weights, 10.0 if len(toxic) and toxic.max() else -10.0)
-    parts = [(r + first, c) for first, chunk in _chunks(texts) for r, c in [_features(chunk)]]
-    rows, cols = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).astype(np.int64)
-    best, ratio = _log_odds(rows, cols, toxic, kept)
+    # first pass: how many texts of each class hold a bucket; second pass: only the buckets that are kept
+    held = np.zeros((2, 1 << BITS))
+    for first, chunk in _chunks(texts):
+        rows, cols = _features(chunk)
+        for c in (0, 1):
+            held[c] += np.bincount(cols[toxic[first + rows] == c], minlength=1 << BITS)
+    best, ratio = _log_odds(held[1], held[0], int(toxic.sum()), int((1 - toxic).sum()), kept)
     place = np.full(1 << BITS, -1)
     place[best] = np.arange(len(best))
-    hit = place[cols] >= 0
-    rows, cols = rows[hit], place[cols[hit]]
+    parts = [(rows + first, cols) for first, chunk in _chunks(texts) for rows, cols in [_features(chunk, place >= 0)]]
+    rows, cols = (np.concatenate([p[i] for p in parts]).astype(np.int64) for i in (0, 1))
+    cols = place[cols]
     w, b = _logistic(rows, cols, ratio[cols], toxic.astype(float), len(best), l2, steps)
     weights[best] = w * ratio
     sampled = toxic.mean()
@@ -136,19 +141,34 @@ def score_texts(model: Model, texts: list[str]) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(out, -40, 40)))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000) -> Model:
-    """Fit on at most ``per_class`` labelled rows of each class, those with the smallest hash of doc_id.
+def sample(docs: DataFrame, labels: DataFrame, per_class: int, class_bytes: int) -> DataFrame:
+    """(text, toxic) of the labelled rows to fit on, written to the shared folder: at most ``per_class`` rows and
+    ``class_bytes`` bytes of each class.
+
+    Labels are taken by the smallest hash of doc_id. Where rows repeat a doc_id, the text with the smallest
+    hash counts. Texts are whole: those that would exceed the bytes are left out.
+    """
+    chosen = [labels.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
+    # at most 2 * per_class ids
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")
+    rows = Scratch(docs.sparkSession).keep(found.filter(F.octet_length("text") <= class_bytes).groupBy("doc_id", "toxic").agg(
+        F.min(F.struct(F.xxhash64("text").alias("tkey"), "text"))["text"].alias("text")))
+    before = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
+    return rows.withColumn("_bytes", F.sum(F.octet_length("text").cast("bigint")).over(before)).filter(F.col("_bytes") <= class_bytes).select("text", "toxic")
+
 
-    The bound is what the classifier is fitted on; labels of all rows give the share of toxic
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, class_bytes: int = 32 << 20) -> Model:
+    """Fit on at most ``per_class`` labelled rows and ``class_bytes`` bytes of each class (see :func:`sample`).
+
+    These bounds are what the classifier is fitted on; labels of all rows give the share of toxic
     ones. Labels that are null or have no document are left out; a doc_id with labels of both kinds
-    counts for both. The fit runs in one task, whose input the bound limits, and returns one row.
+    counts for both. All tasks look for the rows; one task reads what they found and fits, a run of texts
+    at a time, and returns one row.
     """
     known = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", F.col("toxic").cast("int")).distinct()
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = min(max(counts.get(1, 0) / max(1, sum(counts.values())), 1e-6), 1 - 1e-6)
-    chosen = [known.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
-    # at most 2 * per_class ids
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")
+    rows = sample(docs, known, per_class, class_bytes)
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, toxic = [], []
@@ -161,7 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000) -> Model:
                                          schema=pa.schema([("at", pa.list_(pa.int64())), ("weight", pa.list_(pa.float32())),
                                                            ("intercept", pa.float64())]))
 
-    got = rows.select("text", "toxic").coalesce(1).mapInArrow(fitted, "at array<bigint>, weight array<float>, intercept double").collect()
+    got = rows.coalesce(1).mapInArrow(fitted, "at array<bigint>, weight array<float>, intercept double").collect()
     weights = np.zeros(1 << BITS, dtype=np.float32)
     if not got:
         return Model(weights, -10.0)
@@ -193,9 +213,9 @@ def held_out() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def classify(docs: DataFrame, labels: DataFrame, per_class: int = 4000) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted, one row per input row (see :func:`train` and :func:`score`)."""
-    model = train(docs, labels.filter(~held_out()), per_class)
+    model = train(docs, labels.filter(~held_out()))
     return score(docs, model, "doc_id").select("doc_id", held_out().alias("held_out"), "score",
                                               (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
