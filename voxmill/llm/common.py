@@ -15,6 +15,18 @@ SPACES = r"[\x20\x09-\x0D]+"
 BROADCAST_ROWS = 2_000_000
 
 
+#: Rows of documents that go to Python at a time: texts are long, and a batch is held on both sides.
+BATCH_ROWS = 1000
+
+
+def small_batches(docs: DataFrame) -> DataFrame:
+    """The table itself; its session sends BATCH_ROWS rows at most to Python at a time from now on."""
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return docs
+
+
 class Scratch:
     """Tables in the shared folder that belong to one run of an operator.
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxmill.llm import words as W
-from voxmill.llm.common import WORD, Scratch, md5_draw, running_sum, same, text_key
+from voxmill.llm.common import WORD, Scratch, md5_draw, running_sum, same, small_batches, text_key
 
 K1, B = 1.2, 0.75
 #: Items in a block of postings.
@@ -174,7 +174,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, overlap: float = 0.8, i
     df = scratch.keep(held.distinct().join(df, "word"))
     schema = ", ".join(f"{n} {'double' if n in PAIR[3:] else 'bigint'}" for n in PAIR)
     found = spark.createDataFrame([], schema)
-    rows = docs.select("doc_id", text_key().alias("tkey"), "text")
+    rows = small_batches(docs).select("doc_id", text_key().alias("tkey"), "text")
     for part in [r[0] for r in items.select("part").distinct().orderBy("part").collect()]:
         block = items.filter(F.col("part") == part).select("item_id", "text").orderBy("item_id", "text").collect()
         known = {r["word"] & (1 << 64) - 1: r["df"] for r in df.filter(F.col("part") == part).select("word", "df").collect()}

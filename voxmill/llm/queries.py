@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmill.llm import chat, decontaminate, jaccard, mixing, naming, secrets, sharding, substrings, tokens, toxicity
+from voxmill.llm import chat, decontaminate, jaccard, mixing, naming, pieces, secrets, sharding, substrings, tokens, toxicity
 from voxmill.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -209,3 +209,13 @@ FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN r ON d.doc_id = r.
 @query("op3_ngram_jaccard_join", OP3_SQL)
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op13_sentencepiece")
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    rows = pieces.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    # the last span of a text ends with it
+    n_bytes = F.when(F.size("ids") > 0, F.element_at("ends", -1)).otherwise(0).cast("bigint")
+    return rows.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"), n_bytes.alias("n_bytes"))

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxmill.llm import words as W
-from voxmill.llm.common import Scratch, sized, text_key
+from voxmill.llm.common import Scratch, sized, small_batches, text_key
 from voxmill.llm.fmindex import FMIndex, repeated_stretches
 
 GRAM = 8
@@ -65,7 +65,7 @@ def segments_of(split: W.Words, window: int) -> tuple[np.ndarray, ...]:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id"), F.lit(NO_DOC)).cast("bigint").alias("did"), text_key().alias("tkey"), "text")
+    return small_batches(docs).select(F.coalesce(F.col("doc_id"), F.lit(NO_DOC)).cast("bigint").alias("did"), text_key().alias("tkey"), "text")
 
 
 def _cut(docs: DataFrame, window: int) -> DataFrame:

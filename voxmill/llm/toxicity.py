@@ -15,14 +15,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxmill.llm.common import Scratch
+from voxmill.llm import words as W
+from voxmill.llm.common import Scratch, small_batches
 
 BITS = 20
 #: Fixed odd multipliers, one per place of an n-gram and a last one that mixes.
 PLACES = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1)
 MIX = 0x2C1B3C6D
 #: Characters that are worked on at a time, unless a single text is longer.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -157,7 +158,12 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int, class_bytes: int)
     return rows.withColumn("_bytes", F.sum(F.octet_length("text").cast("bigint")).over(before)).filter(F.col("_bytes") <= class_bytes).select("text", "toxic")
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, class_bytes: int = 32 << 20) -> Model:
+def _scores(model: Model, texts: pa.Array) -> np.ndarray:
+    parts = [score_texts(model, [t or "" for t in run.to_pylist()]) for _, run in W.runs(texts)]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, class_bytes: int = 16 << 20) -> Model:
     """Fit on at most ``per_class`` labelled rows and ``class_bytes`` bytes of each class (see :func:`sample`).
 
     These bounds are what the classifier is fitted on; labels of all rows give the share of toxic
@@ -202,10 +208,10 @@ def score(docs: DataFrame, model: Model, *keys: str) -> DataFrame:
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            values = score_texts(shared.value, [t or "" for t in b.column("text_").to_pylist()])
+            values = _scores(shared.value, b.column("text_"))
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in fields), pa.array(values)], names=[*fields, "score"])
 
-    return docs.select(*fields, F.col("text").alias("text_")).mapInArrow(scored, schema)
+    return small_batches(docs).select(*fields, F.col("text").alias("text_")).mapInArrow(scored, schema)
 
 
 def held_out() -> Column:
@@ -226,7 +232,7 @@ def keep_clean(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            values = score_texts(shared.value, [t or "" for t in b.column("text").to_pylist()])
+            values = _scores(shared.value, b.column("text"))
             yield b.filter(pa.array(values < limit))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return small_batches(docs).mapInArrow(keep, docs.schema)
