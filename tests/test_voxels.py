@@ -114,14 +114,6 @@ def test_surface_scores_of_equal_and_missing_sides(spark):
     assert math.isinf(scores[2]["hd95"]) and scores[2]["surface_dice"] == 0.0
 
 
-def test_cubic_weights():
-    for old, new in ((1, 4), (2, 5), (8, 3), (9, 9), (40, 57)):
-        w = Z.cubic_weights(old, new)
-        assert w.shape == (new, old)
-        assert np.allclose(w.sum(1), 1.0)
-    assert np.allclose(Z.cubic_weights(9, 9), np.eye(9), atol=1e-12)
-
-
 def test_cubic_resampling_is_exact_in_the_middle_of_a_parabola_and_clipped(spark):
     x = np.arange(24.0)
     array = np.broadcast_to((x ** 2)[:, None, None], (24, 1, 1)).copy()

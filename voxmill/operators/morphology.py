@@ -7,12 +7,12 @@ one axis long), and distances spread outwards from surface voxels only.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from voxmill.functions.columns import AXES, VOXEL
+from voxmill.operators import lines
 from voxmill.operators.spread import attach, percentiles_of_counts, value_counts
 from voxmill.session import settle
 
@@ -114,19 +114,53 @@ def _label_edges(segs: DataFrame) -> DataFrame:
     return out
 
 
-def _distance_pass(df: DataFrame, axis: str, a: int, limit: float) -> DataFrame:
-    """Spread squared distances along one axis, as far as the limit allows."""
-    keys = ["case_id", "cls", "side", *[x for x in AXES if x != axis]]
-    reach = F.floor(F.sqrt(F.lit(limit * limit) - F.col("d2")) / F.col(f"_s{a}")).cast("int")
-    sizes = [c for c in df.columns if c.startswith(("_s", "_n"))]
-    first = F.greatest(F.lit(0), F.col(axis) - reach)
-    last = F.least(F.col(f"_n{a}") - 1, F.col(axis) + reach)
-    # one exchange by line (of the rows before they spread); the minimum needs no other
-    sent = df.repartition(*keys).withColumn("_x", F.explode(F.sequence(first, last)))
-    off = (F.col("_x") - F.col(axis)) * F.col(f"_s{a}")
-    return (sent.withColumn("_d", F.col("d2") + off * off).filter(F.col("_d") <= limit * limit)
-            .groupBy(*keys, "_x").agg(F.min("_d").alias("d2"), *[F.first(c).alias(c) for c in sizes])
-            .withColumnRenamed("_x", axis))
+def _fill_pass(df: DataFrame, group: list[str], axis: str, low: str | None, high: str, step: str,
+               limit: float | None = None, exchange: list[str] | None = None) -> DataFrame:
+    """Squared distances d2 along one axis: each line's lower envelope at all places from ``low`` (0) to ``high``,
+    or where it is within the limit. The other columns are those of the line."""
+    keys = [*group, *[x for x in AXES if x != axis]]
+    rest = [c for c in df.columns if c not in (axis, "d2")]
+
+    def work(table: pa.Table, first: np.ndarray) -> pa.Table:
+        # a place that is there twice counts once, with its smaller value, which comes first
+        place, start = lines.numbers(table, axis), first[:-1]
+        new = np.append(True, place[1:] != place[:-1])
+        new[start] = True
+        table, place = table.filter(pa.array(new)), place[new]
+        first = np.concatenate([[0], np.cumsum(np.add.reduceat(new, start))])
+        start = first[:-1]
+        to = lines.numbers(table, high)[start]
+        line, at, d2 = lines.fill_lines(first, place, lines.numbers(table, "d2"), lines.numbers(table, step)[start],
+                                        lines.numbers(table, low)[start] if low else np.zeros(len(to)), to, limit)
+        return lines.carried(table, rest, start[line], **{axis: at.astype(np.int32), "d2": d2})
+
+    return lines.over_lines(df, keys, [axis, "d2"], work, lines.ddl(df, rest, **{axis: "int", "d2": "double"}), exchange)
+
+
+def _ask_pass(field: DataFrame, queries: DataFrame, group: list[str], step: str) -> DataFrame:
+    """(group, i, j, k, d2) of the queries: each line's lower envelope along i, at the queries only.
+
+    Both sides meet in one exchange by line. d2 is infinite where a line has no targets.
+    """
+    keys = [*group, "j", "k"]
+    both = field.select(*group, *AXES, "d2", step).unionByName(queries.select(*group, *AXES), allowMissingColumns=True)
+
+    def work(table: pa.Table, first: np.ndarray) -> pa.Table:
+        line = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        place, d2 = lines.numbers(table, "i"), lines.numbers(table, "d2")
+        target = ~np.isnan(d2)
+        steps = np.ones(len(first) - 1)
+        steps[line[target]] = lines.numbers(table, step)[target]
+        counts = np.bincount(line[target], minlength=len(steps))
+        asked = np.flatnonzero(~target)
+        got = lines.envelope_at(np.concatenate([[0], np.cumsum(counts)]), place[target], d2[target], steps, line[asked], place[asked])
+        return lines.carried(table, [*group, *AXES], asked, d2=got)
+
+    return lines.over_lines(both, keys, ["i"], work, lines.ddl(both, [*group, *AXES], d2="double"), keys)
+
+
+def _placed(df: DataFrame) -> DataFrame:
+    return df.withColumns({a: F.col(a).cast("int") for a in AXES})
 
 
 def signed_distance(segs: DataFrame, classes: list[int], cases: DataFrame, include_background: bool = False,
@@ -143,17 +177,18 @@ def signed_distance(segs: DataFrame, classes: list[int], cases: DataFrame, inclu
     # an edge voxel is a target for the outside of its own class, and for the inside of the other
     role = F.array(F.struct(F.col("label").cast("int").alias("cls"), F.lit("out").alias("side")),
                    F.struct(F.col("other").cast("int").alias("cls"), F.lit("in").alias("side")))
-    seeds = edges.select(*VOXEL, F.inline(role)).filter(F.col("cls").isin(chosen)).distinct()
-    geometry = cases.select("case_id", *[F.col("shape")[a].alias(f"_n{a}") for a in range(3)],
+    seeds = edges.select(*VOXEL, F.inline(role)).filter(F.col("cls").isin(chosen)).withColumn("d2", F.lit(0.0))
+    geometry = cases.select("case_id", *[(F.col("shape")[a] - 1).cast("int").alias(f"_hi{a}") for a in (1, 2)],
                             *[F.col("spacing")[a].cast("double").alias(f"_s{a}") for a in range(3)])
-    field = attach(seeds.withColumn("d2", F.lit(0.0)), geometry, ["case_id"])
-    for a, axis in enumerate(AXES):
-        field = _distance_pass(field, axis, a, limit)
-    wanted = segs.select(*VOXEL, "label", F.explode(F.array(*[F.lit(c) for c in chosen])).alias("cls")) \
+    group = ["case_id", "cls", "side"]
+    # slabs of constant i hold the lines of both other axes: one exchange serves two passes
+    field = _fill_pass(attach(_placed(seeds), geometry, ["case_id"]), group, "k", None, "_hi2", "_s2", limit, [*group, "i"])
+    field = _fill_pass(field, group, "j", None, "_hi1", "_s1", limit)
+    wanted = segs.select(*VOXEL, F.col("label").cast("int").alias("label"), F.explode(F.array(*[F.lit(c) for c in chosen])).alias("cls")) \
         .withColumn("side", F.when(F.col("label") == F.col("cls"), "in").otherwise("out"))
-    dist = F.least(F.coalesce(F.sqrt("d2"), F.lit(limit)), F.lit(limit))
-    return (wanted.join(field.select("case_id", "cls", "side", *AXES, "d2"), ["case_id", "cls", "side", *AXES], "left")
-            .select("case_id", "cls", *AXES, F.when(F.col("side") == "out", dist).otherwise(-dist).alias("dist")))
+    found = _ask_pass(field, _placed(wanted), group, "_s0")
+    dist = F.least(F.sqrt("d2"), F.lit(limit))
+    return found.select("case_id", "cls", *AXES, F.when(F.col("side") == "out", dist).otherwise(-dist).alias("dist"))
 
 
 # --- surfaces --------------------------------------------------------------------------
@@ -172,48 +207,33 @@ def surface_voxels(segs: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _lower_envelope(pos: pd.Series, d2: pd.Series, query: pd.Series, spacing: pd.Series) -> pd.Series:
-    """min over p of d2[p] + ((q - p) * spacing)^2 for each query of a line."""
-    def one(p, f, q, s):
-        off = (np.asarray(q, dtype=float)[:, None] - np.asarray(p, dtype=float)[None, :]) * s
-        return (off * off + np.asarray(f, dtype=float)[None, :]).min(axis=1)
-
-    return pd.Series([one(*row) for row in zip(pos, d2, query, spacing)], dtype=object)
-
-
-def nearest_surface(queries: DataFrame, targets: DataFrame, cases: DataFrame) -> DataFrame:
-    """Distance of each query voxel to the nearest target voxel of its case and class.
+def nearest_surface(queries: DataFrame, targets: DataFrame, cases: DataFrame, group: tuple[str, ...] = ("case_id", "cls")) -> DataFrame:
+    """Distance of each query voxel to the nearest target voxel of its group, which names case and class.
 
-    Targets are reduced line by line (k, then j, then i), within the box of the queries;
-    no pair of far-apart voxels is ever formed. Queries without any target are left out.
+    Targets are reduced line by line (k and j within slabs, then i), within the box of the queries and along i at
+    the queries only; the cost of a line is linear, and no pair of far-apart voxels is ever formed.
+    Queries without any target are left out.
     """
-    group = ["case_id", "cls"]
-    box = queries.groupBy(*group).agg(*[f(a).alias(f"_{n}{a}") for n, f in (("lo", F.min), ("hi", F.max)) for a in AXES])
+    group = list(group)
+    box = queries.groupBy(*group).agg(*[f(a).cast("int").alias(f"_{n}{a}") for n, f in (("lo", F.min), ("hi", F.max)) for a in "jk"])
     box = box.join(cases.select("case_id", *[F.col("spacing")[a].cast("double").alias(f"_s{x}") for a, x in enumerate(AXES)]),
                    "case_id")
-    field = targets.select(*group, *AXES, F.lit(0.0).alias("d2"))
-    for axis in ("k", "j"):
-        rest = [a for a in AXES if a != axis]
-        lines = field.groupBy(*group, *rest).agg(F.sort_array(F.collect_list(F.struct(axis, "d2"))).alias("_line"))
-        lines = attach(lines, box.select(*group, f"_lo{axis}", f"_hi{axis}", f"_s{axis}"), group)
-        lines = lines.withColumn("_q", F.sequence(f"_lo{axis}", f"_hi{axis}"))
-        found = _lower_envelope(F.col("_line")[axis], F.col("_line")["d2"], F.col("_q"), F.col(f"_s{axis}"))
-        field = lines.withColumn("_f", found).select(*group, *rest, F.inline(F.arrays_zip(F.col("_q").alias(axis), F.col("_f").alias("d2"))))
-    lines = field.groupBy(*group, "j", "k").agg(F.sort_array(F.collect_list(F.struct("i", "d2"))).alias("_line"))
-    asked = queries.groupBy(*group, "j", "k").agg(F.sort_array(F.collect_list("i")).alias("_q"))
-    lines = attach(lines.join(asked, [*group, "j", "k"]), box.select(*group, "_si"), group)
-    found = _lower_envelope(F.col("_line")["i"], F.col("_line")["d2"], F.col("_q"), F.col("_si"))
-    out = lines.withColumn("_f", found).select(*group, "j", "k", F.inline(F.arrays_zip(F.col("_q").alias("i"), F.col("_f").alias("d2"))))
-    return out.select(*group, *AXES, F.sqrt("d2").alias("dist"))
+    field = attach(_placed(targets.select(*group, *AXES)).withColumn("d2", F.lit(0.0)), box, group)
+    field = _fill_pass(field, group, "k", "_lok", "_hik", "_sk", exchange=[*group, "i"])
+    field = _fill_pass(field, group, "j", "_loj", "_hij", "_sj")
+    found = _ask_pass(field, _placed(queries), group, "_si").filter(F.col("d2") != float("inf"))
+    return found.select(*group, *AXES, F.sqrt("d2").alias("dist"))
 
 
 def surface_distance_scores(gt: DataFrame, pred: DataFrame, cases: DataFrame, tolerance: float = 2.0) -> DataFrame:
     """Per case and class the 95th percentile of the surface distances of both sides, and the
     share of both surfaces within the tolerance. One side empty: infinite, and 0."""
     a, b = settle(surface_voxels(gt)), settle(surface_voxels(pred))
-    both = settle(nearest_surface(a, b, cases).unionByName(nearest_surface(b, a, cases)))
     keys = ["case_id", "cls"]
+    # both directions at once, as groups of their own
+    asked = a.withColumn("of", F.lit(0)).unionByName(b.withColumn("of", F.lit(1)))
+    sought = b.withColumn("of", F.lit(0)).unionByName(a.withColumn("of", F.lit(1)))
+    both = settle(nearest_surface(asked, sought, cases, (*keys, "of")).select(*keys, "dist"))
     sizes = a.unionByName(b).groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
     near = both.groupBy(*keys).agg(F.count_if(F.col("dist") <= tolerance).alias("_near"))
     hd = percentiles_of_counts(settle(value_counts(both, keys, "dist")), keys, {"hd95": 0.95})

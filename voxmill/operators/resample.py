@@ -2,21 +2,19 @@
 
 ``shapes(case_id, old_shape, new_shape)``. Orders 0 and 1 are expressions: each source
 voxel is sent to the output positions it contributes to, so nothing is joined; the
-contributions of a line meet in the partition of that line. Order 3 solves a spline per
-line (at most one axis long) in Arrow batches.
+contributions of a line meet in the partition of that line. Order 3 filters whole
+lines (at most one axis long) recursively, many at a time, in Arrow batches.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from voxmill.functions.columns import AXES
+from voxmill.operators import lines
 from voxmill.operators.spread import attach
 
 ANISO_THRESHOLD = 3.0  # fixed value: spacing ratio from which the first axis is treated apart
@@ -83,39 +81,19 @@ def _linear_axis(df: DataFrame, axis: str, a: int, value: str) -> DataFrame:
             .withColumnRenamed("_o", axis))
 
 
-@lru_cache(maxsize=256)
-def cubic_weights(old: int, new: int) -> np.ndarray:
-    """(new, old) matrix of cubic B-spline interpolation with mirrored ends."""
-    def reflect(idx):
-        return 0 if old == 1 else (old - 1) - abs((old - 1) - (abs(idx) % (2 * (old - 1))))
-
-    collocation = np.zeros((old, old))
-    for r in range(old):
-        for shift, w in ((-1, 1 / 6), (0, 4 / 6), (1, 1 / 6)):
-            collocation[r, reflect(r + shift)] += w
-    basis = np.zeros((new, old))
-    for o in range(new):
-        x = (o + 0.5) * old / new - 0.5
-        low = int(np.floor(x))
-        for m in range(low - 1, low + 3):
-            d = abs(x - m)
-            w = (4 - 6 * d * d + 3 * d ** 3) / 6 if d < 1 else (2 - d) ** 3 / 6 if d < 2 else 0.0
-            basis[o, reflect(m)] += w
-    return np.linalg.solve(collocation.T, basis.T).T
-
-
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _cubic_lines(lines: pd.Series, size: pd.Series) -> pd.Series:
-    return pd.Series([cubic_weights(len(v), int(n)) @ np.asarray(v, dtype=float) for v, n in zip(lines, size)],
-                     dtype=object)
-
-
 def _cubic_axis(df: DataFrame, axis: str, a: int, value: str) -> DataFrame:
     keys, sizes = _line_keys(df, axis, value), _sizes(df)
-    lines = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(axis, value))).alias("_line"),
-                                  *[F.first(c).alias(c) for c in sizes])
-    out = lines.withColumn("_out", _cubic_lines(F.transform("_line", lambda x: x[value].cast("double")), F.col(f"_new{a}")))
-    return out.select(*keys, *sizes, F.posexplode("_out").alias(axis, value))
+    rest = [*keys, *sizes]
+
+    def work(table: pa.Table, first: np.ndarray) -> pa.Table:
+        new = lines.numbers(table, f"_new{a}", np.int64)[first[:-1]]
+        values, starts = lines.resample_lines(first, lines.numbers(table, value), new)
+        line = np.repeat(np.arange(len(new)), new)
+        return lines.carried(table, rest, first[:-1][line], **{axis: (np.arange(len(line)) - starts[:-1][line]).astype(np.int32), value: values})
+
+    # slabs of constant i hold the lines of both other axes: the pass along k follows the one along j in place
+    exchange = [keys, [c for c in keys if c != "k"], None][a]
+    return lines.over_lines(df, keys, [axis], work, lines.ddl(df, rest, **{axis: "int", value: "double"}), exchange)
 
 
 def _axis_pass(df: DataFrame, a: int, order: int, value: str) -> DataFrame:
