@@ -46,3 +46,51 @@ def test_offenders_are_named(spark):
     with pytest.raises(RuntimeError, match=r"wrong channels: c0, c1, c2, c3, c4 \(\+3 more\)"):
         raise_if_any(bad, "case_id", "wrong channels")
     raise_if_any(bad.limit(0), "case_id", "wrong channels")
+
+
+def test_a_micro_batch_reads_the_folders_of_its_own_cases(spark, tmp_path):
+    from pyspark.sql import functions as F
+    voxels = spark.range(20_000).select(F.concat(F.lit("case"), (F.col("id") % 200).cast("string")).alias("case_id"), F.lit(0).alias("channel"),
+                                        *[(F.floor(F.col("id") / 200 / d) % 5).cast("int").alias(a) for a, d in zip("ijk", (25, 5, 1))],
+                                        F.col("id").cast("double").alias("value"))
+    # a hot case: a third of all rows
+    voxels = voxels.unionByName(voxels.limit(10_000).withColumn("case_id", F.lit("hot")))
+    path = str(tmp_path / "voxels")
+    S.write_bucketed(voxels, path, 1 << 20)
+    table = spark.read.parquet(path)
+    cases = [f"case{i}" for i in range(200)] + ["hot"]
+    buckets = {r["case_id"]: r["b"] for r in spark.createDataFrame([(c,) for c in cases], "case_id string").select(
+        "case_id", S.case_bucket(F.col("case_id"), 1 << 20).alias("b")).collect()}
+    per_folder = {r["bucket"]: r["count"] for r in table.groupBy("bucket").count().collect()}
+    read = 0
+    for batch in range(100):
+        own = cases[2 * batch:2 * batch + 2] + (["hot"] if batch == 99 else [])
+        read += sum(per_folder[b] for b in {buckets[c] for c in own})
+        if batch % 33 == 0:
+            arrived = spark.createDataFrame([(c,) for c in own], "case_id string")
+            got = S.rows_of_cases(table, arrived, 1 << 20)
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            assert "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+            assert got.columns == voxels.columns and {r["case_id"] for r in got.select("case_id").distinct().collect()} == set(own)
+            assert got.count() == voxels.filter(F.col("case_id").isin(own)).count()
+    # all batches together read the table once, up to folders that two cases share
+    assert read <= 1.02 * voxels.count()
+    assert S.rows_of_cases(table, spark.createDataFrame([], "case_id string"), 1 << 20).isEmpty()
+
+
+def test_sketches_merge_in_any_order(spark):
+    from pyspark.sql import functions as F
+    from voxmill.operators import fingerprint as P
+    values = spark.range(60_000).select((F.col("id") % 2).alias("channel"), F.when(F.col("id") % 3 > 0, F.pow(F.rand(1), 3) * 1000).otherwise(5.0).alias("value"),
+                                        F.floor(F.col("id") / 6000).alias("batch"))
+    parts = P.sketches(values, ["channel", "batch"])
+    counts = P.value_counts(values, ["channel"], "value")
+    whole = {r["channel"]: r for r in P.stats_of_sketches(P.sketches(values, ["channel"]), ["channel"]).collect()}
+    halves = [parts.filter(f"batch % 2 = {h}").drop("batch") for h in (0, 1)]
+    orders = [P.merge_sketches(parts.drop("batch"), ["channel"]),
+              P.merge_sketches(P.merge_sketches(halves[1], ["channel"]).unionByName(P.merge_sketches(halves[0], ["channel"])), ["channel"])]
+    for merged in orders:
+        stats = P.stats_of_sketches(merged, ["channel"])
+        assert all(all(v for k, v in r.asDict().items() if k.endswith("_ok")) for r in P.ranks_of(counts, stats, ["channel"]).collect())
+        for r in stats.collect():
+            assert all(abs(r[c] - whole[r["channel"]][c]) < 1e-9 * abs(r[c]) for c in ("mean", "std", "min", "max", "n_voxels"))

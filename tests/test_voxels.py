@@ -268,3 +268,18 @@ def test_requests_meet_voxels_by_tile(spark):
                     at = (lo[0] + i, lo[1] + j, lo[2] + k)
                     want[n, i, j, k] = float(at[0] + 40 * at[1] + 1600 * at[2]) if all(0 <= x < 40 for x in at) else -1.0
     assert got == want
+
+
+def test_box_difference_is_disjoint_and_makes_no_other_cell(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for n in range(60):
+        lo, inner = rng.integers(-3, 4, 3), rng.integers(-4, 6, 3)
+        rows.append((n, [int(x) for x in inner], [int(x) for x in inner + rng.integers(-1, 6, 3)], [int(x) for x in lo], [int(x) for x in lo + rng.integers(0, 6, 3)]))
+    boxes = spark.createDataFrame(rows, "n int, a array<int>, b array<int>, c array<int>, d array<int>")
+    parts = boxes.select("n", F.explode(V.box_difference((F.col("a"), F.col("b")), (F.col("c"), F.col("d")))).alias("p")).collect()
+    for n, a, b, c, d in rows:
+        want = {p for p in itertools.product(*[range(c[x], d[x]) for x in range(3)]) if not all(a[x] <= p[x] < b[x] for x in range(3))}
+        own = [r["p"] for r in parts if r["n"] == n]
+        got = [p for r in own for p in itertools.product(*[range(r["lo"][x], r["hi"][x]) for x in range(3)])]
+        assert len(own) <= 6 and len(got) == len(set(got)) and set(got) == want

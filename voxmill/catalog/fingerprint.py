@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from voxmill.catalog.base import flat, q6, query, r6, rounded
 from voxmill.catalog.inputs import cases, htoken, one_channel, segs, udraw, voxels, with_grid
 from voxmill.operators import fingerprint as P
+from voxmill.operators.spread import value_counts
 from voxmill.operators.voxel import nonzero_bbox, nonzero_mask, mark_outside
+from voxmill.session import settle
+from voxmill.sources.files import rows_of_cases
 
 STATS = ("mean", "std", "min", "max", "percentile_00_5", "median", "percentile_99_5")
 SQL_STATS = ", ".join([
@@ -32,9 +35,36 @@ def _(spark, sf):
     return rounded(P.foreground_intensity_stats(voxels(spark, sf)), *STATS)
 
 
-@query("foreground_intensity_stats_sketch")
+# percentiles of a sketch are right within its documented rank error, its other statistics exactly
+SKETCHED = f"""n_voxels, {q6('mean')} AS mean, {q6('std')} AS std, {q6('min')} AS min, {q6('max')} AS max,
+  TRUE AS percentile_00_5_ok, TRUE AS median_ok, TRUE AS percentile_99_5_ok
+FROM (SELECT %s, count(*) AS n_voxels, avg(value) AS mean, stddev_pop(value) AS std, min(value) AS min, max(value) AS max FROM fg GROUP BY ALL)"""
+
+
+def with_ranks(stats, counts, keys):
+    kept = stats.select(*keys, "n_voxels", "mean", "std", "min", "max")
+    return rounded(kept.join(P.ranks_of(counts, stats, keys), keys), "mean", "std", "min", "max")
+
+
+@query("foreground_intensity_stats_sketch", with_grid("SELECT channel, " + SKETCHED % "channel", FG))
+def _(spark, sf):
+    stats = settle(P.foreground_intensity_stats(voxels(spark, sf), segs(spark, sf), approx=True))
+    counts = value_counts(P.foreground(voxels(spark, sf), segs(spark, sf)), ["channel"], "value")
+    return with_ranks(stats, counts, ["channel"])
+
+
+@query("merged_sketches", with_grid("SELECT dataset_id, channel, " + SKETCHED % "dataset_id, channel", FG))
 def _(spark, sf):
-    return P.foreground_intensity_stats(voxels(spark, sf), segs(spark, sf), approx=True)
+    """Partial tables of three batches of cases, merged."""
+    keys, every = ["dataset_id", "channel"], cases(spark, sf)
+    parts = None
+    for batch in range(3):
+        some = every.filter(F.pmod(F.xxhash64("case_id"), F.lit(3)) == batch)
+        part = settle(P.sketch_partial(rows_of_cases(voxels(spark, sf), some), rows_of_cases(segs(spark, sf), some), some))
+        parts = part if parts is None else parts.unionByName(part)
+    stats = settle(P.stats_of_sketches(P.merge_sketches(parts, keys), keys))
+    fg = P.foreground(voxels(spark, sf), segs(spark, sf)).join(every.select("case_id", "dataset_id"), "case_id")
+    return with_ranks(stats, value_counts(fg, keys, "value"), keys)
 
 
 @query("label_class_ratios", with_grid(f"""

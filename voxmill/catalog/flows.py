@@ -58,12 +58,14 @@ def _(spark, sf):
 
 
 def streamed_partials(spark, sf):
-    """Cases arrive in three files, one per micro-batch."""
-    source, root, checkpoint = (scratch_path(spark, n) for n in ("arrivals", "partials", "progress"))
+    """Cases arrive in three files, one per micro-batch, which reads the buckets of its cases."""
+    source, root, checkpoint, images, labels = (scratch_path(spark, n) for n in ("arrivals", "partials", "progress", "images", "labels"))
+    S.write_bucketed(voxels(spark, sf), images)
+    S.write_bucketed(segs(spark, sf), labels)
     table_of_cases = cases(spark, sf)
     table_of_cases.repartition(3, "case_id").write.parquet(source)
     arriving = spark.readStream.schema(table_of_cases.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    I.stream_statistics(arriving, voxels(spark, sf), segs(spark, sf), root, checkpoint).awaitTermination()
+    I.stream_statistics(arriving, spark.read.parquet(images), spark.read.parquet(labels), root, checkpoint).awaitTermination()
     return I.read_statistics(spark, root)
 
 

@@ -49,16 +49,12 @@ def foreground_intensity_stats(voxels: DataFrame, segs: DataFrame | None = None,
     """Per channel mean, population std, median, min, max, p0.5 and p99.5 of the foreground.
 
     Exact by default: equal values collapse into counts before anything is shuffled.
-    ``approx=True`` reads the percentiles from a mergeable sketch instead.
+    ``approx=True`` reads the percentiles from mergeable sketches instead (:func:`sketch_partial`).
     """
     keys = list(keys)
     chosen = foreground(voxels, segs)
     if approx:
-        return chosen.groupBy(*keys).agg(
-            F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"),
-            F.min("value").alias("min"), F.max("value").alias("max"),
-            F.count(F.lit(1)).alias("n_voxels"),
-            *[F.percentile_approx("value", p, 10000).alias(name) for name, p in INTENSITY_PERCENTILES.items()])
+        return stats_of_sketches(sketches(chosen, keys), keys)
     return stats_of_counts(settle(value_counts(chosen, keys, "value")), keys)
 
 
@@ -138,6 +134,52 @@ def geometry_summary(geometry: DataFrame) -> DataFrame:
     return geometry.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("num_cases")).join(wide, "dataset_id", "left")
 
 
+# --- sketches of intensities that merge in any order ------------------------------------
+
+#: Size of a sketch. The rank of a percentile read from it is off by less than RANK_ERROR of all values with 99 % probability.
+SKETCH_K = 800
+RANK_ERROR = 0.006
+
+
+def sketches(values: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, mean, m2, min, max, sketch): what partial tables keep of the values, a few kilobytes for any number of them."""
+    v = F.col("value").cast("double")
+    return values.filter("value IS NOT NULL").groupBy(*keys).agg(
+        F.count(v).alias("n"), F.avg(v).alias("mean"), (F.var_pop(v) * F.count(v)).alias("m2"), F.min(v).alias("min"), F.max(v).alias("max"),
+        F.kll_sketch_agg_double(v, SKETCH_K).alias("sketch"))
+
+
+def sketch_partial(voxels: DataFrame, segs: DataFrame | None, cases: DataFrame) -> DataFrame:
+    """Sketches of the foreground of some cases by dataset and channel, to be merged with those of others."""
+    return sketches(attach(foreground(voxels, segs), cases.select("case_id", "dataset_id"), ["case_id"]), ["dataset_id", "channel"])
+
+
+def merge_sketches(partials: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key of partial tables in any order and grouping; a merge of merges is a merge."""
+    total = partials.groupBy(*keys).agg((F.sum(F.col("mean") * F.col("n")) / F.sum("n")).alias("_mean"))
+    off = F.col("mean") - F.col("_mean")
+    # partial tables have a row per batch and key: attach keeps a key's many batches apart
+    return attach(partials, total, keys).groupBy(*keys).agg(
+        F.sum("n").alias("n"), F.first("_mean").alias("mean"), F.sum(F.col("m2") + F.col("n") * off * off).alias("m2"),
+        F.min("min").alias("min"), F.max("max").alias("max"), F.kll_merge_agg_double("sketch", SKETCH_K).alias("sketch"))
+
+
+def stats_of_sketches(merged: DataFrame, keys: list[str]) -> DataFrame:
+    """The statistics of :func:`stats_of_counts` from one sketch per key; percentiles are values that occur."""
+    read = [F.kll_sketch_get_quantile_double("sketch", F.lit(p)).alias(name) for name, p in INTENSITY_PERCENTILES.items()]
+    return merged.select(*keys, "mean", F.sqrt(F.col("m2") / F.col("n")).alias("std"), "min", "max", F.col("n").alias("n_voxels"), *read)
+
+
+def ranks_of(counts: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, <name>_ok): whether each percentile's rank among all values, given as counts, is within RANK_ERROR."""
+    n = F.sum("n")
+    met = attach(counts, stats.select(*keys, *INTENSITY_PERCENTILES), keys).groupBy(*keys).agg(*[
+        ((F.sum(F.when(F.col("v") < F.col(name), F.col("n")).otherwise(0)) / n <= p + RANK_ERROR)
+         & (F.sum(F.when(F.col("v") <= F.col(name), F.col("n")).otherwise(0)) / n >= p - RANK_ERROR)).alias(f"{name}_ok")
+        for name, p in INTENSITY_PERCENTILES.items()])
+    return met
+
+
 # --- partial results that merge in any order -------------------------------------
 
 def statistics_partial(voxels: DataFrame, segs: DataFrame | None, cases: DataFrame) -> DataFrame:

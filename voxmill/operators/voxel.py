@@ -92,14 +92,34 @@ def crop_to_bbox(voxels: DataFrame, bbox: DataFrame) -> DataFrame:
 TILE = 16
 
 
+def box_difference(inner: tuple[Column, Column], outer: tuple[Column, Column]) -> Column:
+    """The outer box without the inner one, as at most six boxes (lo, hi) that do not overlap.
+
+    Each axis gives the part before and the part behind the inner box, between the inner box's sides
+    on the axes already done. Boxes are (lo, hi) arrays; the inner one may reach out of the outer one.
+    """
+    c, d = ([F.get(side, F.lit(a)).cast("int") for a in range(3)] for side in outer)
+    a = [F.greatest(F.get(inner[0], F.lit(x)).cast("int"), c[x]) for x in range(3)]
+    b = [F.least(F.get(inner[1], F.lit(x)).cast("int"), d[x]) for x in range(3)]
+    empty = (a[0] >= b[0]) | (a[1] >= b[1]) | (a[2] >= b[2])
+    # without an inner box, all of the outer one is before it on the first axis
+    a[0], b[0] = F.when(empty, d[0]).otherwise(a[0]), F.when(empty, d[0]).otherwise(b[0])
+
+    def part(axis: int, lo: Column, hi: Column) -> Column:
+        los = [a[x] if x < axis else lo if x == axis else c[x] for x in range(3)]
+        his = [b[x] if x < axis else hi if x == axis else d[x] for x in range(3)]
+        return F.struct(F.array(*los).alias("lo"), F.array(*his).alias("hi"))
+
+    parts = F.array(*[p for x in range(3) for p in (part(x, c[x], a[x]), part(x, b[x], d[x]))])
+    return F.filter(parts, lambda p: (p["lo"][0] < p["hi"][0]) & (p["lo"][1] < p["hi"][1]) & (p["lo"][2] < p["hi"][2]))
+
+
 def _pad_rows(boxes: DataFrame, keys: list[str], inner_lo: list[Column], inner_hi: list[Column],
               outer_lo: list[Column], outer_hi: list[Column], carry: list[str]) -> DataFrame:
-    """Cells of the outer box that are not in the inner box."""
-    cells = grid(boxes.select(*keys, *carry,
-                              F.array(*inner_lo).alias("_a"), F.array(*inner_hi).alias("_b"),
-                              F.array(*outer_lo).alias("_c"), F.array(*outer_hi).alias("_d")),
-                 [F.col("_c")[a] for a in range(3)], [F.col("_d")[a] for a in range(3)])
-    return cells.filter(~inside_box(F.col("_a"), F.col("_b"))).drop("_a", "_b", "_c", "_d")
+    """Cells of the outer box that are not in the inner box; no others are made."""
+    parts = box_difference((F.array(*inner_lo), F.array(*inner_hi)), (F.array(*outer_lo), F.array(*outer_hi)))
+    boxes = boxes.select(*keys, *carry, F.inline(parts).alias("_c", "_d"))
+    return grid(boxes, [F.col("_c")[a] for a in range(3)], [F.col("_d")[a] for a in range(3)]).drop("_c", "_d")
 
 
 def crop_and_pad(table: DataFrame, requests: DataFrame, shapes: DataFrame, value: str, pad,

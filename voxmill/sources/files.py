@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -89,6 +89,33 @@ def write_voxels(voxels: DataFrame, path: str, mode: str = "errorifexists") -> N
     laid_out(voxels).write.mode(mode).parquet(path)
 
 
+#: Buckets of a table that is read case by case; at least as many as cases, if each is to be read once.
+BUCKETS = 4096
+
+
+def case_bucket(case_id: Column, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(case_id), F.lit(buckets)).cast("int")
+
+
+def write_bucketed(table: DataFrame, path: str, buckets: int = BUCKETS, mode: str = "errorifexists") -> None:
+    """A voxel table in folders bucket=n by a hash of the case, so that some cases can be read without the others.
+
+    Folders that no case falls into do not exist, so many buckets cost nothing while there are few cases.
+    """
+    laid_out(table.withColumn("bucket", case_bucket(F.col("case_id"), buckets)), "bucket") \
+        .write.mode(mode).partitionBy("bucket").parquet(path)
+
+
+def rows_of_cases(table: DataFrame, cases: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """The rows of these cases. Of a table that :func:`write_bucketed` wrote, only the cases' own folders are read:
+    their numbers, at most ``buckets``, are a filter on the folders."""
+    ids = cases.select("case_id").distinct()
+    if "bucket" in table.columns:
+        numbers = [r[0] for r in ids.select(case_bucket(F.col("case_id"), buckets)).distinct().collect()]
+        table = table.filter(F.col("bucket").isin(numbers) if numbers else F.lit(False)).drop("bucket")
+    return table.join(ids, "case_id", "left_semi")
+
+
 def write_preprocessed(table: DataFrame, root: str, mode: str = "append") -> None:
     """One set for all configurations that share it: folders data_identifier=, split=."""
     laid_out(table, "data_identifier", "split").write.mode(mode).partitionBy("data_identifier", "split").parquet(root)

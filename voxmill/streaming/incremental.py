@@ -11,18 +11,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from voxmill.operators.fingerprint import merge_statistics, statistics_partial
+from voxmill.sources.files import BUCKETS, rows_of_cases
 
 
-def write_partial(cases: DataFrame, epoch: int, voxels: DataFrame, segs: DataFrame, root: str) -> None:
-    """Statistics of one micro-batch. A repeated epoch replaces its own folder only."""
-    ids = cases.select("case_id")
-    partial = statistics_partial(voxels.join(ids, "case_id", "left_semi"), segs.join(ids, "case_id", "left_semi"), cases)
+def write_partial(cases: DataFrame, epoch: int, voxels: DataFrame, segs: DataFrame, root: str, buckets: int = BUCKETS) -> None:
+    """Statistics of one micro-batch. A repeated epoch replaces its own folder only.
+
+    The batch reads the folders of its own cases, if the voxel tables are in case buckets
+    (:func:`voxmill.sources.files.write_bucketed`); tables without buckets are read whole.
+    """
+    partial = statistics_partial(rows_of_cases(voxels, cases, buckets), rows_of_cases(segs, cases, buckets), cases)
     partial.write.mode("overwrite").parquet(f"{root}/epoch={epoch}")
 
 
-def stream_statistics(cases: DataFrame, voxels: DataFrame, segs: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
+def stream_statistics(cases: DataFrame, voxels: DataFrame, segs: DataFrame, root: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
     """Run over the cases that have arrived; ``cases`` is a stream, the voxel tables are not."""
-    return (cases.writeStream.foreachBatch(lambda batch, epoch: write_partial(batch, epoch, voxels, segs, root))
+    return (cases.writeStream.foreachBatch(lambda batch, epoch: write_partial(batch, epoch, voxels, segs, root, buckets))
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
