@@ -64,6 +64,14 @@ def _(spark, sf):
     return rounded(N.normalize_zscore(voxels(spark, sf), body_labels(spark, sf), use_mask=True), "value")
 
 
+@query("registered_normalizer", with_grid(f"""
+SELECT case_id, channel, i, j, k, {q6('(value - m) / (s + 1.0)')} AS value FROM voxels JOIN zs USING (case_id, channel)""", Z0))
+def _(spark, sf):
+    """A scheme that the caller adds to the registry."""
+    N.register_normalizer("Soft", lambda v, p: (v - p["mean"]) / (p["std"] + 1.0))
+    return rounded(N.normalize(voxels(spark, sf), ("Soft", False))[0], "value")
+
+
 @query("normalize_none", with_grid("SELECT * FROM voxels"))
 def _(spark, sf):
     return N.normalize_none(voxels(spark, sf))

@@ -373,14 +373,33 @@ def _(spark, sf):
     return A.cutmix_pairs(slots(spark, sf), SIZE, 4, SEED).select("batch", "slot", "partner", *box_columns())
 
 
-@query("cutmix", with_grid("""
+MIXED = with_grid("""
 SELECT * FROM inbox UNION ALL
 SELECT p.* FROM pim p LEFT JOIN mixed m USING (batch, slot)
-WHERE m.slot IS NULL OR NOT (i >= lo0 AND i < hi0 AND j >= lo1 AND j < hi1 AND k >= lo2 AND k < hi2)""", PATCHES, MIX))
+WHERE m.slot IS NULL OR NOT (i >= lo0 AND i < hi0 AND j >= lo1 AND j < hi1 AND k >= lo2 AND k < hi2)""", PATCHES, MIX)
+
+
+@query("cutmix", MIXED)
 def _(spark, sf):
     return A.cutmix({"image": image(spark, sf)}, slots(spark, sf), SIZE, 4, SEED)["image"]
 
 
+@query("augment_cutmix", MIXED)
+def _(spark, sf):
+    """The mixing step of the family "cutmix", through the whole chain without its other steps."""
+    family = {"cutmix": A.FAMILIES["cutmix"]["cutmix"]}
+    return A.augment({"image": image(spark, sf)}, slots(spark, sf), SIZE, SIZE, 2, SEED, family=family, batch_size=4)["image"]
+
+
+@query("augment_more", with_grid(f"""
+SELECT batch, slot, channel, i - 1 AS i, j - 1 AS j, k - 1 AS k, {q6('abs(value) * 2.0 + channel')} AS value FROM pim
+WHERE i BETWEEN 1 AND 6 AND j BETWEEN 1 AND 6 AND k BETWEEN 1 AND 6""", PATCHES))
+def _(spark, sf):
+    """Functions of the caller's own in the chain."""
+    own = [lambda t: t.withColumn("value", F.abs("value")), lambda t: t.withColumn("value", F.col("value") * 2.0 + F.col("channel"))]
+    return rounded(A.augment({"image": image(spark, sf)}, slots(spark, sf), SIZE, (6, 6, 6), 2, SEED, family={}, more=own)["image"], "value")
+
+
 @query("augment")
 def _(spark, sf):
     tables = {"image": image(spark, sf), "label": label(spark, sf)}

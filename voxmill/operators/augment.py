@@ -417,10 +417,10 @@ def spatial(tables: dict[str, DataFrame], slots: DataFrame, size: Sequence[int],
 def augment(tables: dict[str, DataFrame], slots: DataFrame, size: Sequence[int], out: Sequence[int], n_channels: int,
             seed: int, rotation: float = 30 / 180 * math.pi, family: str | dict = "default", dummy_2d: bool = False,
             mirror_axes: Sequence[int] = (0, 1, 2), mask_channels: Sequence[int] = (),
-            more: Sequence[Callable[[DataFrame], DataFrame]] = ()) -> dict[str, DataFrame]:
+            more: Sequence[Callable[[DataFrame], DataFrame]] = (), batch_size: int = 2) -> dict[str, DataFrame]:
     """Spatial, noise, blur, brightness, contrast, low resolution, gamma (inverted, then
-    normal), mirror, mask, label clean-up - in this order. ``more`` are further functions
-    of the image table, applied after gamma."""
+    normal), mirror, mask, label clean-up, CutMix within batches of ``batch_size`` - in this order.
+    ``more`` are further functions of the image table, applied after gamma."""
     cfg = FAMILIES[family] if isinstance(family, str) else family
     tables = dict(tables)
     if "spatial" in cfg:
@@ -452,4 +452,8 @@ def augment(tables: dict[str, DataFrame], slots: DataFrame, size: Sequence[int],
         if mask_channels:
             tables["image"] = mask_image(tables["image"], tables["label"], list(mask_channels), (*PATCH, *AXES))
         tables["label"] = remove_outside_label(tables["label"])
+    if "cutmix" in cfg:
+        # images are read twice, as they were before mixing
+        tables = {n: settle(t) if n in ("image", "label") else t for n, t in tables.items()}
+        tables = cutmix(tables, slots, out, batch_size, seed, cfg["cutmix"]["p"], cfg["cutmix"]["alpha"])
     return tables

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxmill.functions.columns import VOXEL
-from voxmill.operators.fingerprint import channel_moments, volume_range
+from voxmill.operators.fingerprint import channel_moments
 from voxmill.operators.spread import attach
 
 # fixed values: smallest std, scheme names with their aliases
@@ -56,15 +56,18 @@ def canonical_scheme(name: Column) -> Column:
                       F.raise_error(F.concat(F.lit("unknown normalization scheme: "), name)).cast("string"))
 
 
-def normalization_params(voxels: DataFrame, plan: DataFrame, stats: DataFrame | None = None,
+def normalization_params(voxels: DataFrame, plan: DataFrame | tuple[str, bool], stats: DataFrame | None = None,
                          segs: DataFrame | None = None) -> DataFrame:
     """One row per case and channel with what a scheme needs, and what undoes it.
 
-    plan(channel, scheme, use_mask), stats(channel, mean, std, percentile_00_5, percentile_99_5).
+    plan(channel, scheme, use_mask), or one scheme and mask flag for all channels; stats(channel, mean, std,
+    percentile_00_5, percentile_99_5). Range and moments come from one aggregation; only channels that use
+    the mask are read again, with the labels.
     """
-    plain = volume_range(voxels).join(channel_moments(voxels), ["case_id", "channel"])
+    plain = voxels.groupBy("case_id", "channel").agg(
+        F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
     if segs is not None:
-        wanted = attach(voxels, plan.filter("use_mask").select("channel"), ["channel"])
+        wanted = voxels if isinstance(plan, tuple) else attach(voxels, plan.filter("use_mask").select("channel"), ["channel"])
         masked = channel_moments(wanted, segs, use_mask=True)
         plain = plain.join(masked.withColumnsRenamed({"mean": "m_mean", "std": "m_std"}), ["case_id", "channel"], "left")
     else:
@@ -75,7 +78,10 @@ def normalization_params(voxels: DataFrame, plan: DataFrame, stats: DataFrame |
         joined = attach(plain, stats.select("channel", F.col("mean").alias("d_mean"), F.col("std").alias("d_std"),
                                             F.col("percentile_00_5").alias("d_lo"), F.col("percentile_99_5").alias("d_hi")),
                         ["channel"], "left")
-    joined = attach(joined, plan.select("channel", canonical_scheme(F.col("scheme")).alias("scheme"), "use_mask"), ["channel"])
+    if isinstance(plan, tuple):
+        joined = joined.withColumns({"scheme": canonical_scheme(F.lit(plan[0])), "use_mask": F.lit(plan[1])})
+    else:
+        joined = attach(joined, plan.select("channel", canonical_scheme(F.col("scheme")).alias("scheme"), "use_mask"), ["channel"])
     ct = F.col("scheme") == "CT"
     masked_z = (F.col("scheme") == "ZScore") & F.col("use_mask") & F.lit(segs is not None)
     empty = masked_z & F.col("m_mean").isNull()
@@ -108,7 +114,7 @@ def apply_normalization(voxels: DataFrame, params: DataFrame, segs: DataFrame |
     return ready.select(*[c for c in voxels.columns if c != "value"], result.alias("value"))
 
 
-def normalize(voxels: DataFrame, plan: DataFrame, stats: DataFrame | None = None,
+def normalize(voxels: DataFrame, plan: DataFrame | tuple[str, bool], stats: DataFrame | None = None,
               segs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(normalised voxels, parameters); the scheme of each channel comes from the plan."""
     params = normalization_params(voxels, plan, stats, segs)
@@ -117,15 +123,21 @@ def normalize(voxels: DataFrame, plan: DataFrame, stats: DataFrame | None = None
 
 def normalize_ct(voxels: DataFrame, stats: DataFrame | None) -> DataFrame:
     """Clip to the dataset's percentiles, then standardise; without statistics the clip
-    limits are the volume's own and mean 0, std 1."""
-    plan = voxels.select("channel").distinct().select("channel", F.lit("CT").alias("scheme"), F.lit(False).alias("use_mask"))
-    return normalize(voxels, plan, stats)[0]
+    limits are the volume's own and mean 0, std 1, which changes nothing.
+
+    Nothing is taken from the case itself, so one pass over the voxels is enough."""
+    if stats is None:
+        return voxels.withColumn("value", F.col("value").cast("double"))
+    limits = stats.select("channel", *[F.col(c).alias(f"_{c}") for c in ("mean", "std", "percentile_00_5", "percentile_99_5")])
+    # greatest and least pass over limits that are null
+    clipped = F.least(F.greatest(F.col("value"), F.col("_percentile_00_5")), F.col("_percentile_99_5"))
+    out = (clipped - F.coalesce("_mean", F.lit(0.0))) / F.greatest(F.coalesce("_std", F.lit(1.0)), F.lit(MIN_STD))
+    return attach(voxels, limits, ["channel"], "left").select(*[c for c in voxels.columns if c != "value"], out.alias("value"))
 
 
 def normalize_zscore(voxels: DataFrame, segs: DataFrame | None = None, use_mask: bool = False) -> DataFrame:
-    plan = voxels.select("channel").distinct().select(
-        "channel", F.lit("ZScore").alias("scheme"), F.lit(use_mask and segs is not None).alias("use_mask"))
-    return normalize(voxels, plan, segs=segs if use_mask else None)[0]
+    masked = use_mask and segs is not None
+    return normalize(voxels, ("ZScore", masked), segs=segs if masked else None)[0]
 
 
 def normalize_none(voxels: DataFrame) -> DataFrame:
