@@ -67,7 +67,8 @@ def test_secrets_match_sql_where_there_are_some(spark, sf):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{folder}/documents.parquet')")
     got = QUERIES["op10_secret_scan"](spark, folder).toPandas()
     assert mismatch(got, con.execute(ORACLES["op10_secret_scan"]).df()) is None
-    assert (got["n_assign"] != got["n_hex"]).any() and got["n_assign"].sum() > 0
+    # each of the documents with spans here has as many of one kind as of another, but not of all three
+    assert (got["n_assign"] != got["n_access"]).any() and got["n_assign"].sum() > 0
 
 
 # --- 1 mixing
