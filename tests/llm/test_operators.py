@@ -397,6 +397,57 @@ def test_contamination_of_odd_rows(spark, odd, empty):
     assert decontaminate.report(empty, bench).isEmpty()
 
 
+def holds(item: str, passage: str) -> bool:
+    """Brute force: the passage has enough shingles of question and answer, or of the whole item."""
+    words, text = (WORDS.findall(x.translate(LOWER)) for x in (item, passage))
+    k = min(5, len(words))
+    there = {tuple(text[i:i + k]) for i in range(len(text) - k + 1)}
+    to, since = decontaminate.parts(len(words))
+    share = [len(own & there) / len(own) for own in ({tuple(p[i:i + k]) for i in range(len(p) - k + 1)} for p in (words[:to], words[since:], words))]
+    return min(share[:2]) >= 0.8 - 1e-9 or share[2] >= 0.8 - 1e-9
+
+
+def test_altered_copies_and_short_items_are_found_whatever_shares_their_index(spark):
+    """Copies with some words changed against brute force, within texts no longer than a passage."""
+    rng = random.Random(8)
+    word = lambda: f"v{rng.randrange(300)}"
+    bench = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate([1, 2, 3, 4, 5, 6, 9, 12, 16, 25, 43, 60] * 3)]
+    docs = []
+    for _, text in bench:
+        for changed in range(4):
+            words = text.split()
+            for _ in range(changed):
+                words[rng.randrange(len(words))] = "changed"
+            pad = [word() for _ in range(rng.randrange(60 - len(words) + 1))]
+            at = rng.randrange(len(pad) + 1)
+            docs.append((len(docs), " ".join(pad[:at] + words + pad[at:]).upper(), "en", "a", 1))
+    want = {(d[0], i) for d in docs for i, text in bench if holds(text, d[1])}
+    # one word changed in an item of 43 words or more is always found
+    assert all((4 * i + 1, i) in want for i, text in bench if len(text.split()) >= 43)
+    table, items = spark.createDataFrame(docs, COLUMNS), spark.createDataFrame(bench, "item_id bigint, text string")
+    for words in (500_000, 100):
+        got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contamination(table, items, index_words=words).collect()}
+        assert got == want
+
+
+def test_bounds_are_held_in_runs(monkeypatch, spark, sf):
+    docs, bench = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "benchmark"))
+    want = sorted(map(tuple, decontaminate.contamination(docs, bench).collect()), key=str)
+    texts, items = docs.select("text").toPandas()["text"], bench.orderBy("item_id").toPandas()
+    split = decontaminate.W.split(pa.array(items["text"]))
+    hashes = split.hashes(lower=True)
+    df = {}
+    for i in range(len(items)):
+        for h in np.unique(hashes[split.first[i]:split.first[i + 1]]):
+            df[int(h)] = df.get(int(h), 0) + 1
+    counts = split.counts()
+    index = decontaminate.build_index(list(items["item_id"]), list(items["text"]), df, len(items), counts.mean(), int(counts.max()), 0.8)
+    text = decontaminate.W.split(pa.array(texts, pa.string()))
+    found = decontaminate.search(index, text.hashes(lower=True), text.first, 0.8)
+    monkeypatch.setattr(decontaminate, "CELLS", 1)
+    assert decontaminate.search(index, text.hashes(lower=True), text.first, 0.8) == found and len(found) == len(want) > 0
+
+
 # --- 9 sharding
 
 def test_shards_follow_the_law(spark, sf, texts):

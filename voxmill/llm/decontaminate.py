@@ -8,6 +8,9 @@ blocks that are left are scored. Items that reach their threshold are verified w
 The threshold of an item is the least score that a passage can have which passes the verification,
 so that no contaminated passage is lost: the sum of all its words' scores less the highest scores
 of as many words as may be missing.
+
+A passage holds an item if it holds enough of the shingles of both its question and its answer, or
+of the whole item: an answer has few shingles, one changed word in it would hide a copy.
 """
 
 from __future__ import annotations
@@ -30,7 +33,9 @@ BLOCK_ITEMS = 8
 COMMON = 0.1
 #: Words at least in the question's and the answer's part of an item, if it has as many.
 PART_WORDS = 10
-PAIR = ("doc_id", "tkey", "item_id", "score", "question_overlap", "answer_overlap")
+#: Numbers in the table of bounds, passages times blocks of items, that are held at a time.
+CELLS = 1 << 22
+PAIR = ("doc_id", "tkey", "item_id", "score", "question_overlap", "answer_overlap", "item_overlap")
 
 
 @dataclass
@@ -49,7 +54,9 @@ class Index:
     block_need: np.ndarray
     question: list[np.ndarray]
     answer: list[np.ndarray]
-    longest: int
+    whole: list[np.ndarray]
+    width: np.ndarray
+    step: int
 
 
 def parts(n_words: int) -> tuple[int, int]:
@@ -59,22 +66,30 @@ def parts(n_words: int) -> tuple[int, int]:
     return question, n_words - answer
 
 
-def build_index(ids: list[int], texts: list[str], df: dict[int, int], n_items: int, mean_words: float, overlap: float) -> Index:
-    """``df`` has the number of all items (not only these) that hold a word, by the word's hash."""
+def _shingles(words: np.ndarray, width: int) -> np.ndarray:
+    return W.shingles(words, np.array([0, len(words)]), width)[0]
+
+
+def build_index(ids: list[int], texts: list[str], df: dict[int, int], n_items: int, mean_words: float, longest: int,
+                overlap: float) -> Index:
+    """``df`` has the number of all items (not only these) that hold a word, by the word's hash; ``longest`` and
+    ``mean_words`` are of all items too, so that a result does not depend on the items that share an index."""
     split = W.split(pa.array(texts, pa.string()))
     hashes = split.hashes(lower=True)
-    question, answer, rows, threshold = [], [], [], np.zeros(len(ids))
+    question, answer, whole, rows, threshold = [], [], [], [], np.zeros(len(ids))
+    width = np.minimum(split.counts(), W.SHINGLE)
     terms = np.unique(hashes)
     for i in range(len(ids)):
         own = hashes[split.first[i]:split.first[i + 1]]
         to, since = parts(len(own))
-        sets = [np.unique(W.shingles(p, np.array([0, len(p)]))[0]) for p in (own[:to], own[since:])]
-        question.append(sets[0])
-        answer.append(sets[1])
+        sets = [np.unique(_shingles(p, int(width[i]))) for p in (own[:to], own[since:], own)]
+        for part, held in zip((question, answer, whole), sets):
+            part.append(held)
         t, tf = np.unique(own, return_counts=True)
         n_df = np.array([df[int(x)] for x in t], dtype=float)
         weight = np.log(1 + (n_items - n_df + 0.5) / (n_df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(own) / max(mean_words, 1)))
-        missing = sum(int((1 - overlap) * len(s) + 1e-9) for s in sets)
+        lost = [int((1 - overlap) * len(held) + 1e-9) for held in sets]
+        missing = max(lost[0] + lost[1], lost[2])
         threshold[i] = weight.sum() - np.sort(weight)[::-1][:missing].sum() - 1e-6
         rows.append((np.searchsorted(terms, t), np.full(len(t), i), weight))
     term, item, weight = (np.concatenate([r[k] for r in rows]) if rows else np.zeros(0, int) for k in range(3))
@@ -91,8 +106,8 @@ def build_index(ids: list[int], texts: list[str], df: dict[int, int], n_items: i
     spared = np.bincount(block[common[block_term]], block_max[common[block_term]], minlength=n_blocks) if len(starts) else np.zeros(n_blocks)
     least = np.array([threshold[k * BLOCK_ITEMS:(k + 1) * BLOCK_ITEMS].min() for k in range(n_blocks)])
     return Index(np.array(ids, dtype=np.int64), terms, first, item, weight, common, threshold,
-                 np.searchsorted(block_term, np.arange(len(terms) + 1)), block, block_max, least - spared, question, answer,
-                 int(split.counts().max()) if len(ids) else 1)
+                 np.searchsorted(block_term, np.arange(len(terms) + 1)), block, block_max, least - spared, question, answer, whole,
+                 width, max(longest, W.SHINGLE))
 
 
 def _expand(first: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,9 +117,9 @@ def _expand(first: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return which, np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[terms], n)
 
 
-def search(index: Index, hashes: np.ndarray, first: np.ndarray, overlap: float) -> list[tuple[int, int, float, float, float]]:
-    """(text, item, score, question overlap, answer overlap) of all verified pairs, the best passage of each."""
-    step = max(index.longest, W.SHINGLE)
+def search(index: Index, hashes: np.ndarray, first: np.ndarray, overlap: float) -> list[tuple[int, int, float, float, float, float]]:
+    """(text, item, score, question, answer and item overlap) of all verified pairs, the best passage of each."""
+    step = index.step
     counts = np.diff(first)
     n_passages = np.maximum(1, -(-np.maximum(counts - step, 0) // step)) * (counts > 0)
     base = np.concatenate([[0], np.cumsum(n_passages)])
@@ -119,46 +134,55 @@ def search(index: Index, hashes: np.ndarray, first: np.ndarray, overlap: float)
     there = (chunk >= 1) & (chunk - 1 < n_passages[text] - 1)
     n_terms = len(index.terms)
     held = np.unique(np.concatenate([own * n_terms + place[hit], (before * n_terms + place[hit])[there]]))
-    passage, term = held // n_terms, held % n_terms
-    rare = ~index.common[term]
-    which, posting = _expand(index.block_first, term[rare])
-    n_blocks = len(index.block_need)
-    bound = np.bincount(passage[rare][which] * n_blocks + index.block[posting], index.block_max[posting], minlength=base[-1] * n_blocks)
-    open_ = bound.reshape(-1, n_blocks) >= index.block_need
-    some = open_.any(axis=1)[passage]
-    passage, term = passage[some], term[some]
-    which, posting = _expand(index.first, term)
-    item = index.item[posting]
-    keep = open_[passage[which], item // BLOCK_ITEMS]
-    key, inverse = np.unique(passage[which][keep] * len(index.items) + item[keep], return_inverse=True)
-    score = np.bincount(inverse, index.weight[posting][keep], minlength=len(key))
-    passage, item = key // len(index.items), key % len(index.items)
-    best: dict[tuple[int, int], tuple[float, float, float]] = {}
-    for k in np.flatnonzero(score >= index.threshold[item]):
-        t = int(np.searchsorted(base, passage[k], side="right") - 1)
-        lo = first[t] + (passage[k] - base[t]) * step
-        own_words = hashes[lo:min(lo + 2 * step, first[t + 1])]
-        held_here = W.shingles(own_words, np.array([0, len(own_words)]))[0]
-        asked = float(np.isin(index.question[item[k]], held_here).mean())
-        answered = float(np.isin(index.answer[item[k]], held_here).mean())
-        if asked >= overlap and answered >= overlap:
-            best[t, int(item[k])] = max(best.get((t, int(item[k])), (0.0, 0.0, 0.0)), (float(score[k]), asked, answered))
+    best: dict[tuple[int, int], tuple[float, float, float, float]] = {}
+    for passage, item, score in _candidates(index, held // n_terms, held % n_terms, int(base[-1])):
+        t = int(np.searchsorted(base, passage, side="right") - 1)
+        lo = first[t] + (passage - base[t]) * step
+        found = _shingles(hashes[lo:min(lo + 2 * step, first[t + 1])], int(index.width[item]))
+        asked, answered, whole = (float(np.isin(part[item], found).mean()) for part in (index.question, index.answer, index.whole))
+        if min(asked, answered) >= overlap - 1e-9 or whole >= overlap - 1e-9:
+            best[t, item] = max(best.get((t, item), (0.0,) * 4), (score, asked, answered, whole))
     return [(t, i, *v) for (t, i), v in sorted(best.items())]
 
 
+def _candidates(index: Index, passage: np.ndarray, term: np.ndarray, n_passages: int) -> Iterator[tuple[int, int, float]]:
+    """(passage, item, score) that reach the item's threshold; ``passage`` ascends.
+
+    Passages are taken in runs, so that the table of bounds stays within ``CELLS`` however short the items are."""
+    n_blocks, n_items = len(index.block_need), len(index.items)
+    run = max(1, CELLS // n_blocks)
+    for lo in range(0, n_passages, run):
+        a, b = np.searchsorted(passage, [lo, lo + run])
+        here, t = passage[a:b] - lo, term[a:b]
+        rare = ~index.common[t]
+        which, posting = _expand(index.block_first, t[rare])
+        bound = np.bincount(here[rare][which] * n_blocks + index.block[posting], index.block_max[posting], minlength=run * n_blocks)
+        open_ = bound.reshape(-1, n_blocks) >= index.block_need
+        some = open_.any(axis=1)[here]
+        here, t = here[some], t[some]
+        which, posting = _expand(index.first, t)
+        item = index.item[posting]
+        keep = open_[here[which], item // BLOCK_ITEMS]
+        key, inverse = np.unique(here[which][keep] * n_items + item[keep], return_inverse=True)
+        score = np.bincount(inverse, index.weight[posting][keep], minlength=len(key))
+        for k in np.flatnonzero(score >= index.threshold[key % n_items]):
+            yield int(key[k] // n_items) + lo, int(key[k] % n_items), float(score[k])
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, overlap: float = 0.8, index_words: int = 500_000) -> DataFrame:
-    """(doc_id, tkey, item_id, score, question_overlap, answer_overlap) of all contaminated pairs.
+    """(doc_id, tkey, item_id, score, question_overlap, answer_overlap, item_overlap) of all contaminated pairs.
 
     Items are taken in blocks of about ``index_words`` words, each of which is broadcast as one
     index while all documents pass by: what is broadcast stays bounded, however many items there are.
-    A passage is twice as long as the longest item of the block and begins every item length, so
-    it holds any copy whole. Items without words, null documents and empty tables give nothing; items
-    that repeat are reported each under its own id, and null ids are left out.
+    A passage is twice as long as the longest of all items and begins every item length, so
+    it holds any copy whole. Overlaps are shares of distinct 5-word shingles; an item of fewer words is
+    looked for as one sequence of words anywhere in a text. Items without words, null documents and empty tables give
+    nothing; items that repeat are reported each under its own id, and null ids are left out.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     items = benchmark.filter("item_id IS NOT NULL").select("item_id", "text", F.regexp_count("text", F.lit(WORD)).cast("bigint").alias("n")).filter("n > 0")
     items = scratch.keep(items.withColumns({"one": F.lit(0), "draw": md5_draw(F.col("item_id"), F.col("text"))}))
-    n_items, n_words = items.agg(F.count(F.lit(1)), F.sum("n")).first()
+    n_items, n_words, longest = items.agg(F.count(F.lit(1)), F.sum("n"), F.max("n")).first()
     items = scratch.keep(running_sum(scratch, items, ["one"], "draw", ["draw", "item_id", "text"], "n", "before")
                          .withColumn("part", F.floor(F.col("before") / index_words)))
 
@@ -179,7 +203,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, overlap: float = 0.8, i
         block = items.filter(F.col("part") == part).select("item_id", "text").orderBy("item_id", "text").collect()
         known = {r["word"] & (1 << 64) - 1: r["df"] for r in df.filter(F.col("part") == part).select("word", "df").collect()}
         index = spark.sparkContext.broadcast(build_index([r["item_id"] for r in block], [r["text"] for r in block], known,
-                                                         n_items, n_words / n_items, overlap))
+                                                         n_items, n_words / n_items, longest, overlap))
 
         def look_up(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -190,7 +214,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, overlap: float = 0.8, i
                         took = pa.array([at + h[0] for h in hits])
                         yield pa.RecordBatch.from_arrays(
                             [b.column("doc_id").take(took), b.column("tkey").take(took), pa.array(index.value.items[[h[1] for h in hits]]),
-                             *(pa.array([h[k] for h in hits], pa.float64()) for k in (2, 3, 4))], names=PAIR)
+                             *(pa.array([h[k] for h in hits], pa.float64()) for k in (2, 3, 4, 5))], names=PAIR)
 
         found = found.unionByName(scratch.keep(rows.mapInArrow(look_up, schema)))
     return found

@@ -154,15 +154,18 @@ dw AS (SELECT doc_id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM lower
 iw AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM benchmark),
 li AS (SELECT greatest(max(len(w)), 5) AS step FROM iw),
 ip AS (SELECT item_id, 'q' AS part, w[1:greatest(len(w) - len(w) // 4, least(10, len(w)))] AS w FROM iw WHERE len(w) > 0
-       UNION ALL SELECT item_id, 'a', w[len(w) - greatest(len(w) // 4, least(10, len(w))) + 1:] FROM iw WHERE len(w) > 0),
+       UNION ALL SELECT item_id, 'a', w[len(w) - greatest(len(w) // 4, least(10, len(w))) + 1:] FROM iw WHERE len(w) > 0
+       UNION ALL SELECT item_id, 'w', w FROM iw WHERE len(w) > 0),
 ish AS (SELECT DISTINCT item_id, part, array_to_string(w[i:i + 4], ' ') AS s FROM ip, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS u(i)),
 n AS (SELECT item_id, part, count(*) AS n FROM ish GROUP BY ALL),
-dsh AS (SELECT doc_id, len(w) AS words, i - 1 AS pos, array_to_string(w[i:i + 4], ' ') AS s FROM dw, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS u(i) WHERE len(w) > 0),
-m AS (SELECT DISTINCT doc_id, item_id, part, dsh.s, pos, words FROM dsh JOIN ish ON dsh.s = ish.s),
+widths AS (SELECT DISTINCT least(len(w), 5) AS k FROM iw WHERE len(w) > 0),
+dsh AS (SELECT doc_id, len(w) AS words, i - 1 AS pos, k, array_to_string(w[i:i + k - 1], ' ') AS s FROM dw, widths, unnest(range(1, len(w) - k + 2)) AS u(i) WHERE len(w) >= k),
+m AS (SELECT DISTINCT doc_id, item_id, part, dsh.s, pos, words, k FROM dsh JOIN ish ON dsh.s = ish.s),
 p AS (SELECT DISTINCT doc_id, item_id, part, s, least(pos // step, greatest(1, -(-greatest(words - step, 0) // step)) - 1) AS passage FROM m, li
-      UNION SELECT DISTINCT doc_id, item_id, part, s, pos // step - 1 FROM m, li WHERE pos // step >= 1 AND pos + 5 <= (pos // step + 1) * step),
+      UNION SELECT DISTINCT doc_id, item_id, part, s, pos // step - 1 FROM m, li WHERE pos // step >= 1 AND pos + k <= (pos // step + 1) * step),
 c AS (SELECT doc_id, item_id, part, passage, count(*) AS k FROM p GROUP BY ALL),
-g AS (SELECT doc_id, item_id, passage FROM c JOIN n USING (item_id, part) WHERE k >= 0.8 * n - 1e-9 GROUP BY ALL HAVING count(*) = 2),
+g AS (SELECT doc_id, item_id, passage FROM c JOIN n USING (item_id, part) WHERE k >= 0.8 * n - 1e-9 GROUP BY ALL
+      HAVING count(*) FILTER (part <> 'w') = 2 OR count(*) FILTER (part = 'w') = 1),
 r AS (SELECT doc_id, list_sort(list(DISTINCT item_id)) AS ids FROM g GROUP BY doc_id)
 SELECT d.doc_id, r.ids IS NOT NULL AS contaminated, coalesce(len(r.ids), 0)::BIGINT AS n_items, coalesce(array_to_string(r.ids, ','), '') AS item_ids
 FROM documents d LEFT JOIN r ON d.doc_id = r.doc_id
