@@ -48,10 +48,10 @@ def located(spark, sf):
     return P.sample_locations(segs(spark, sf), [1, 2, 3], min_num=5, share=0.3)
 
 
-def with_boxes(spark, sf):
+def with_boxes(spark, sf, patch=(10, 6, 6), final=(9, 4, 4)):
     """Boxes from one written table of locations, as it is read for counts and for coordinates."""
     locations = settle(located(spark, sf))
-    return S.patch_bbox(classed_slots(spark, sf, locations), cases(spark, sf), locations, (10, 6, 6), (9, 4, 4), SEED)
+    return S.patch_bbox(classed_slots(spark, sf, locations), cases(spark, sf), locations, patch, final, SEED)
 
 
 def drawn_slots(spark, sf):
@@ -87,19 +87,25 @@ def _(spark, sf):
     return classed_slots(spark, sf).withColumn("cls", F.coalesce("cls", F.lit(-5)).cast("tinyint"))
 
 
-BOXES = f"""
+def boxes_sql(patch: tuple, final: tuple) -> str:
+    n = "xyz"
+    need = ", ".join(f"greatest({p - f}, {p} - n{x}) AS d{a}" for a, (p, f, x) in enumerate(zip(patch, final, n)))
+    low = ", ".join(f"floor(-d{a} / 2.0)::INT AS l{a}" for a in range(3))
+    high = ", ".join(f"n{x} + d{a} // 2 + d{a} % 2 - {p} AS h{a}" for a, (p, x) in enumerate(zip(patch, n)))
+    corner = ", ".join(f"(CASE WHEN vi IS NOT NULL THEN greatest(l{a}, v{x} - {p // 2}) ELSE l{a} + floor({sdraw(f'lo{a}')} * (h{a} - l{a} + 1)) END)::INT AS b{a}"
+                       for a, (p, x) in enumerate(zip(patch, "ijk")))
+    return f"""
 based AS (SELECT c.*, nx, ny, nz FROM classed c JOIN cases USING (case_id)),
 nloc AS (SELECT case_id, label, count(*) AS n FROM located GROUP BY 1, 2),
 pick AS (SELECT b.batch, b.slot, l.i AS vi, l.j AS vj, l.k AS vk FROM (
    SELECT b.*, floor({sdraw('voxel')} * n)::BIGINT AS rank FROM based b JOIN nloc ON nloc.case_id = b.case_id AND nloc.label = b.cls WHERE force_fg) b
    JOIN located l ON l.case_id = b.case_id AND l.label = b.cls AND l.rank = b.rank),
-needs AS (SELECT b.*, vi, vj, vk, greatest(1, 10 - nx) AS d0, greatest(2, 6 - ny) AS d1, greatest(2, 6 - nz) AS d2 FROM based b LEFT JOIN pick USING (batch, slot)),
-lows AS (SELECT *, floor(-d0 / 2.0)::INT AS l0, floor(-d1 / 2.0)::INT AS l1, floor(-d2 / 2.0)::INT AS l2,
-   nx + d0 // 2 + d0 % 2 - 10 AS h0, ny + d1 // 2 + d1 % 2 - 6 AS h1, nz + d2 // 2 + d2 % 2 - 6 AS h2 FROM needs),
-boxes AS (SELECT batch, slot, case_id,
-   (CASE WHEN vi IS NOT NULL THEN greatest(l0, vi - 5) ELSE l0 + floor({sdraw('lo0')} * (h0 - l0 + 1)) END)::INT AS b0,
-   (CASE WHEN vi IS NOT NULL THEN greatest(l1, vj - 3) ELSE l1 + floor({sdraw('lo1')} * (h1 - l1 + 1)) END)::INT AS b1,
-   (CASE WHEN vi IS NOT NULL THEN greatest(l2, vk - 3) ELSE l2 + floor({sdraw('lo2')} * (h2 - l2 + 1)) END)::INT AS b2 FROM lows)"""
+needs AS (SELECT b.*, vi, vj, vk, {need} FROM based b LEFT JOIN pick USING (batch, slot)),
+lows AS (SELECT *, {low}, {high} FROM needs),
+boxes AS (SELECT batch, slot, case_id, {corner} FROM lows)"""
+
+
+BOXES = boxes_sql((10, 6, 6), (9, 4, 4))
 
 
 @query("patch_bbox", with_grid("""
@@ -136,6 +142,18 @@ def _(spark, sf):
     return S.extract_patches(settle(with_boxes(spark, sf)), cases(spark, sf), voxels(spark, sf), distance=field)["distance"]
 
 
+@query("extract_patches_2d", with_grid("""
+SELECT b.batch, b.slot, h.channel, y::INT AS j, z::INT AS k, coalesce(value, 0.0::DOUBLE) AS value, coalesce(label, -1)::TINYINT AS label
+FROM boxes b CROSS JOIN range(6) y(y) CROSS JOIN range(6) z(z) CROSS JOIN (SELECT unnest([0, 1]) AS channel) h
+LEFT JOIN voxels v ON v.case_id = b.case_id AND v.channel = h.channel AND v.i = b0 AND v.j = y + b1 AND v.k = z + b2
+LEFT JOIN segs s ON s.case_id = b.case_id AND s.i = b0 AND s.j = y + b1 AND s.k = z + b2""", LOCATED, DRAWN, boxes_sql((1, 6, 6), (1, 4, 4))))
+def _(spark, sf):
+    """Flat patches: one slice of a case each, through the voxel where foreground is asked for."""
+    boxes = settle(with_boxes(spark, sf, (1, 6, 6), (1, 4, 4)))
+    out = S.extract_patches(boxes, cases(spark, sf), voxels(spark, sf), segs(spark, sf), flat=True)
+    return out["image"].join(out["label"], ["batch", "slot", "j", "k"])
+
+
 # --- augmentation: every case is one patch of 8x8x8, four to a batch --------------------
 
 SIZE = (8, 8, 8)
@@ -400,6 +418,31 @@ def _(spark, sf):
     return rounded(A.augment({"image": image(spark, sf)}, slots(spark, sf), SIZE, (6, 6, 6), 2, SEED, family={}, more=own)["image"], "value")
 
 
+FLAT = """
+fpos AS (SELECT batch, slot, y::INT AS j, z::INT AS k, (cos(a0)*(y-2.5) - sin(a0)*(z-2.5))*sc + 3.5 AS py,
+   (sin(a0)*(y-2.5) + cos(a0)*(z-2.5))*sc + 3.5 AS pz FROM sp, range(6) b(y), range(6) c(z)),
+fimage AS (SELECT o.batch, o.slot, h.channel AS channel, o.j, o.k,
+     sum(coalesce(value, 0) * (1 - abs(py - floor(py) - dy)) * (1 - abs(pz - floor(pz) - dz))) AS value
+   FROM fpos o CROSS JOIN range(2) q(dy) CROSS JOIN range(2) r(dz) CROSS JOIN (SELECT unnest([0, 1]) AS channel) h
+   LEFT JOIN pim v ON v.batch = o.batch AND v.slot = o.slot AND v.channel = h.channel AND v.i = 3 AND v.j = floor(py) + dy AND v.k = floor(pz) + dz
+   GROUP BY ALL),
+flabel AS (SELECT o.batch, o.slot, o.j, o.k, greatest(coalesce(label, 0), 0)::TINYINT AS label FROM fpos o
+   LEFT JOIN plb v ON v.batch = o.batch AND v.slot = o.slot AND v.i = 3 AND v.j = round_even(py, 0) AND v.k = round_even(pz, 0))"""
+
+
+@query("augment_2d", with_grid(f"""
+SELECT batch, slot, channel, (CASE WHEN {sdraw('mirror0')} < 0.5 THEN 5 - j ELSE j END)::INT AS j,
+  (CASE WHEN {sdraw('mirror1')} < 0.5 THEN 5 - k ELSE k END)::INT AS k,
+  {q6(f"CASE WHEN {sdraw('p_brightness')} < 0.5 THEN value * (0.75::DOUBLE + {sdraw('brightness', 'channel')} * 0.5::DOUBLE) ELSE value END")} AS value, label
+FROM fimage JOIN flabel USING (batch, slot, j, k)""", PATCHES, PARAMS, FLAT))
+def _(spark, sf):
+    """Flat patches, the middle slice of each case, through the chain: turned, scaled, brightened, mirrored."""
+    family = {"spatial": {"p_rotation": 0.6, "p_scaling": 0.5, "scaling": (0.7, 1.4)}, "brightness": {"p": 0.5, "range": (0.75, 1.25)}, "mirror": {}}
+    flat = {n: S.drop_depth(t.filter("i = 3")) for n, t in (("image", image(spark, sf)), ("label", label(spark, sf)))}
+    out = A.augment(flat, slots(spark, sf), SIZE[1:], (6, 6), 2, SEED, rotation=ROT, family=family)
+    return rounded(out["image"].join(out["label"], ["batch", "slot", "j", "k"]), "value")
+
+
 @query("augment")
 def _(spark, sf):
     tables = {"image": image(spark, sf), "label": label(spark, sf)}

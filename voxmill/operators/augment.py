@@ -1,8 +1,8 @@
 """Augmentation of patch tables.
 
 ``image(batch, slot, channel, i, j, k, value)``, ``label(batch, slot, i, j, k, label)``,
-``distance(batch, slot, cls, i, j, k, dist)``; one table ``slots(batch, slot)``. All patches
-have one size, so a patch is a bounded group: windows over it are safe at any number of
+``distance(batch, slot, cls, i, j, k, dist)``; one table ``slots(batch, slot)``. Flat patches
+have no column i, and sizes then have two entries. All patches have one size, so a patch is a bounded group: windows over it are safe at any number of
 patches. Draws that hold for a whole patch are made once per slot and joined.
 """
 
@@ -10,12 +10,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
-from itertools import product as corners_of
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxmill.functions.columns import AXES, draw, draw_index, draw_normal, half_even
+from voxmill.operators.dense import axes_of, coarsener, over_patches, sampler
 from voxmill.operators.patches import PATCH, batch_draw, slot_draw
 from voxmill.operators.resample import _nearest_axis
 from voxmill.operators.voxel import mask_image, remove_outside_label
@@ -61,16 +61,18 @@ def _by_slot(table: DataFrame, slots: DataFrame, **params: Column) -> DataFrame:
 
 def mirror(table: DataFrame, slots: DataFrame, size: Sequence[int], axes: Sequence[int], seed: int) -> DataFrame:
     """Independent flips with probability one half per axis; the same for every table."""
+    own = axes_of(table)
     flags = {f"_flip{a}": slot_draw(f"mirror{a}", seed) < 0.5 for a in axes}
-    moved = {AXES[a]: F.when(F.col(f"_flip{a}"), size[a] - 1 - F.col(AXES[a])).otherwise(F.col(AXES[a])) for a in axes}
+    moved = {own[a]: F.when(F.col(f"_flip{a}"), size[a] - 1 - F.col(own[a])).otherwise(F.col(own[a])) for a in axes}
     return _by_slot(table, slots, **flags).withColumns(moved).drop(*flags)
 
 
-def center_crop(table: DataFrame, size: Sequence[int], out: Sequence[int], axes: Sequence[int] = (0, 1, 2)) -> DataFrame:
-    for a in axes:
-        start = (size[a] - out[a]) // 2
-        x = F.col(AXES[a])
-        table = table.filter((x >= start) & (x < start + out[a])).withColumn(AXES[a], x - start)
+def center_crop(table: DataFrame, size: Sequence[int], out: Sequence[int], axes: Sequence[int] | None = None) -> DataFrame:
+    for a, axis in enumerate(axes_of(table)):
+        if axes is None or a in axes:
+            start = (size[a] - out[a]) // 2
+            x = F.col(axis)
+            table = table.filter((x >= start) & (x < start + out[a])).withColumn(axis, x - start)
     return table
 
 
@@ -111,72 +113,33 @@ def rotation_matrix(slots: DataFrame, dims: int = 3) -> DataFrame:
 
 
 def warp(table: DataFrame, slots: DataFrame, size: Sequence[int], out: Sequence[int], value: str,
-         nearest: bool = False, axes: Sequence[int] = (0, 1, 2), offsets: DataFrame | None = None) -> DataFrame:
+         nearest: bool = False, axes: Sequence[int] | None = None, offsets: DataFrame | None = None) -> DataFrame:
     """Sample every patch at matrix * (output - centre) + centre, zero outside.
 
-    Linear (all corners of the source cell) or nearest. With two axes each slice of the
-    remaining axis is treated alike. ``offsets`` adds a displacement e0.. per output
-    voxel. Corners beyond the edge have weight zero, and each output keeps at least one
-    corner, so none goes missing.
+    Linear (all corners of the source cell) or nearest. ``axes`` are places among the axes of the table, all of them by
+    default; each slice of the others is treated alike. ``offsets`` adds a displacement e0.. per output
+    voxel. Patches are gathered once, as arrays, and sampled in place.
     """
-    names = [AXES[a] for a in axes]
+    axes = range(len(axes_of(table))) if axes is None else axes
     n = len(axes)
-    cells = slots.select(*PATCH, *[f"m{r}{t}" for r in range(n) for t in range(n)])
-    for a, x in zip(axes, names):
-        cells = cells.withColumn(x, F.explode(F.sequence(F.lit(0), F.lit(out[a] - 1))))
-    layer_keys = []
-    if offsets is not None:
-        layer_keys = [x for x in AXES if x in offsets.columns and x not in names]
-        cells = cells.join(offsets, [*PATCH, *names])
-    source = []
-    for r, a in enumerate(axes):
-        moved = sum((F.col(f"m{r}{t}") * (F.col(names[t]) - (out[b] - 1) / 2) for t, b in enumerate(axes)), F.lit(0.0))
-        if offsets is not None:
-            moved = moved + F.col(f"e{r}")
-        source.append(moved + (size[a] - 1) / 2 if size[a] > 1 else F.lit(0.0))
-    cells = cells.select(*PATCH, *layer_keys, *[F.col(x).alias(f"_o{r}") for r, x in enumerate(names)],
-                         *[p.alias(f"_p{r}") for r, p in enumerate(source)])
-
-    def tap(r: int, a: int, high: int):
-        base = F.rint(F.col(f"_p{r}")) if nearest else F.floor(F.col(f"_p{r}")) + high
-        part = F.col(f"_p{r}") - F.floor(F.col(f"_p{r}"))
-        w = F.lit(1.0) if nearest else (part if high else 1 - part)
-        inside = (base >= 0) & (base <= size[a] - 1)
-        return F.least(F.greatest(base, F.lit(0)), F.lit(size[a] - 1)).cast("int"), F.when(inside, w).otherwise(0.0)
-
-    options = []
-    for pick in corners_of(*[(0,) if nearest else (0, 1)] * n):
-        taps = [tap(r, a, h) for r, (a, h) in enumerate(zip(axes, pick))]
-        weight = F.lit(1.0)
-        for _, w in taps:
-            weight = weight * w
-        options.append(F.struct(*[t.alias(x) for (t, _), x in zip(taps, names)], weight.alias("_w"),
-                                F.lit(sum(pick) == 0).alias("_first")))
-    asked = cells.select(*PATCH, *layer_keys, *[f"_o{r}" for r in range(n)], F.inline(F.array(*options))) \
-        .filter("_first OR _w > 0")
-    joined = table.join(asked, [*PATCH, *layer_keys, *names])
-    rest = [c for c in table.columns if c not in (value, *names)]
-    if nearest:
-        kind = table.schema[value].dataType
-        result = joined.select(*rest, *[F.col(f"_o{r}").alias(x) for r, x in enumerate(names)],
-                               F.when(F.col("_w") > 0, F.col(value)).otherwise(0).cast(kind).alias(value))
-    else:
-        result = joined.groupBy(*rest, *[f"_o{r}" for r in range(n)]).agg(F.sum(F.col("_w") * F.col(value)).alias(value)) \
-            .withColumnsRenamed({f"_o{r}": x for r, x in enumerate(names)})
-    return result.select(*table.columns)
+    target = [out[a] if a in axes else x for a, x in enumerate(size)]
+    params = slots.select(*PATCH, F.array(*[f"m{r}{t}" for r in range(n) for t in range(n)]).alias("p"))
+    return over_patches(table, params, size, target, value, sampler(size, target, tuple(axes), nearest), offsets,
+                        [f"e{r}" for r in range(n)] if offsets is not None else ())
 
 
 def elastic_offsets(slots: DataFrame, out: Sequence[int], seed: int, p_elastic: float, scale: Sequence[float],
-                    magnitude: Sequence[float], axes: Sequence[int] = (0, 1, 2), depth: int | None = None) -> DataFrame:
+                    magnitude: Sequence[float], axes: Sequence[int] = (0, 1, 2), depth: int | None = None,
+                    own: Sequence[str] = AXES) -> DataFrame:
     """Smoothed random displacement e0.. per output voxel, in voxels; zero where not drawn.
 
-    In slice-wise mode (``depth``) every slice is drawn on its own."""
-    names = [AXES[a] for a in axes]
+    In slice-wise mode (``depth``) every slice is drawn on its own. ``own`` are the axes of the patches."""
+    names = [own[a] for a in axes]
     longest = max(out[a] for a in axes)
     noise = slots.select(*PATCH)
     extra = []
     if depth is not None:
-        other = [x for x in AXES if x not in names][0]
+        other = [x for x in own if x not in names][0]
         noise, extra = noise.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(depth - 1)))), [other]
     noise = noise.withColumns({
         "_on": slot_draw("p_elastic", seed, *[F.col(x) for x in extra]) < p_elastic,
@@ -201,7 +164,7 @@ def elastic_offsets(slots: DataFrame, out: Sequence[int], seed: int, p_elastic:
 
 def gaussian_noise(image: DataFrame, slots: DataFrame, seed: int, p: float, variance: Sequence[float]) -> DataFrame:
     params = {"_on": slot_draw("p_noise", seed) < p, "_std": F.sqrt(_between(slot_draw("variance", seed), variance))}
-    normal = draw_normal(F.lit(seed), F.col("batch"), F.col("slot"), F.lit("noise"), F.col("channel"), *[F.col(a) for a in AXES])
+    normal = draw_normal(F.lit(seed), F.col("batch"), F.col("slot"), F.lit("noise"), F.col("channel"), *[F.col(a) for a in axes_of(image)])
     return _by_slot(image, slots, **params).withColumn(
         "value", F.when(F.col("_on"), F.col("value") + F.col("_std") * normal).otherwise(F.col("value"))).drop(*params)
 
@@ -231,8 +194,8 @@ def _blur_pass(df: DataFrame, axis: str, n: int) -> DataFrame:
 def blur(image: DataFrame, sigma: Column, size: Sequence[int]) -> DataFrame:
     """Gaussian blur of every patch with the sigma of its row."""
     out = _kernel(image.withColumn("_sigma", sigma)).drop("_sigma")
-    for a, axis in enumerate(AXES):
-        if size[a] > 1 or a > 0:
+    for a, axis in enumerate(axes_of(image)):
+        if size[a] > 1 or axis != "i":
             out = _blur_pass(out, axis, size[a])
     return out.select(*image.columns)
 
@@ -270,39 +233,16 @@ def contrast(image: DataFrame, slots: DataFrame, n_channels: int, seed: int, p:
         .select(*image.columns)
 
 
-def _coarse_pass(df: DataFrame, axis: str, n: int) -> DataFrame:
-    """Nearest to ``_m`` samples and linearly back to ``n`` along one axis."""
-    keys = [c for c in df.columns if c not in (axis, "value") and not c.startswith("_")]
-    s, m = F.col(axis), F.col(f"_m{axis}")
-    d = F.ceil(s * m / F.lit(n)).cast("int")
-    # d is the coarse sample taken from s, if any
-    taken = df.repartition(*keys).withColumn("_d", d).filter((F.col("_d") < m) & (F.floor(F.col("_d") * n / m) == s))
-    first = F.greatest(F.lit(0), F.floor((F.col("_d") - 0.5) * n / m - 0.5).cast("int") - 1)
-    last = F.least(F.lit(n - 1), F.ceil((F.col("_d") + 1.5) * n / m - 0.5).cast("int") + 1)
-    sent = taken.withColumn("_o", F.explode(F.sequence(F.least(first, last), last)))
-    x = F.greatest(F.lit(0.0), (F.col("_o") + 0.5) * m / n - 0.5)
-    low = F.least(F.floor(x), m - 1)
-    part = x - F.floor(x)
-    weight = F.when(low == F.col("_d"), 1 - part).otherwise(0.0) \
-        + F.when(F.least(low + 1, m - 1) == F.col("_d"), part).otherwise(0.0)
-    carried = [c for c in df.columns if c.startswith("_")]
-    return (sent.withColumn("_w", weight).filter("_w != 0").groupBy(*keys, "_o")
-            .agg(F.sum(F.col("_w") * F.col("value")).alias("value"), *[F.first(c).alias(c) for c in carried])
-            .withColumnRenamed("_o", axis))
-
-
 def low_resolution(image: DataFrame, slots: DataFrame, size: Sequence[int], n_channels: int, seed: int, p: float,
                    scale: Sequence[float], dummy_2d: bool = False) -> DataFrame:
-    """Selected patches and half of their channels lose detail; the depth is kept in slice-wise mode."""
+    """Selected patches and half of their channels lose detail, each as one array; the depth is kept in slice-wise mode."""
     params = {"_on": slot_draw("p_low", seed) < p, "_c": _channel_draws("low_channel", seed, n_channels),
               "_sc": _between(batch_draw("low_scale", seed), scale)}
     joined = _by_slot(image, slots, **params)
     chosen = F.col("_on") & (F.get("_c", F.col("channel")) < 0.5) & (F.col("_sc") < 1.0)
-    axes = (1, 2) if dummy_2d else (0, 1, 2)
-    coarse = {f"_m{AXES[a]}": F.greatest(F.lit(1), half_even(size[a] * F.col("_sc"))) for a in axes}
-    done = joined.filter(chosen).withColumns(coarse).drop(*params)
-    for a in axes:
-        done = _coarse_pass(done, AXES[a], size[a])
+    axes = (1, 2) if dummy_2d else range(len(axes_of(image)))
+    drawn = slots.select(*PATCH, F.array(params["_sc"]).alias("p"))
+    done = over_patches(joined.filter(chosen).select(*image.columns), drawn, size, size, "value", coarsener(size, tuple(axes)))
     return joined.filter(~chosen).select(*image.columns).unionByName(done.select(*image.columns))
 
 
@@ -331,9 +271,9 @@ def downsample_labels(label: DataFrame, size: Sequence[int], scales: Sequence[Se
     levels = F.array(*[F.struct(F.lit(n).alias("level"), *[F.lit(float(s)).alias(f"_f{a}") for a, s in enumerate(scale)])
                        for n, scale in enumerate(scales)])
     out = label.select("*", F.inline(levels)).withColumns(
-        {f"_old{a}": F.lit(size[a]) for a in range(3)}
-        | {f"_new{a}": half_even(size[a] * F.col(f"_f{a}")) for a in range(3)})
-    for a, axis in enumerate(AXES):
+        {f"_old{a}": F.lit(x) for a, x in enumerate(size)}
+        | {f"_new{a}": half_even(x * F.col(f"_f{a}")) for a, x in enumerate(size)})
+    for a, axis in enumerate(axes_of(label)):
         out = _nearest_axis(out, axis, a)
     return out.select("level", *label.columns)
 
@@ -368,7 +308,7 @@ def cutmix_paste(table: DataFrame, pairs: DataFrame) -> DataFrame:
     """Replace the box of each chosen slot by its partner's, as both were before mixing."""
     def in_box() -> Column:
         test = F.lit(True)
-        for a, axis in enumerate(AXES):
+        for a, axis in enumerate(axes_of(table)):
             test = test & (F.col(axis) >= F.col("_lo")[a]) & (F.col(axis) < F.col("_hi")[a])
         return test
 
@@ -394,14 +334,15 @@ VALUE_OF = {"image": "value", "label": "label", "distance": "dist"}
 def spatial(tables: dict[str, DataFrame], slots: DataFrame, size: Sequence[int], out: Sequence[int], seed: int,
             rotation: float, settings: dict, dummy_2d: bool = False) -> dict[str, DataFrame]:
     """Warp, or a plain centre crop for batches in which nothing is turned, scaled or bent."""
-    axes = (1, 2) if dummy_2d else (0, 1, 2)
+    own = axes_of(tables["image"])
+    axes = (1, 2) if dummy_2d else tuple(range(len(own)))
     params = spatial_params(slots, seed, rotation, settings["p_rotation"], settings["p_scaling"], settings["scaling"], len(axes))
     params = params.withColumn("_still", F.min("identity").over(Window.partitionBy("batch")))
     bent = settings.get("p_elastic", 0.0) > 0
     offsets = None
     if bent:
         offsets = elastic_offsets(slots, out, seed, settings["p_elastic"], settings["elastic_scale"],
-                                  settings["elastic_magnitude"], axes, out[0] if dummy_2d else None)
+                                  settings["elastic_magnitude"], axes, out[0] if dummy_2d else None, own)
     result = {}
     params = settle(params)
     for name, table in tables.items():
@@ -416,17 +357,18 @@ def spatial(tables: dict[str, DataFrame], slots: DataFrame, size: Sequence[int],
 
 def augment(tables: dict[str, DataFrame], slots: DataFrame, size: Sequence[int], out: Sequence[int], n_channels: int,
             seed: int, rotation: float = 30 / 180 * math.pi, family: str | dict = "default", dummy_2d: bool = False,
-            mirror_axes: Sequence[int] = (0, 1, 2), mask_channels: Sequence[int] = (),
+            mirror_axes: Sequence[int] | None = None, mask_channels: Sequence[int] = (),
             more: Sequence[Callable[[DataFrame], DataFrame]] = (), batch_size: int = 2) -> dict[str, DataFrame]:
     """Spatial, noise, blur, brightness, contrast, low resolution, gamma (inverted, then
     normal), mirror, mask, label clean-up, CutMix within batches of ``batch_size`` - in this order.
-    ``more`` are further functions of the image table, applied after gamma."""
+    ``more`` are further functions of the image table, applied after gamma. Patches without a column i are
+    flat: sizes and mirror axes then count j and k, and all axes are mirrored by default."""
     cfg = FAMILIES[family] if isinstance(family, str) else family
-    tables = dict(tables)
+    tables, own = dict(tables), axes_of(tables["image"])
     if "spatial" in cfg:
         tables = spatial(tables, slots, size, out, seed, rotation, cfg["spatial"], dummy_2d)
     else:
-        tables = {n: center_crop(t, size, out, (1, 2) if dummy_2d else (0, 1, 2)) for n, t in tables.items()}
+        tables = {n: center_crop(t, size, out, (1, 2) if dummy_2d else None) for n, t in tables.items()}
     image = tables["image"]
     if "noise" in cfg:
         image = gaussian_noise(image, slots, seed, cfg["noise"]["p"], cfg["noise"]["variance"])
@@ -447,10 +389,11 @@ def augment(tables: dict[str, DataFrame], slots: DataFrame, size: Sequence[int],
         image = image.transform(fn)
     tables["image"] = image
     if "mirror" in cfg:
-        tables = {n: mirror(t, slots, out, mirror_axes, seed) for n, t in tables.items()}
+        flipped = range(len(own)) if mirror_axes is None else mirror_axes
+        tables = {n: mirror(t, slots, out, flipped, seed) for n, t in tables.items()}
     if "label" in tables:
         if mask_channels:
-            tables["image"] = mask_image(tables["image"], tables["label"], list(mask_channels), (*PATCH, *AXES))
+            tables["image"] = mask_image(tables["image"], tables["label"], list(mask_channels), (*PATCH, *own))
         tables["label"] = remove_outside_label(tables["label"])
     if "cutmix" in cfg:
         # images are read twice, as they were before mixing

@@ -97,16 +97,16 @@ def patch_bbox(slots: DataFrame, cases: DataFrame, locations: DataFrame, patch:
 
 
 def extract_patches(boxes: DataFrame, cases: DataFrame, voxels: DataFrame, segs: DataFrame | None = None,
-                    distance: DataFrame | None = None) -> dict[str, DataFrame]:
+                    distance: DataFrame | None = None, flat: bool = False) -> dict[str, DataFrame]:
     """Image (padded with 0), label (-1) and distance (0) voxels of each box.
 
-    For 2-D patches the boxes are one voxel deep; see :func:`drop_depth`."""
+    With ``flat`` the boxes are one voxel deep and the patches two-dimensional: they have no column i."""
     out = {"image": crop_and_pad(voxels, boxes, cases, "value", 0.0, extra=("channel",)).drop("case_id")}
     if segs is not None:
         out["label"] = crop_and_pad(segs, boxes, cases, "label", -1).drop("case_id")
     if distance is not None:
         out["distance"] = crop_and_pad(distance, boxes, cases, "dist", 0.0, extra=("cls",)).drop("case_id")
-    return out
+    return {n: drop_depth(t) for n, t in out.items()} if flat else out
 
 
 def drop_depth(patches: DataFrame) -> DataFrame:
