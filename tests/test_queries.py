@@ -15,7 +15,7 @@ SLOW = {"lowres_spacing", "configurations", "size_variants", "augmentation_geome
         "fill_holes", "preprocess_labels", "preprocess_geometry", "properties_round_trip", "revert_labels",
         "incremental_statistics", "merge_statistics", "merge_label_statistics", "dataset_fingerprint", "normalize",
         "denormalize", "normalization_params", "attach_channel_stats", "normalize_zscore_masked", "choose_class",
-        "patch_bbox", "foreground_intensity_stats_unlabelled", "ensemble_average", "resample_auto", "interpolation_join"}
+        "patch_bbox", "experiment_plan", "preprocess_planned", "foreground_intensity_stats_unlabelled", "ensemble_average", "resample_auto", "interpolation_join"}
 CHOSEN = [n for n in ORACLES if os.environ.get("TEST_ALL") or n not in SLOW]
 
 

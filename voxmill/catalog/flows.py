@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from voxmill.catalog.base import flat, q6, query, rounded
+from voxmill.catalog.base import flat, q6, query, r6, rounded
 from voxmill.catalog.fingerprint import FG, INBOX, SQL_STATS, STATS
 from voxmill.catalog.inputs import cases, one_channel, segs, table, voxels, with_grid
 from voxmill.catalog.manifest import FOLDS, customer_splits
+from voxmill.catalog.plan import CONFIGS, PLANNED, TARGET
 from voxmill.operators import fingerprint as P
+from voxmill.plans import document as D
 from voxmill.plans.preprocess import Configuration, crop_stage, label_stage, preprocess, revert, revert_labels
 from voxmill.session import scratch_path, settle
 from voxmill.sources import files as S
@@ -164,3 +166,53 @@ def _(spark, sf):
 def _(spark, sf):
     done = prepared(spark, sf)
     return rounded(revert(done["image"], done["properties"]), "value")
+
+
+# --- the plan document: written, read back, and preprocessing that takes its configuration from it --------
+
+def written_plan(spark, sf):
+    grid, labels, every = voxels(spark, sf), segs(spark, sf), cases(spark, sf)
+    names = F.create_map(F.lit("0"), F.lit("CT"), F.lit("1"), F.lit("T1"))
+    classes = F.create_map(*[F.lit(x) for n, name in enumerate(("background", "one", "two", "three")) for x in (name, str(n))])
+    meta = every.select("dataset_id").distinct().select(
+        "dataset_id", F.concat(F.lit("set_"), F.col("dataset_id")).alias("dataset_name"), names.alias("channel_names"), classes.alias("labels"))
+    plan = D.experiment_plan(meta, settle(P.dataset_fingerprint(grid, labels, every)), settle(P.cropped_geometry(grid, labels, every)),
+                             divisor=8, ref_3d=96, ref_2d=1024, size_variants=True, variants=(("_s", 48, 512), ("_l", 176, 2880)))
+    path = scratch_path(spark, "plan")
+    D.write_plan(plan, path)
+    return D.read_plan(spark, path)
+
+
+def recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("experiment_plan", recursive(with_grid(f"""
+SELECT dataset_id::VARCHAR AS dataset_id, 'set_' || dataset_id AS dataset_name, 'plans' AS plans_name, 'CT,T1' AS channels, 4 AS n_labels,
+  num_cases, b || tag AS config, 'plans_' || b AS data_identifier, array_to_string(fw, ',') AS transpose_forward,
+  array_to_string(p, ',') AS patch_size, array_to_string(m, ',') AS median_image_size, 'CTNormalization,ZScoreNormalization' AS schemes,
+  mean, upper, background
+FROM patched JOIN (SELECT dataset_id, fw FROM tf) USING (dataset_id) JOIN (SELECT dataset_id, count(*) AS num_cases FROM fcases GROUP BY 1) USING (dataset_id)
+JOIN (SELECT dataset_id, {q6('avg(value)')} AS mean, {q6('quantile_cont(value, 0.995)')} AS upper FROM fg WHERE channel = 1 GROUP BY 1) USING (dataset_id)
+JOIN (SELECT dataset_id, {q6("count(*) FILTER (WHERE label = 0) / count(*)::DOUBLE")} AS background FROM inbox GROUP BY 1) USING (dataset_id)""",
+                                             FG, INBOX, TARGET + PLANNED + CONFIGS)))
+def _(spark, sf):
+    long = written_plan(spark, sf).select("*", F.explode("configurations").alias("config", "c"))
+    stats = F.element_at("foreground_intensity_per_channel", F.lit("1"))
+    return flat(long.select(
+        "dataset_id", "dataset_name", "plans_name", F.array_sort(F.map_values("channel_names")).alias("channels"),
+        F.size("labels").alias("n_labels"), "num_cases", "config", "c.data_identifier", "transpose_forward", "c.patch_size",
+        "c.median_image_size", F.col("c.normalization_schemes").alias("schemes"), r6(stats["mean"]).alias("mean"),
+        r6(stats["percentile_99_5"]).alias("upper"), r6(F.element_at("label_class_ratios", F.lit("0"))).alias("background")),
+        "channels", "transpose_forward", "patch_size", "median_image_size", "schemes")
+
+
+@query("preprocess_planned", recursive(with_grid("""
+SELECT case_id, array_to_string([c[fw[x]+1] FOR x IN [1,2,3]], ',') AS shape_after_crop,
+  array_to_string([round_even(c[fw[x]+1] * s[fw[x]+1] / st[x], 0)::INT FOR x IN [1,2,3]], ',') AS resampled_shape,
+  '3d_fullres' AS configuration
+FROM (SELECT b.case_id, dataset_id, [hi0-lo0, hi1-lo1, hi2-lo2] AS c, [sx, sy, sz] AS s FROM bbox b JOIN cases USING (case_id))
+JOIN (SELECT dataset_id, fw, st FROM pl) USING (dataset_id)""", TARGET + PLANNED)))
+def _(spark, sf):
+    done = D.preprocess_planned(written_plan(spark, sf), "3d_fullres", voxels(spark, sf), segs(spark, sf), cases(spark, sf), holes=False)
+    return flat(done["properties"].select("case_id", "shape_after_crop", "resampled_shape", "configuration"), "shape_after_crop", "resampled_shape")
