@@ -113,30 +113,46 @@ def pad_to_multiple(shape: Column, divisor: Column) -> Column:
 
 
 def lowres_plan(median: Column, spacing: Column, patch: Column) -> Column:
-    """struct(spacing, median, done): spacing grows by 3 % until the patch covers a quarter
-    of the volume. ``done`` is null when the patch covers that much from the start."""
-    patch_volume = product(patch)
+    """struct(spacing, median): spacing grows by 3 % until the patch covers a quarter of the volume.
+    Null when the patch covers that much from the start.
 
-    def shape_at(s: Column) -> Column:
-        return new_shape(median, spacing, s)
+    After k steps an axis of m voxels has between m/1.03^k - 1/2 and m/1.03^k + 1/2, so the step that ends the
+    search lies between two numbers in closed form; only the steps between them, a few unless an axis is
+    very short, are tried one by one.
+    """
+    n, patch_volume, volume = F.size(spacing), product(patch), product(median)
+    share = F.pow(4.0 * patch_volume / volume, 1.0 / n)
+    half = 0.5 / F.array_min(median)
+
+    def steps_to(scale: Column) -> Column:
+        return -F.log(scale) / math.log(SPACING_STEP)
+
+    # rounding at most doubles an axis (or makes it 0, which ends the search), so this many always do
+    most = F.ceil(F.log(F.pow(F.lit(2.0), n) * volume / (4.0 * patch_volume)) / (n * math.log(SPACING_STEP))) + 3
+    # the margin is far above what repeated multiplication rounds away
+    since = F.greatest(F.lit(0), F.ceil(steps_to(share + half) - 1e-6))
+    until = F.least(most, F.when(share > half, F.ceil(steps_to(share - half) + 1e-6)))
+    none, tries = F.lit(0), (F.greatest(until - since, F.lit(0)) + 1).cast("int")
+    begin = F.transform(spacing, lambda s: F.aggregate(F.array_repeat(none, since.cast("int")), s, lambda x, _: x * SPACING_STEP))
 
     def step(state: Column, _) -> Column:
-        shape = shape_at(state["spacing"])
-        volume = product(shape)
-        reached = (volume <= 0) | (patch_volume / volume >= LOWRES_THRESHOLD)
+        shape = F.zip_with(state["length"], state["spacing"], lambda size, s: F.rint(size / s))
         wider = F.transform(state["spacing"], lambda s: s * SPACING_STEP)
-        return F.when(state["done"], state).otherwise(F.struct(
-            F.when(reached, state["spacing"]).otherwise(wider).alias("spacing"),
-            shape.alias("median"), reached.alias("done")))
+        # an empty volume ends the search too
+        return F.when(state["done"], state) \
+            .when(product(shape) * LOWRES_THRESHOLD <= state["enough"], _state(state["length"], state["spacing"], state["enough"], True)) \
+            .otherwise(_state(state["length"], wider, state["enough"], False))
 
-    start = F.struct(spacing.alias("spacing"), F.transform(median, lambda m: m.cast("int")).alias("median"),
-                     F.lit(False).alias("done"))
-    # rounding at most doubles an axis (or makes it 0, which ends the search), so this many always do
-    n = F.size(spacing)
-    most = F.ceil(F.log(F.pow(F.lit(2.0), n) * product(median) / (4.0 * patch_volume)) / (n * math.log(SPACING_STEP))) + 3
-    steps = F.greatest(F.lit(1), most).cast("int")
-    needed = (product(median) > 0) & (patch_volume / product(median) < LOWRES_THRESHOLD)
-    return F.when(needed, F.aggregate(F.sequence(F.lit(1), steps), start, step))
+    length = F.zip_with(median, spacing, lambda m, s: m.cast("double") * s)
+    found = F.aggregate(F.array_repeat(none, tries), _state(length, begin, patch_volume, False), step, lambda state: F.struct(
+        state["spacing"].alias("spacing"),
+        F.zip_with(state["length"], state["spacing"], lambda size, s: half_even(size / s)).alias("median")))
+    needed = (volume > 0) & (patch_volume / volume < LOWRES_THRESHOLD)
+    return F.when(needed, found)
+
+
+def _state(length: Column, spacing: Column, enough: Column, done: bool) -> Column:
+    return F.struct(length.alias("length"), spacing.alias("spacing"), enough.alias("enough"), F.lit(done).alias("done"))
 
 
 def pinned(df: DataFrame, **columns: Column) -> DataFrame:
@@ -147,8 +163,8 @@ def pinned(df: DataFrame, **columns: Column) -> DataFrame:
 
 def lowres_spacing(df: DataFrame) -> DataFrame:
     """Rows (median, spacing, patch) that need a coarser grid, with ``low_spacing``, ``low_median``."""
-    low = lowres_plan(F.col("median"), F.col("spacing"), F.col("patch"))
-    return pinned(df, _low=low).filter("_low is not null").select(
+    ready = pinned(df, _m=F.col("median"), _s=F.col("spacing"), _p=F.col("patch"))
+    return pinned(ready, _low=lowres_plan(F.col("_m"), F.col("_s"), F.col("_p"))).filter("_low is not null").select(
         *df.columns, F.col("_low.spacing").alias("low_spacing"), F.col("_low.median").alias("low_median"))
 
 
@@ -178,8 +194,9 @@ def configurations(plan: DataFrame, divisor: int = 1, batch_size: int = 2, strat
     base = base.withColumn("iso", F.transform("sp", lambda _: edge))
     base = base.withColumn("iso_med", new_shape(F.col("med"), F.col("sp"), F.col("iso")))
     three, two = F.lit(ref_3d), F.lit(ref_2d)
-    base = base.withColumn("full_patch", patch(F.col("sp"), F.col("med"), three, two)) \
-        .withColumn("iso_patch", patch(F.col("iso"), F.col("iso_med"), three, two))
+    base = pinned(base.select("dataset_id", "transpose_forward", "transpose_backward", "sp", "med", F.col("iso").alias("_iso"),
+                              F.col("iso_med").alias("_iso_med")), iso=F.col("_iso"), iso_med=F.col("_iso_med"))
+    base = pinned(base, full_patch=patch(F.col("sp"), F.col("med"), three, two), iso_patch=patch(F.col("iso"), F.col("iso_med"), three, two))
     base = pinned(base, low=lowres_plan(F.col("med"), F.col("sp"), F.col("full_patch")),
                   iso_low=lowres_plan(F.col("iso_med"), F.col("iso"), F.col("iso_patch")))
 
