@@ -67,6 +67,31 @@ def test_small_tables_are_joined_without_salts(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
 
 
+def test_repeated_rows_stay_off_the_driver(spark, monkeypatch):
+    big = S.settle(spark.range(70000).select((F.col("id") % 7).alias("case_id"), F.col("id").alias("i"), F.rand(1).alias("value")))
+    small = big.groupBy("case_id").agg(F.count(F.lit(1)).alias("n"))
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "4k")
+    try:
+        for most, broadcast in ((S.BROADCAST_ROWS, True), (3, False)):
+            monkeypatch.setattr(S, "BROADCAST_ROWS", most)
+            out = S.attach(big, small, ["case_id"]).agg(F.sum("n"), F.count(F.lit(1)))
+            assert tuple(out.first()) == (70000 * 10000, 70000)
+            out.collect()
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert ("BroadcastExchange" in plan, "_salt" in plan) == (broadcast, not broadcast)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_joins_do_not_multiply_the_salts(spark):
+    table = S.settle(spark.range(100000).select((F.col("id") % 7).alias("case_id"), F.col("id").alias("i")))
+    once, wide = S.read_bytes(table), table
+    for n in range(4):
+        wide = wide.join(table.withColumnRenamed("i", f"i{n}"), "case_id")
+    assert 0 < S.read_bytes(wide) <= 5 * once < S.SALT_BYTES < S.estimated_bytes(wide), (once, S.read_bytes(wide), S.estimated_bytes(wide))
+
+
 def test_settled_tables_go_with_their_block(spark, tmp_path):
     import glob
     import voxmill.session as session

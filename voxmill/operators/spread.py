@@ -21,6 +21,8 @@ MOST_SALTS = 1024
 #: Bytes of the large side, by Spark's estimate, for each salt.
 SALT_BYTES = 4 << 30
 UNKNOWN_BYTES = 1 << 60
+#: Rows of a per-group table that are broadcast, some 100 bytes each; larger ones are shuffled.
+BROADCAST_ROWS = 250_000
 CHUNK = 4096
 
 
@@ -29,24 +31,36 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def read_bytes(df: DataFrame) -> int:
+    """Bytes of the tables a plan reads. Spark's estimate of a join is the product of its sides, which says nothing of its rows."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(n).stats().sizeInBytes())) for n in range(leaves.size()))
+
+
 def attach(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner",
            salts: int | None = None) -> DataFrame:
     """Join a per-group table to the rows of the groups.
 
     A per-group table below the broadcast threshold is joined as it is, which Spark does by
-    broadcast. Otherwise the rows of a hot group are dealt over salts by a hash of
-    the row's place (so a retried task deals them alike) and the per-group table is repeated
-    once per salt; as the estimate ignores that, this is done only where it cannot lead to a
-    broadcast of the repeated rows. Adaptive execution measures and splits what is
-    still too large. The number of salts follows the size of the large side, unless given or
-    set as ``voxmill.salts`` in the session.
+    broadcast. Otherwise it is written and counted, as its estimate comes from the voxels it was
+    made from; up to BROADCAST_ROWS rows are broadcast, once each and never repeated. Beyond that
+    the rows of a hot group are dealt over salts by a hash of the row's place (so a retried task
+    deals them alike) and the per-group table is repeated once per salt. Estimates ignore that it is
+    repeated, so that join is held to a merge join: no repeated row comes to the driver. Adaptive
+    execution measures and splits what is still too large. The number of salts follows the size of
+    the tables read for the large side, unless given or set as ``voxmill.salts`` in the session.
+    Without a broadcast threshold (-1) nothing is broadcast.
     """
     spark = big.sparkSession
     threshold = int(spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
     if estimated_bytes(small) <= threshold:
         return big.join(small, list(on), how)
+    if threshold >= 0:
+        small = settle(small)
+        if small.count() <= BROADCAST_ROWS:
+            return big.join(F.broadcast(small), list(on), how)
     if salts is None:
-        size = estimated_bytes(big)
+        size = read_bytes(big)
         # rows that are not from files have no size
         by_size = SALTS if size >= UNKNOWN_BYTES else min(MOST_SALTS, max(SALTS, -(-size // SALT_BYTES)))
         salts = int(spark.conf.get("voxmill.salts", str(by_size)))
@@ -56,7 +70,7 @@ def attach(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inne
     dealt = big.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in rest]), F.lit(salts)))
     repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"),
                                                               F.lit(salts - 1).cast("bigint"))))
-    return dealt.join(repeated, [*on, "_salt"], how).drop("_salt")
+    return dealt.join(repeated.hint("merge"), [*on, "_salt"], how).drop("_salt")
 
 
 def numbered(df: DataFrame, count: str, out: str) -> DataFrame:
