@@ -65,8 +65,8 @@ def connected_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     its neighbours, the node it was labelled with takes the smallest that any of its
     followers found, and then all labels are replaced by the label of the node they name.
     The last step doubles the distance covered, so the rounds grow with the logarithm of
-    the longest path; labels only fall, so they settle. Each round is written to the shared folder; a component may be most
-    of a case, so labels are looked up by a salted join.
+    the longest path; labels only fall, so they settle. Each round is written to the shared folder. There are as many
+    names as nodes, so names are not repeated for salts; adaptive execution splits a component that is most of a case.
     """
     labels = settle(nodes.select("case_id", "run", F.col("run").alias("comp")))
     while True:
@@ -77,7 +77,7 @@ def connected_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         hooked = settle(lower.join(found, ["case_id", "run"], "left").select(
             "case_id", "run", "comp", F.least("_low", F.coalesce("_found", "_low")).alias("_low")))
         named = hooked.select("case_id", F.col("run").alias("_low"), F.col("_low").alias("_next"))
-        jumped = settle(attach(hooked, named, ["case_id", "_low"]).select("case_id", "run", "comp", "_next"))
+        jumped = settle(hooked.join(named, ["case_id", "_low"]).select("case_id", "run", "comp", "_next"))
         labels = jumped.select("case_id", "run", F.col("_next").alias("comp"))
         if jumped.filter("_next <> comp").isEmpty():
             return labels
