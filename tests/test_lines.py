@@ -3,6 +3,7 @@
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,3 +118,19 @@ def test_two_exchanges_give_signed_distances(spark):
     plan = M.signed_distance(segs, [1], cases)._jdf.queryExecution().executedPlan().toString()
     # three for the edges (two are one and the same), one for both passes within slabs, one for the last pass with its queries
     assert plan.count("REPARTITION_BY_COL") == 5 and "SortMergeJoin" not in plan and "explode(sequence" not in plan
+
+
+def test_long_lines_of_few_rows_are_worked_on_in_bounded_pieces():
+    rng = np.random.default_rng(4)
+    counts, becomes = rng.integers(1, 4, size=3000), rng.integers(1, 400, size=3000)
+    becomes[7] = 3 * L.ROWS_AT_ONCE
+    first = np.concatenate([[0], np.cumsum(counts)])
+    table = pa.table({"at": np.arange(first[-1])})
+    seen, line = [], 0
+    for part, own in L.pieces(table, first, becomes):
+        assert own[0] == 0 and own[-1] == part.num_rows and (np.diff(own) == counts[line:line + len(own) - 1]).all()
+        rows = becomes[line:line + len(own) - 1]
+        assert len(rows) == 1 or rows[1:].sum() <= L.ROWS_AT_ONCE
+        seen += part.column("at").to_pylist()
+        line += len(rows)
+    assert line == 3000 and seen == list(range(first[-1]))

@@ -13,8 +13,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-#: Rows that are gathered before their lines are worked on; a line that is longer counts whole.
-ROWS_AT_ONCE = 1 << 18
+#: Rows that are gathered before their lines are worked on, and that lines worked on together become; a line that is longer counts whole.
+ROWS_AT_ONCE = 1 << 16
 
 
 def line_starts(table: pa.Table, keys: Sequence[str]) -> np.ndarray:
@@ -52,16 +52,27 @@ def whole_lines(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Itera
         yield table, line_starts(table, keys)
 
 
+def pieces(table: pa.Table, first: np.ndarray, becomes: np.ndarray) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """The table in runs of whole lines, given how many rows each line becomes: few seeds may fill long lines."""
+    run = (np.cumsum(becomes) - 1) // ROWS_AT_ONCE
+    cuts = np.append(np.flatnonzero(np.append(True, run[1:] != run[:-1])), len(run))
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        yield table.slice(int(first[a]), int(first[b] - first[a])).combine_chunks(), first[a:b + 1] - first[a]
+
+
 def over_lines(df: DataFrame, keys: Sequence[str], order: Sequence[str], work: Callable[[pa.Table, np.ndarray], pa.Table],
-               schema: str, exchange: Sequence[str] | None = None) -> DataFrame:
-    """``work`` on tables of whole lines: rows of equal ``keys`` in the given order.
+               schema: str, exchange: Sequence[str] | None = None,
+               becomes: Callable[[pa.Table, np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """``work`` on tables of whole lines: rows of equal ``keys`` in the given order. ``becomes`` says how many
+    rows each line becomes, where that may be more than it has.
 
     ``exchange`` names the keys that rows are dealt by; without it they must be together already, as
     after a pass along another axis of the same slabs.
     """
     def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, first in whole_lines(batches, keys):
-            yield from work(table, first).to_batches(max_chunksize=ROWS_AT_ONCE)
+            for part, own in pieces(table, first, becomes(table, first)) if becomes else [(table, first)]:
+                yield from work(part, own).to_batches(max_chunksize=ROWS_AT_ONCE)
 
     dealt = df.repartition(*exchange) if exchange else df
     return dealt.sortWithinPartitions(*keys, *order).mapInArrow(passed, schema)

@@ -134,7 +134,12 @@ def _fill_pass(df: DataFrame, group: list[str], axis: str, low: str | None, high
                                         lines.numbers(table, low)[start] if low else np.zeros(len(to)), to, limit)
         return lines.carried(table, rest, start[line], **{axis: at.astype(np.int32), "d2": d2})
 
-    return lines.over_lines(df, keys, [axis, "d2"], work, lines.ddl(df, rest, **{axis: "int", "d2": "double"}), exchange)
+    def becomes(table: pa.Table, first: np.ndarray) -> np.ndarray:
+        start = first[:-1]
+        to = lines.numbers(table, high)[start] + 1
+        return np.maximum(to - lines.numbers(table, low)[start] if low else to, 1)
+
+    return lines.over_lines(df, keys, [axis, "d2"], work, lines.ddl(df, rest, **{axis: "int", "d2": "double"}), exchange, becomes)
 
 
 def _ask_pass(field: DataFrame, queries: DataFrame, group: list[str], step: str) -> DataFrame:

@@ -93,7 +93,8 @@ def _cubic_axis(df: DataFrame, axis: str, a: int, value: str) -> DataFrame:
 
     # slabs of constant i hold the lines of both other axes: the pass along k follows the one along j in place
     exchange = [keys, [c for c in keys if c != "k"], None][a]
-    return lines.over_lines(df, keys, [axis], work, lines.ddl(df, rest, **{axis: "int", value: "double"}), exchange)
+    return lines.over_lines(df, keys, [axis], work, lines.ddl(df, rest, **{axis: "int", value: "double"}), exchange,
+                            lambda table, first: lines.numbers(table, f"_new{a}", np.int64)[first[:-1]])
 
 
 def _axis_pass(df: DataFrame, a: int, order: int, value: str) -> DataFrame:
