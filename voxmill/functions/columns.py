@@ -59,6 +59,11 @@ def product(values: Column) -> Column:
     return F.aggregate(values, F.lit(1.0), lambda acc, x: acc * x.cast("double"))
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once per row: in a lambda it would be for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def array_median(values: Column) -> Column:
     ordered = F.array_sort(values)
     n = F.size(values)

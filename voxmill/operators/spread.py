@@ -73,6 +73,17 @@ def attach(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inne
     return dealt.join(repeated.hint("merge"), [*on, "_salt"], how).drop("_salt")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """The rows over all tasks, for work that costs far more than reading a row.
+
+    A file of a few MB is read by one task. The number of partitions is given, as adaptive execution would
+    otherwise merge them by their bytes, which say nothing of the work.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *[F.col(c) for c in df.columns if c in _hashable(df)])
+
+
 def numbered(df: DataFrame, count: str, out: str) -> DataFrame:
     """Repeat each row ``count`` times with ``out`` = 0..count-1.
 

@@ -11,8 +11,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxmill.functions.columns import array_median, as_col, half_even, permute, product
+from voxmill.functions.columns import array_median, as_col, bound, half_even, permute, product
 from voxmill.operators.fingerprint import geometry_summary
+from voxmill.operators.spread import dealt
 
 # fixed values: rules of the planner
 ANISO_THRESHOLD = 3.0
@@ -104,11 +105,13 @@ def initial_patch(spacing: Column, median: Column, ref: Column | int, override:
     inverse = F.transform(spacing, lambda s: 1.0 / s)
     n = F.size(spacing)
     scale = F.pow(F.pow(as_col(ref).cast("double"), n) / product(inverse), F.lit(1.0) / n)
-    capped = F.zip_with(inverse, median, lambda x, m: F.least(half_even(x * scale), m.cast("int")))
+    capped = bound(scale, lambda by: F.zip_with(spacing, median, lambda s, m: F.least(half_even(1.0 / s * by), m.cast("int"))))
     return capped if override is None else F.coalesce(override, capped)
 
 
-def pad_to_multiple(shape: Column, divisor: Column) -> Column:
+def pad_to_multiple(shape: Column, divisor: Column | int) -> Column:
+    if isinstance(divisor, int):
+        return F.transform(shape, lambda s: (F.ceil(s / divisor) * divisor).cast("int"))
     return F.zip_with(shape, divisor, lambda s, d: (F.ceil(s / d) * d).cast("int"))
 
 
@@ -133,7 +136,8 @@ def lowres_plan(median: Column, spacing: Column, patch: Column) -> Column:
     since = F.greatest(F.lit(0), F.ceil(steps_to(share + half) - 1e-6))
     until = F.least(most, F.when(share > half, F.ceil(steps_to(share - half) + 1e-6)))
     none, tries = F.lit(0), (F.greatest(until - since, F.lit(0)) + 1).cast("int")
-    begin = F.transform(spacing, lambda s: F.aggregate(F.array_repeat(none, since.cast("int")), s, lambda x, _: x * SPACING_STEP))
+    begin = bound(F.array_repeat(none, since.cast("int")), lambda skipped: F.transform(
+        spacing, lambda s: F.aggregate(skipped, s, lambda x, _: x * SPACING_STEP)))
 
     def step(state: Column, _) -> Column:
         shape = F.zip_with(state["length"], state["spacing"], lambda size, s: F.rint(size / s))
@@ -163,7 +167,7 @@ def pinned(df: DataFrame, **columns: Column) -> DataFrame:
 
 def lowres_spacing(df: DataFrame) -> DataFrame:
     """Rows (median, spacing, patch) that need a coarser grid, with ``low_spacing``, ``low_median``."""
-    ready = pinned(df, _m=F.col("median"), _s=F.col("spacing"), _p=F.col("patch"))
+    ready = pinned(dealt(df), _m=F.col("median"), _s=F.col("spacing"), _p=F.col("patch"))
     return pinned(ready, _low=lowres_plan(F.col("_m"), F.col("_s"), F.col("_p"))).filter("_low is not null").select(
         *df.columns, F.col("_low.spacing").alias("low_spacing"), F.col("_low.median").alias("low_median"))
 
@@ -180,18 +184,16 @@ def configurations(plan: DataFrame, divisor: int = 1, batch_size: int = 2, strat
     """
     def patch(spacing: Column, median: Column, d3: Column, d2: Column) -> Column:
         wanted = None if patch_override is None else F.array(*[F.lit(x) for x in patch_override])
-        three, two = wanted, wanted
+        flat = F.size(spacing) == 2
         if wanted is not None:
-            two = F.slice(wanted, -2, 2)
-        start = F.when(F.size(spacing) == 2, initial_patch(spacing, median, d2, two)) \
-            .otherwise(initial_patch(spacing, median, d3, three))
-        return pad_to_multiple(start, F.transform(start, lambda _: F.lit(divisor)))
+            wanted = F.when(flat, F.slice(wanted, -2, 2)).otherwise(wanted)
+        return pad_to_multiple(initial_patch(spacing, median, F.when(flat, d2).otherwise(d3), wanted), divisor)
 
-    base = transpose_plan(plan)
+    base = transpose_plan(dealt(plan.select("dataset_id", "target_spacing", "median_size")))
     base = base.withColumn("sp", permute(F.col("target_spacing"), F.col("transpose_forward"))) \
         .withColumn("med", F.transform(permute(F.col("median_size"), F.col("transpose_forward")), half_even))
     edge = iso_spacing(F.col("sp"), strategy)
-    base = base.withColumn("iso", F.transform("sp", lambda _: edge))
+    base = base.withColumn("iso", bound(edge, lambda e: F.transform("sp", lambda _: e)))
     base = base.withColumn("iso_med", new_shape(F.col("med"), F.col("sp"), F.col("iso")))
     three, two = F.lit(ref_3d), F.lit(ref_2d)
     base = pinned(base.select("dataset_id", "transpose_forward", "transpose_backward", "sp", "med", F.col("iso").alias("_iso"),
@@ -236,16 +238,19 @@ def augmentation_geometry(configs: DataFrame) -> DataFrame:
     degrees = F.when(flat_patch, F.when(long_side / F.array_min(patch) > 1.5, 15.0).otherwise(180.0)) \
         .otherwise(F.when(dummy, 180.0).otherwise(30.0))
     out = configs.withColumn("dummy_2d", dummy).withColumn("rotation", degrees / 360.0 * 2 * math.pi)
-    sin, cos = F.abs(F.sin("rotation")), F.abs(F.cos("rotation"))
+    out = pinned(out, _sin=F.abs(F.sin("rotation")), _cos=F.abs(F.cos("rotation")), _long=F.array_max(patch),
+                 _next=F.try_element_at(F.sort_array(patch), F.lit(-2)), _at=F.array_position(patch, F.array_max(patch)) - 1)
 
     def enlarged(size: Column, axis: Column) -> Column:
-        widest = F.array_max(F.transform(
-            F.filter(patch, lambda _, b: b != axis), lambda other: sin * other + cos * size))
+        # the longest other axis reaches furthest
+        other = F.when(axis == F.col("_at"), F.col("_next")).otherwise(F.col("_long"))
+        widest = F.col("_sin") * other + F.col("_cos") * size
         grown = F.ceil(F.greatest(size.cast("double"), widest) / SCALE_RANGE[0]).cast("int")
         return F.when(F.col("dummy_2d") & (axis == 0), size.cast("int")).otherwise(grown)
 
     axes = F.sequence(F.lit(0), F.size(patch) - 1)
-    return out.withColumn("mirror_axes", axes).withColumn("initial_patch_size", F.transform(patch, enlarged))
+    return out.withColumn("mirror_axes", axes).withColumn("initial_patch_size", F.transform(patch, enlarged)) \
+        .drop("_sin", "_cos", "_long", "_next", "_at")
 
 
 def select_target_spacing(cases: DataFrame) -> DataFrame:
