@@ -224,3 +224,36 @@ def resample_lines(first: np.ndarray, values: np.ndarray, new: np.ndarray) -> tu
             got = sum(weights[:, t, None] * c[:, own][places[:, t]] for t in range(4))
             out[out_first[:-1][same[own]] + np.arange(m)[:, None]] = got
     return out, out_first
+
+
+# --- linear interpolation --------------------------------------------------------------
+
+def interpolate_lines(first: np.ndarray, pos: np.ndarray, values: np.ndarray, known: np.ndarray, old: np.ndarray,
+                      new: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(line, place, value, known): lines of ``old`` places at ``new`` places, each between its two neighbours, mirrored at the ends.
+
+    Rows are places ``pos`` of their line; places without a row add nothing, and outputs to which none adds are left
+    out. Rows that are not known count as rows but add nothing; an output of only these is not known.
+    """
+    start = np.cumsum(old) - old
+    owner = np.repeat(np.arange(len(old)), np.diff(first))
+    inside = (pos >= 0) & (pos < old[owner])
+    at, size = (start[owner] + pos)[inside], int(old.sum())
+    rows = np.bincount(at, minlength=size)
+    valued = np.bincount(at[known[inside]], minlength=size)
+    total = np.bincount(at, weights=np.where(known, values, 0.0)[inside], minlength=size)
+    new = np.where(old > 0, new, 0)
+    line = np.repeat(np.arange(len(new)), new)
+    place = np.arange(len(line)) - np.repeat(np.cumsum(new) - new, new)
+    n = old[line]
+    x = (place + 0.5) * n / new[line] - 0.5
+    low = np.floor(x).astype(np.int64)
+    out, seen, sure = np.zeros(len(line)), np.zeros(len(line), dtype=bool), np.zeros(len(line), dtype=bool)
+    for tap, weight in ((low, 1 - (x - low)), (low + 1, x - low)):
+        back = np.abs(tap)
+        source = start[line] + np.where(n == 1, 0, np.where(back > n - 1, 2 * (n - 1) - back, back))
+        used = weight != 0
+        out[used] += weight[used] * total[source[used]]
+        seen |= used & (rows[source] > 0)
+        sure |= used & (valued[source] > 0)
+    return line[seen], place[seen], out[seen], sure[seen]

@@ -1,13 +1,15 @@
 """Resampling of voxel grids, one axis after the other.
 
-``shapes(case_id, old_shape, new_shape)``. Orders 0 and 1 are expressions: each source
-voxel is sent to the output positions it contributes to, so nothing is joined; the
-contributions of a line meet in the partition of that line. Order 3 filters whole
-lines (at most one axis long) recursively, many at a time, in Arrow batches.
+``shapes(case_id, old_shape, new_shape)``. Order 0 is an expression: each source
+voxel is sent to the output positions it becomes, so nothing is joined. Orders 1 and 3
+take whole lines (at most one axis long), many at a time, in Arrow batches: they are
+sorted in the partition of their line, interpolated between neighbours or filtered recursively.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -31,23 +33,11 @@ def _position(o: Column, old: Column, new: Column) -> Column:
     return (o + 0.5) * old / new - 0.5
 
 
-def _reflected(idx: Column, n: Column) -> Column:
-    """Mirror about the edge samples."""
-    back = F.abs(idx)
-    return F.when(n == 1, F.lit(0)).when(back > n - 1, 2 * (n - 1) - back).otherwise(back)
-
-
-def _spread_out(df: DataFrame, axis: str, reach: float, old: Column, new: Column, mirrored: bool = False) -> DataFrame:
-    """Candidate outputs ``_o`` of each source voxel; a superset, filtered by the caller.
-
-    The second voxel from either end is also the mirrored neighbour of the outputs beyond the
-    edge voxel's centre, so it reaches to the end of the axis.
-    """
+def _spread_out(df: DataFrame, axis: str, reach: float, old: Column, new: Column) -> DataFrame:
+    """Candidate outputs ``_o`` of each source voxel; a superset, filtered by the caller."""
     s = F.col(axis)
     first = F.greatest(F.lit(0), F.floor((s - reach + 0.5) * new / old - 0.5).cast("int") - 1)
     last = F.least(new - 1, F.ceil((s + reach + 0.5) * new / old - 0.5).cast("int") + 1)
-    if mirrored:
-        first, last = F.when(s <= 1, F.lit(0)).otherwise(first), F.when(s >= old - 2, new - 1).otherwise(last)
     return df.withColumn("_o", F.explode(F.sequence(F.least(first, last), last)))
 
 
@@ -67,23 +57,20 @@ def _line_keys(df: DataFrame, axis: str, value: str) -> list[str]:
 
 
 def _linear_axis(df: DataFrame, axis: str, a: int, value: str) -> DataFrame:
-    old, new = F.col(f"_old{a}"), F.col(f"_new{a}")
-    keys = _line_keys(df, axis, value)
-    x = _position(F.col("_o"), old, new)
-    low, part, s = F.floor(x), x - F.floor(x), F.col(axis)
-    weight = F.when(_reflected(low, old) == s, 1 - part).otherwise(0.0) \
-        + F.when(_reflected(low + 1, old) == s, part).otherwise(0.0)
-    # one exchange by line; the aggregation then needs none of its own
-    sent = _spread_out(df.repartition(*keys), axis, 1.0, old, new, mirrored=True).withColumn("_w", weight).filter("_w != 0")
-    sizes = _sizes(df)
-    return (sent.groupBy(*keys, "_o").agg(F.sum(F.col("_w") * F.col(value)).alias(value),
-                                          *[F.first(c).alias(c) for c in sizes])
-            .withColumnRenamed("_o", axis))
+    rest = [*_line_keys(df, axis, value), *_sizes(df)]
+
+    def work(table: pa.Table, first: np.ndarray) -> pa.Table:
+        old, new = (lines.numbers(table, f"{n}{a}", np.int64)[first[:-1]] for n in ("_old", "_new"))
+        known = table.column(value).is_valid().to_numpy()
+        line, place, values, sure = lines.interpolate_lines(
+            first, lines.numbers(table, axis, np.int64), lines.numbers(table, value), known, old, new)
+        return lines.carried(table, rest, first[:-1][line], **{axis: place.astype(np.int32), value: np.ma.array(values, mask=~sure)})
+
+    return _line_pass(df, axis, a, value, work)
 
 
 def _cubic_axis(df: DataFrame, axis: str, a: int, value: str) -> DataFrame:
-    keys, sizes = _line_keys(df, axis, value), _sizes(df)
-    rest = [*keys, *sizes]
+    rest = [*_line_keys(df, axis, value), *_sizes(df)]
 
     def work(table: pa.Table, first: np.ndarray) -> pa.Table:
         new = lines.numbers(table, f"_new{a}", np.int64)[first[:-1]]
@@ -91,9 +78,14 @@ def _cubic_axis(df: DataFrame, axis: str, a: int, value: str) -> DataFrame:
         line = np.repeat(np.arange(len(new)), new)
         return lines.carried(table, rest, first[:-1][line], **{axis: (np.arange(len(line)) - starts[:-1][line]).astype(np.int32), value: values})
 
+    return _line_pass(df, axis, a, value, work)
+
+
+def _line_pass(df: DataFrame, axis: str, a: int, value: str, work: Callable[[pa.Table, np.ndarray], pa.Table]) -> DataFrame:
+    keys = _line_keys(df, axis, value)
     # slabs of constant i hold the lines of both other axes: the pass along k follows the one along j in place
     exchange = [keys, [c for c in keys if c != "k"], None][a]
-    return lines.over_lines(df, keys, [axis], work, lines.ddl(df, rest, **{axis: "int", value: "double"}), exchange,
+    return lines.over_lines(df, keys, [axis], work, lines.ddl(df, [*keys, *_sizes(df)], **{axis: "int", value: "double"}), exchange,
                             lambda table, first: lines.numbers(table, f"_new{a}", np.int64)[first[:-1]])
 
 
