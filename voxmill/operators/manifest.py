@@ -139,8 +139,8 @@ def surplus_labels(cases: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def pair_existing(images: DataFrame, labels: DataFrame) -> DataFrame:
-    """Images whose case also has a label."""
-    return attach(images, labels.select("case_id").distinct(), ["case_id"])
+    """Images whose case also has a label. Nothing comes from the labels, so they are neither counted nor repeated."""
+    return images.join(labels.select("case_id"), "case_id", "left_semi")
 
 
 def unpaired(images: DataFrame, labels: DataFrame) -> DataFrame:
