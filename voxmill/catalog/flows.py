@@ -67,7 +67,7 @@ def streamed_partials(spark, sf):
     table_of_cases = cases(spark, sf)
     table_of_cases.repartition(3, "case_id").write.parquet(source)
     arriving = spark.readStream.schema(table_of_cases.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    I.stream_statistics(arriving, spark.read.parquet(images), spark.read.parquet(labels), root, checkpoint).awaitTermination()
+    I.stream_statistics(arriving, S.read_bucketed(spark, images), S.read_bucketed(spark, labels), root, checkpoint).awaitTermination()
     return I.read_statistics(spark, root)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -55,7 +56,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-_scopes: list[list[str]] = []
+#: Each thread has its own: a stream's batches run beside whatever the caller settles.
+_scopes = threading.local()
 
 
 @contextmanager
@@ -65,12 +67,14 @@ def scratch_tables(spark: SparkSession) -> Iterator[None]:
     Results that still read them must be written before. Without such a block they stay
     until the shared folder is cleared.
     """
-    _scopes.append([])
+    outer, own = getattr(_scopes, "open", None), []
+    _scopes.open = own
     try:
         yield
     finally:
+        _scopes.open = outer
         jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-        for name in _scopes.pop():
+        for name in own:
             path = jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(conf).delete(path, True)
 
@@ -83,7 +87,7 @@ def settle(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, "table")
-    if _scopes:
-        _scopes[-1].append(path)
+    if getattr(_scopes, "open", None) is not None:
+        _scopes.open.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

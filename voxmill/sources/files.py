@@ -106,6 +106,18 @@ def write_bucketed(table: DataFrame, path: str, buckets: int = BUCKETS, mode: st
         .write.mode(mode).partitionBy("bucket").parquet(path)
 
 
+def read_bucketed(spark: SparkSession, path: str) -> DataFrame:
+    """A table that :func:`write_bucketed` wrote. Spark lists folders by a task each, of which most would be the start of the task;
+    here each core lists a few runs of them."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    kept = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(kept), 4 * spark.sparkContext.defaultParallelism)))
+    try:
+        return spark.read.parquet(path)
+    finally:
+        spark.conf.set(name, kept)
+
+
 def rows_of_cases(table: DataFrame, cases: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """The rows of these cases. Of a table that :func:`write_bucketed` wrote, only the cases' own folders are read:
     their numbers, at most ``buckets``, are a filter on the folders."""
@@ -113,7 +125,7 @@ def rows_of_cases(table: DataFrame, cases: DataFrame, buckets: int = BUCKETS) ->
     if "bucket" in table.columns:
         numbers = [r[0] for r in ids.select(case_bucket(F.col("case_id"), buckets)).distinct().collect()]
         table = table.filter(F.col("bucket").isin(numbers) if numbers else F.lit(False)).drop("bucket")
-    return table.join(ids, "case_id", "left_semi")
+    return attach(table, ids, ["case_id"], "left_semi")
 
 
 def write_preprocessed(table: DataFrame, root: str, mode: str = "append") -> None:

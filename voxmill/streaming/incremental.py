@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from voxmill.operators.fingerprint import merge_statistics, statistics_partial
+from voxmill.session import scratch_tables, settle
 from voxmill.sources.files import BUCKETS, rows_of_cases
 
 
@@ -18,10 +19,15 @@ def write_partial(cases: DataFrame, epoch: int, voxels: DataFrame, segs: DataFra
     """Statistics of one micro-batch. A repeated epoch replaces its own folder only.
 
     The batch reads the folders of its own cases, if the voxel tables are in case buckets
-    (:func:`voxmill.sources.files.write_bucketed`); tables without buckets are read whole.
+    (:func:`voxmill.sources.files.write_bucketed`); tables without buckets are read whole. Each is
+    read once: the statistics need several passes, which go over the batch's own rows, set aside in a few files a core.
     """
-    partial = statistics_partial(rows_of_cases(voxels, cases, buckets), rows_of_cases(segs, cases, buckets), cases)
-    partial.write.mode("overwrite").parquet(f"{root}/epoch={epoch}")
+    spark = voxels.sparkSession
+    files = 4 * spark.sparkContext.defaultParallelism
+    with scratch_tables(spark):
+        cases = settle(cases)
+        own, labels = (settle(rows_of_cases(table, cases, buckets).coalesce(files)) for table in (voxels, segs))
+        statistics_partial(own, labels, cases).write.mode("overwrite").parquet(f"{root}/epoch={epoch}")
 
 
 def stream_statistics(cases: DataFrame, voxels: DataFrame, segs: DataFrame, root: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
