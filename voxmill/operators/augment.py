@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from voxmill.functions.columns import AXES, draw, draw_index, draw_normal, half_even
 from voxmill.operators.dense import axes_of, coarsener, over_patches, sampler
 from voxmill.operators.patches import PATCH, batch_draw, slot_draw
-from voxmill.operators.resample import _nearest_axis
+from voxmill.operators.resample import _nearest_axis, packed_sizes
 from voxmill.operators.voxel import mask_image, remove_outside_label
 from voxmill.session import settle
 
@@ -271,8 +271,7 @@ def downsample_labels(label: DataFrame, size: Sequence[int], scales: Sequence[Se
     levels = F.array(*[F.struct(F.lit(n).alias("level"), *[F.lit(float(s)).alias(f"_f{a}") for a, s in enumerate(scale)])
                        for n, scale in enumerate(scales)])
     out = label.select("*", F.inline(levels)).withColumns(
-        {f"_old{a}": F.lit(x) for a, x in enumerate(size)}
-        | {f"_new{a}": half_even(x * F.col(f"_f{a}")) for a, x in enumerate(size)})
+        {f"_size{a}": packed_sizes(F.lit(x), half_even(x * F.col(f"_f{a}"))) for a, x in enumerate(size)})
     for a, axis in enumerate(axes_of(label)):
         out = _nearest_axis(out, axis, a)
     return out.select("level", *label.columns)

@@ -4,6 +4,9 @@
 voxel is sent to the output positions it becomes, so nothing is joined. Orders 1 and 3
 take whole lines (at most one axis long), many at a time, in Arrow batches: they are
 sorted in the partition of their line, interpolated between neighbours or filtered recursively.
+
+Voxels carry the sizes of the axes that are still to come, an axis's two in one number: a column is eight
+bytes of every row that is shuffled and sorted.
 """
 
 from __future__ import annotations
@@ -41,26 +44,49 @@ def _spread_out(df: DataFrame, axis: str, reach: float, old: Column, new: Column
     return df.withColumn("_o", F.explode(F.sequence(F.least(first, last), last)))
 
 
+def packed_sizes(old: Column, new: Column) -> Column:
+    """Both sizes of an axis as one number, column ``_size<axis>`` of a voxel."""
+    return F.shiftleft(old.cast("bigint"), 32) + new.cast("bigint")
+
+
+def _old(a: int) -> Column:
+    return F.shiftright(F.col(f"_size{a}"), 32).cast("int")
+
+
+def _new(a: int) -> Column:
+    return F.col(f"_size{a}").bitwiseAND(F.lit(0xffffffff)).cast("int")
+
+
+def _old_new(table: pa.Table, a: int, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    sizes = lines.numbers(table, f"_size{a}", np.int64)[rows]
+    return sizes >> 32, sizes.astype(np.int32).astype(np.int64)
+
+
 def _nearest_axis(df: DataFrame, axis: str, a: int) -> DataFrame:
-    old, new = F.col(f"_old{a}"), F.col(f"_new{a}")
+    old, new = _old(a), _new(a)
     source = F.least(F.floor(_position(F.col("_o"), old, new) + 0.5), old - 1)
     return _spread_out(df, axis, 0.5, old, new).filter(source == F.col(axis)) \
-        .withColumn(axis, F.col("_o")).drop("_o")
+        .withColumn(axis, F.col("_o")).drop("_o", f"_size{a}")
 
 
 def _sizes(df: DataFrame) -> list[str]:
-    return [c for c in df.columns if c.startswith(("_old", "_new"))]
+    return [c for c in df.columns if c.startswith("_size")]
 
 
 def _line_keys(df: DataFrame, axis: str, value: str) -> list[str]:
     return [c for c in df.columns if c not in (axis, value, *_sizes(df))]
 
 
+def _kept(df: DataFrame, axis: str, a: int, value: str) -> list[str]:
+    """Columns that a line's outputs have from it: its keys, and the sizes of the other axes."""
+    return [*_line_keys(df, axis, value), *(c for c in _sizes(df) if c != f"_size{a}")]
+
+
 def _linear_axis(df: DataFrame, axis: str, a: int, value: str) -> DataFrame:
-    rest = [*_line_keys(df, axis, value), *_sizes(df)]
+    rest = _kept(df, axis, a, value)
 
     def work(table: pa.Table, first: np.ndarray) -> pa.Table:
-        old, new = (lines.numbers(table, f"{n}{a}", np.int64)[first[:-1]] for n in ("_old", "_new"))
+        old, new = _old_new(table, a, first[:-1])
         known = table.column(value).is_valid().to_numpy()
         line, place, values, sure = lines.interpolate_lines(
             first, lines.numbers(table, axis, np.int64), lines.numbers(table, value), known, old, new)
@@ -70,10 +96,10 @@ def _linear_axis(df: DataFrame, axis: str, a: int, value: str) -> DataFrame:
 
 
 def _cubic_axis(df: DataFrame, axis: str, a: int, value: str) -> DataFrame:
-    rest = [*_line_keys(df, axis, value), *_sizes(df)]
+    rest = _kept(df, axis, a, value)
 
     def work(table: pa.Table, first: np.ndarray) -> pa.Table:
-        new = lines.numbers(table, f"_new{a}", np.int64)[first[:-1]]
+        _, new = _old_new(table, a, first[:-1])
         values, starts = lines.resample_lines(first, lines.numbers(table, value), new)
         line = np.repeat(np.arange(len(new)), new)
         return lines.carried(table, rest, first[:-1][line], **{axis: (np.arange(len(line)) - starts[:-1][line]).astype(np.int32), value: values})
@@ -85,8 +111,8 @@ def _line_pass(df: DataFrame, axis: str, a: int, value: str, work: Callable[[pa.
     keys = _line_keys(df, axis, value)
     # slabs of constant i hold the lines of both other axes: the pass along k follows the one along j in place
     exchange = [keys, [c for c in keys if c != "k"], None][a]
-    return lines.over_lines(df, keys, [axis], work, lines.ddl(df, [*keys, *_sizes(df)], **{axis: "int", value: "double"}), exchange,
-                            lambda table, first: lines.numbers(table, f"_new{a}", np.int64)[first[:-1]])
+    return lines.over_lines(df, keys, [axis], work, lines.ddl(df, _kept(df, axis, a, value), **{axis: "int", value: "double"}), exchange,
+                            lambda table, first: _old_new(table, a, first[:-1])[1])
 
 
 def _axis_pass(df: DataFrame, a: int, order: int, value: str) -> DataFrame:
@@ -102,8 +128,7 @@ def _clipped(df: DataFrame, source: DataFrame, keys: list[str], value: str) -> D
 
 
 def _with_sizes(table: DataFrame, shapes: DataFrame) -> DataFrame:
-    flat = shapes.select("case_id", *[F.get(c, F.lit(a)).cast("int").alias(f"{n}{a}")
-                                      for n, c in (("_old", "old_shape"), ("_new", "new_shape")) for a in range(3)])
+    flat = shapes.select("case_id", *[packed_sizes(F.get("old_shape", F.lit(a)), F.get("new_shape", F.lit(a))).alias(f"_size{a}") for a in range(3)])
     return attach(table, flat, ["case_id"])
 
 
@@ -116,7 +141,7 @@ def resample(table: DataFrame, shapes: DataFrame, order: int, value: str = "valu
     sized = _with_sizes(table, shapes)
     same = F.lit(True)
     for a in range(3):
-        same = same & (F.col(f"_old{a}") == F.col(f"_new{a}"))
+        same = same & (_old(a) == _new(a))
     moved = sized.filter(~same)
     out = moved
     for a in range(3):
@@ -130,14 +155,14 @@ def resample_separate_z(table: DataFrame, shapes: DataFrame, order: int, order_z
                         value: str = "value") -> DataFrame:
     """In-plane with ``order``, then the first axis with ``order_z``."""
     sized = _with_sizes(table, shapes)
-    flat_same = (F.col("_old1") == F.col("_new1")) & (F.col("_old2") == F.col("_new2"))
-    z_same = F.col("_old0") == F.col("_new0")
+    flat_same = (_old(1) == _new(1)) & (_old(2) == _new(2))
+    z_same = _old(0) == _new(0)
     still = sized.filter(flat_same)
     moved = sized.filter(~flat_same)
     plane = _axis_pass(_axis_pass(moved, 1, order, value), 2, order, value)
     if order > 1:
         plane = _clipped(plane, moved, [*_layers(table), "i"], value)
-    plane = still.unionByName(plane.select(*still.columns))
+    plane = still.select(*plane.columns).unionByName(plane)
     if order_z == 0:
         return _axis_pass(plane, 0, 0, value).select(*table.columns)
     deep = plane.filter(~z_same)
