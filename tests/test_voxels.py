@@ -2,15 +2,18 @@
 
 import itertools
 import math
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from voxmill import session
 from voxmill.operators import augment as A
 from voxmill.operators import morphology as M
 from voxmill.operators import normalize as N
 from voxmill.operators import resample as Z
+from voxmill.operators import spread as S
 from voxmill.operators import voxel as V
 from voxmill.plans.configure import half_even
 from voxmill.plans.preprocess import Configuration, preprocess, revert, revert_labels
@@ -86,6 +89,36 @@ def test_long_tunnels(spark):
     assert (dense(out, inside.shape, "v").astype(bool) == ~flood(inside)).all()
 
 
+def test_runs_of_small_files_stay_off_the_driver(spark, monkeypatch):
+    """Files of runs are below the threshold, as they take few bytes a row; beyond BROADCAST_ROWS rows no join broadcasts them."""
+    rng = np.random.default_rng(5)
+    inside = rng.random((9, 8, 9)) < 0.62
+    mask = spark.createDataFrame([("c", *map(int, x), bool(inside[x])) for x in np.ndindex(inside.shape)],
+                                 "case_id string, i int, j int, k int, inside boolean")
+    plans, kept = [], spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+
+    def settle(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return session.settle(df)
+
+    monkeypatch.setattr(M, "settle", settle)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "256k")
+    try:
+        for most, broadcast in ((S.BROADCAST_ROWS, True), (100, False)):
+            monkeypatch.setattr(S, "BROADCAST_ROWS", most)
+            del plans[:]
+            out = M.fill_holes(mask, case_row(spark, inside.shape)).withColumn("v", F.col("inside").cast("int"))
+            # the first plan makes the runs, which the one case joins; the table of closed components joins in the last
+            _, edges, nodes, *rounds = plans
+            assert len(rounds) >= 4
+            assert [("BroadcastExchange" in p) for p in [edges, nodes, *rounds]] == [broadcast, False, *[broadcast] * len(rounds)]
+            placed = re.search(r"(\w+) \[case_id#\d+, run#\w+\]", out._jdf.queryExecution().executedPlan().toString())
+            assert placed[1] == ("BroadcastHashJoin" if broadcast else "SortMergeJoin")
+            assert (dense(out, inside.shape, "v").astype(bool) == ~flood(inside)).all()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
 def test_signed_distance(spark):
     rng = np.random.default_rng(4)
     seg = (rng.random((6, 7, 5)) < 0.15) * rng.integers(1, 3, (6, 7, 5))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from voxmill.functions.columns import AXES, VOXEL
 from voxmill.operators import lines
-from voxmill.operators.spread import attach, percentiles_of_counts, value_counts
+from voxmill.operators.spread import attach, bounded, percentiles_of_counts, value_counts
 from voxmill.session import settle
 
 DISTANCE_LIMIT = 10.0  # fixed value: signed distances are clipped to +-10
@@ -48,10 +48,10 @@ def _background_runs(mask: DataFrame, cases: DataFrame) -> DataFrame:
 
 def _run_edges(runs: DataFrame) -> DataFrame:
     """Pairs of touching runs in neighbouring lines, both ways: (case_id, a, b)."""
-    one_way = None
+    one_way, held = None, bounded(runs)
     for axis in ("i", "j"):
         here = runs.select("case_id", "i", "j", F.col("start").alias("s1"), F.col("stop").alias("e1"), F.col("run").alias("a"))
-        there = runs.select("case_id", *[(F.col(x) - 1 if x == axis else F.col(x)).alias(x) for x in ("i", "j")],
+        there = held.select("case_id", *[(F.col(x) - 1 if x == axis else F.col(x)).alias(x) for x in ("i", "j")],
                             F.col("start").alias("s2"), F.col("stop").alias("e2"), F.col("run").alias("b"))
         found = here.join(there, ["case_id", "i", "j"]).filter("s1 <= e2 AND s2 <= e1").select("case_id", "a", "b")
         one_way = found if one_way is None else one_way.unionByName(found)
@@ -67,19 +67,22 @@ def connected_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     The last step doubles the distance covered, so the rounds grow with the logarithm of
     the longest path; labels only fall, so they settle. Each round is written to the shared folder. There are as many
     names as nodes, so names are not repeated for salts; adaptive execution splits a component that is most of a case.
+    Nodes, edges and labels are as many as voxels, so beyond a bounded number of rows none of them is broadcast.
     """
-    labels = settle(nodes.select("case_id", "run", F.col("run").alias("comp")))
+    labels, edges = settle(nodes.select("case_id", "run", F.col("run").alias("comp"))), bounded(edges)
+    rows = labels.count()
     while True:
-        around = edges.join(labels.select("case_id", F.col("run").alias("b"), F.col("comp").alias("_nb")), ["case_id", "b"]) \
+        around = edges.join(bounded(labels, rows).select("case_id", F.col("run").alias("b"), F.col("comp").alias("_nb")), ["case_id", "b"]) \
             .groupBy("case_id", F.col("a").alias("run")).agg(F.min("_nb").alias("_nb"))
         lower = labels.join(around, ["case_id", "run"], "left").withColumn("_low", F.least("comp", F.coalesce("_nb", "comp")))
         found = lower.groupBy("case_id", "comp").agg(F.min("_low").alias("_found")).withColumnRenamed("comp", "run")
         hooked = settle(lower.join(found, ["case_id", "run"], "left").select(
             "case_id", "run", "comp", F.least("_low", F.coalesce("_found", "_low")).alias("_low")))
-        named = hooked.select("case_id", F.col("run").alias("_low"), F.col("_low").alias("_next"))
+        named = bounded(hooked, rows).select("case_id", F.col("run").alias("_low"), F.col("_low").alias("_next"))
         jumped = settle(hooked.join(named, ["case_id", "_low"]).select("case_id", "run", "comp", "_next"))
         labels = jumped.select("case_id", "run", F.col("_next").alias("comp"))
-        if jumped.filter("_next <> comp").isEmpty():
+        rows, moved = jumped.agg(F.count(F.lit(1)), F.count_if(F.col("_next") != F.col("comp"))).first()
+        if not moved:
             return labels
 
 
@@ -87,7 +90,7 @@ def fill_holes(mask: DataFrame, cases: DataFrame) -> DataFrame:
     """Background that no path of face neighbours connects to the border becomes inside."""
     runs = settle(_background_runs(mask, cases))
     labels = connected_labels(runs.select("case_id", "run"), settle(_run_edges(runs)))
-    placed = runs.join(labels, ["case_id", "run"])
+    placed = runs.join(bounded(labels), ["case_id", "run"])
     open_comp = placed.groupBy("case_id", "comp").agg(F.max("border").alias("_open")).filter("NOT _open")
     holes = attach(placed, open_comp, ["case_id", "comp"]).select(
         "case_id", "i", "j", F.explode(F.sequence("start", "stop")).alias("k"), F.lit(True).alias("_hole"))
