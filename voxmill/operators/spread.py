@@ -76,7 +76,7 @@ def attach(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inne
 def bounded(table: DataFrame, rows: int | None = None) -> DataFrame:
     """A settled table as a side of a join: left to Spark up to BROADCAST_ROWS rows, held to a merge join beyond.
 
-    Spark knows a table by its files, which take two or three bytes a row where numbers repeat. Millions of rows
+    Spark knows a table by its files, which take one to four bytes a row where numbers repeat. Millions of rows
     then pass for a small table, and their broadcast, some 100 bytes each, comes to the driver whole. ``rows`` is
     the number of rows where it is known.
     """
